@@ -1,6 +1,6 @@
 """Registered queries (``queries()``) and their DuckDB oracles (``oracle_sql()``)."""
 
-from . import anomaly, decisions, detections, models, readings, sensors, timeseries  # noqa: F401
+from . import anomaly, decisions, detections, forecast, models, readings, sensors, timeseries  # noqa: F401
 from ._registry import ORACLE, QUERIES
 
 
