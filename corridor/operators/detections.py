@@ -174,3 +174,63 @@ def flow_summary(motion: DataFrame, valid: DataFrame) -> DataFrame:
     return (tracked.join(speed, list(FRAME_KEYS), "left").join(top, list(FRAME_KEYS), "left")
             .withColumns({"average_pixel_speed": F.coalesce("average_pixel_speed", F.lit(0.0)),
                           "flow_direction": F.coalesce("flow_direction", F.lit("mixed"))}))
+
+
+# Congestion hotspots -------------------------------------------------
+HOTSPOT_SCHEMA = ("camera_id long, frame_id long, cluster int, center_x int, center_y int, "
+                  "vehicle_count int, density_score double")
+HOTSPOT_MIN_DETECTIONS = 5
+HOTSPOT_MIN_MEMBERS = 2
+
+
+def _kmeans(points, k, seed=0, n_init=10, max_iter=100):
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    best = None
+    for _ in range(n_init):
+        centers = [points[rng.integers(len(points))]]
+        for _ in range(1, k):                                   # k-means++ seeding
+            d2 = np.min(((points[:, None, :] - np.array(centers)[None]) ** 2).sum(-1), axis=1)
+            p = d2 / d2.sum() if d2.sum() > 0 else np.full(len(points), 1 / len(points))
+            centers.append(points[rng.choice(len(points), p=p)])
+        c = np.array(centers, dtype=float)
+        for _ in range(max_iter):
+            labels = ((points[:, None, :] - c[None]) ** 2).sum(-1).argmin(1)
+            new = np.array([points[labels == j].mean(0) if (labels == j).any() else c[j] for j in range(k)])
+            if np.allclose(new, c):
+                break
+            c = new
+        inertia = ((points - c[labels]) ** 2).sum()
+        if best is None or inertia < best[0]:
+            best = (inertia, labels, c)
+    return best[1], best[2]
+
+
+def _frame_hotspots(pdf):
+    import numpy as np
+    import pandas as pd
+    cols = ["camera_id", "frame_id", "cluster", "center_x", "center_y", "vehicle_count", "density_score"]
+    pts = pdf.sort_values("det_id")[["cx", "cy"]].to_numpy(dtype=float)
+    if len(pts) <= HOTSPOT_MIN_DETECTIONS:
+        return pd.DataFrame([], columns=cols)
+    k = min(max(2, len(pts) // 5), 10)
+    labels, centers = _kmeans(pts, k)
+    out = []
+    for j in range(k):
+        members = pts[labels == j]
+        if len(members) > HOTSPOT_MIN_MEMBERS:
+            (x0, y0), (x1, y1) = members.min(0), members.max(0)
+            area = (x1 - x0) * (y1 - y0) if (x1 > x0 and y1 > y0) else 1.0
+            out.append((int(pdf["camera_id"].iloc[0]), int(pdf["frame_id"].iloc[0]), j, int(centers[j][0]),
+                        int(centers[j][1]), len(members), round(len(members) / area, 4)))
+    return pd.DataFrame(out, columns=cols)
+
+
+def congestion_hotspots(valid: DataFrame) -> DataFrame:
+    """Per frame, k-means (k = min(max(2, n // 5), 10), best of 10
+    seeded k-means++ starts) over the detection centres; clusters with more
+    than two vehicles are hotspots with density = members / bounding-box
+    area.  One group = one frame, whose size is bounded by what a camera
+    image can hold."""
+    return (valid.select("camera_id", "frame_id", "det_id", "cx", "cy")
+            .groupBy(*FRAME_KEYS).applyInPandas(_frame_hotspots, HOTSPOT_SCHEMA))

@@ -142,3 +142,9 @@ def d33_flow_summary(spark, sf_dir):
     v = _valid(spark, sf_dir)
     return DT.flow_summary(DT.track_motion(v, CHUNK_ROWS), v).select(
         "camera_id", "frame_id", "vehicle_trajectories", "average_pixel_speed", "flow_direction")
+
+
+@query("d34_congestion_hotspots", views=_V)
+def d34_congestion_hotspots(spark, sf_dir):
+    """Per-frame k-means hotspots (property-checked in tests, no oracle)."""
+    return DT.congestion_hotspots(_valid(spark, sf_dir))
