@@ -118,34 +118,38 @@ def fit(df: DataFrame, features: Sequence[str], id_col: str, n_trees: int = N_TR
     return {"features": list(features), "stats": stats, "nodes": nodes, "sizes": sizes}
 
 
-def _path_lengths(model: dict, x: np.ndarray) -> np.ndarray:
-    nodes = model["nodes"]
-    total = np.zeros(len(x))
-    trees = 0
-    for tid, t in nodes.groupby("tree_id"):
-        t = t.sort_values("node_id")
-        feat, thr = t["feature"].to_numpy(), t["threshold"].to_numpy()
-        left, right = t["left"].to_numpy(), t["right"].to_numpy()
-        size, depth = t["size"].to_numpy(), t["depth"].to_numpy()
-        idx = np.zeros(len(x), dtype=int)
-        for _ in range(int(depth.max()) + 1):
-            inner = feat[idx] >= 0
-            if not inner.any():
-                break
-            f = np.where(inner, feat[idx], 0)
-            go_left = x[np.arange(len(x)), f] < thr[idx]
-            idx = np.where(inner, np.where(go_left, left[idx], right[idx]), idx)
-        total += depth[idx] + np.vectorize(_c)(size[idx])
-        trees += 1
-    return total / max(trees, 1)
+def _compile(nodes: pd.DataFrame) -> dict:
+    """All trees as one flat node array (child indices made global) plus the
+    path length credited at each node when it is a leaf: depth + c(size)."""
+    t = nodes.sort_values(["tree_id", "node_id"]).reset_index(drop=True)
+    base = np.arange(len(t)) - t["node_id"].to_numpy()   # row of each tree's root
+    leaf = t["feature"].to_numpy() < 0
+    left = np.where(leaf, np.arange(len(t)), t["left"].to_numpy() + base)
+    right = np.where(leaf, np.arange(len(t)), t["right"].to_numpy() + base)
+    roots = np.flatnonzero(t["node_id"].to_numpy() == 0)
+    credit = t["depth"].to_numpy() + np.array([_c(float(n)) for n in t["size"].to_numpy()])
+    return {"feature": np.where(leaf, 0, t["feature"].to_numpy()), "threshold": t["threshold"].to_numpy(),
+            "left": left, "right": right, "credit": credit, "roots": roots,
+            "max_depth": int(t["depth"].max())}
+
+
+def _path_lengths(forest: dict, x: np.ndarray) -> np.ndarray:
+    """Walk every tree for every row at once: ``idx`` is (rows x trees);
+    leaves point to themselves, so extra steps are no-ops."""
+    idx = np.broadcast_to(forest["roots"], (len(x), len(forest["roots"]))).copy()
+    rows = np.arange(len(x))[:, None]
+    feat, thr, left, right = forest["feature"], forest["threshold"], forest["left"], forest["right"]
+    for _ in range(forest["max_depth"]):
+        go_left = x[rows, feat[idx]] < thr[idx]
+        idx = np.where(go_left, left[idx], right[idx])
+    return forest["credit"][idx].mean(axis=1)
 
 
 def score(df: DataFrame, model: dict, out: str = "if_score") -> DataFrame:
     """Anomaly score ``2 ** (-E[h(x)] / c(sample size))`` per row (higher =
     more anomalous), computed in Arrow batches."""
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(model)
-    k = len(model["features"])
+    bc = spark.sparkContext.broadcast(_compile(model["nodes"]))
     c_n = _c(float(np.mean(list(model["sizes"].values()))))
 
     @F.pandas_udf(T.DoubleType())
@@ -162,8 +166,12 @@ def detect(df: DataFrame, features: Sequence[str], id_col: str, contamination: f
            **kw) -> DataFrame:
     """Fit, score and flag the top ``contamination`` share as
     ``ml_pattern_anomaly``."""
+    from pyspark import StorageLevel
     model = fit(df, features, id_col, **kw)
-    s = score(df, model)
+    # Scores feed both the threshold and the output: keep them (memory, then
+    # disk) instead of walking the forest twice; a lost block is recomputed
+    # deterministically from the broadcast forest.
+    s = score(df, model).persist(StorageLevel.MEMORY_AND_DISK)
     thr = exact_quantiles(s.select(id_col, "if_score"), [], "if_score", [1.0 - contamination], tie_break=id_col)
-    threshold = thr.select("quantile").scalar()   # one value: an uncorrelated scalar subquery
-    return s.withColumn("is_ml_anomaly", F.col("if_score") > threshold)
+    threshold = thr.select("quantile").first()[0]   # a single number
+    return s.withColumn("is_ml_anomaly", F.col("if_score") > F.lit(threshold))
