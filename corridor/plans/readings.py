@@ -501,3 +501,4 @@ from readings""")
 def g2_train_test_split(spark, sf_dir):
     r = FE.train_test_split(R(spark, sf_dir))
     return r.select("reading_id", FE.hash_bucket("reading_id").alias("bucket"), "is_test")
+

@@ -95,3 +95,57 @@ def test_congestion_sessions_run(spark, stream_dir):
     _, src = stream_dir
     _run(RS.congestion_sessions(RS.read_readings(spark, src)), "j4_out", mode="append")
     assert spark.table("j4_out").where(F.col("n_low") < 3).count() == 0
+
+
+def test_quarantine_latest_fusion_and_run_log(spark, stream_dir):
+    from corridor.operators import runlog as RL
+    from corridor.sources import fixtures as VV
+    d, src = stream_dir
+    good, bad = os.path.join(d, "good"), os.path.join(d, "bad")
+    now = V.readings(spark, SF).agg(F.max("timestamp")).first()[0]
+    s = RS.read_readings(spark, src, max_files_per_trigger=2)
+    q = (s.writeStream.foreachBatch(lambda b, i: RS.split_quarantine(b, now, good, bad, i))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    n_good, n_bad = spark.read.parquet(good).count(), spark.read.parquet(bad).count()
+    assert n_good + n_bad == V.readings(spark, SF).count() and n_bad > 0
+    # D45 over the stream's own run log
+    log = RL.run_log_from_progress(spark, q.recentProgress)
+    st = RL.run_log_stats(log).first()
+    assert st.runs >= 2 and st.min_duration_ms <= st.avg_duration_ms <= st.max_duration_ms
+    # J10 latest per location equals the batch answer
+    _run(RS.latest_per_location(RS.read_readings(spark, src)), "j10_out", mode="update")
+    got = {r.location: r.latest.reading_id for r in spark.table("j10_out").collect()}
+    from corridor.operators.forecast import latest_per_location
+    exp = {r.location: r.reading_id for r in latest_per_location(V.readings(spark, SF)).collect()}
+    assert got == exp
+    # J9 windowed fusion over a stream of sensor payloads equals the batch fusion
+    sr_dir = os.path.join(d, "sensor_readings")
+    VV.sensor_readings(spark, SF).write.parquet(sr_dir)
+    schema = spark.read.parquet(sr_dir).schema
+    ss = spark.readStream.schema(schema).parquet(sr_dir).withColumn("event_ts", F.col("ts").cast("timestamp"))
+    _run(RS.fused_stream(ss, VV.sensors(spark, SF)).select(F.col("win.start").alias("ws"), "average_speed",
+                                                            "traffic_health_score"), "j9_out")
+    from corridor.operators import sensors as SN
+    batch = SN.fuse(VV.sensor_readings(spark, SF), VV.sensors(spark, SF))
+    assert spark.table("j9_out").count() == batch.count()
+
+
+def test_model_persistence_round_trip(spark):
+    from corridor.operators import features as FE
+    from corridor.operators import models as M
+    f = FE.train_test_split(FE.model_features(V.readings(spark, SF)))
+    ms = M.train_models(f, ["linear_regression"])
+    d = tempfile.mkdtemp(prefix="corridor-models-")
+    M.save_models(ms, d)
+    back = M.load_models(d, ["linear_regression"])
+    a = M.predictions(ms, f).orderBy("reading_id").collect()
+    b = M.predictions(back, f).orderBy("reading_id").collect()
+    assert [r.predicted for r in a] == [r.predicted for r in b]
+
+
+def test_text_helpers(spark):
+    from corridor.functions.numeric import leading_number, reversed_scale
+    r = spark.createDataFrame([("3/5", "2")], "a string, b string").select(
+        leading_number("a").alias("n"), reversed_scale("b").alias("s")).first()
+    assert (r.n, r.s) == (3, 4.0)
