@@ -149,3 +149,31 @@ def test_text_helpers(spark):
     r = spark.createDataFrame([("3/5", "2")], "a string, b string").select(
         leading_number("a").alias("n"), reversed_scale("b").alias("s")).first()
     assert (r.n, r.s) == (3, 4.0)
+
+
+def test_centroid_tracker_stream(spark):
+    from corridor.streaming import tracker as TR
+    rows, ids = [], {}
+    for cam, back in ((0, 6), (1, 7)):
+        base = cam * 100
+        for f in range(10):                                   # vehicle A: 10 px per frame
+            rows.append((cam, f, base + f, 100.0 + 10 * f, 100.0))
+        rows.append((cam, 2, base + 50, 500.0, 300.0))        # vehicle B, last seen at frame 2
+        rows.append((cam, 2 + back, base + 51, 505.0, 300.0))
+        rows.append((cam, 3, base + 60, 800.0, 500.0))        # vehicle C jumps exactly 50 px
+        rows.append((cam, 4, base + 61, 850.0, 500.0))
+    d = tempfile.mkdtemp(prefix="corridor-tracks-")
+    schema = "camera_id long, frame_id long, det_id long, cx double, cy double"
+    spark.createDataFrame(rows, schema).write.parquet(os.path.join(d, "in"))
+    s = spark.readStream.schema(schema).parquet(os.path.join(d, "in"))
+    _run(TR.track_stream(s), "j7_out", mode="append")
+    out = {r.det_id: r for r in spark.table("j7_out").collect()}
+    assert len(out) == len(rows)
+    for cam in (0, 1):
+        base = cam * 100
+        assert {out[base + f].assigned_track for f in range(10)} == {0}   # A keeps id 0
+        assert all(out[base + f].matched for f in range(1, 10))
+        assert not out[base + 61].matched                                  # 50 px is outside the gate
+    assert out[51].matched and out[51].assigned_track == out[50].assigned_track   # back after 6 frames
+    assert not out[151].matched                                                   # back after 7: new id
+    assert out[9].path_len == 10
