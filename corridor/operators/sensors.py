@@ -150,12 +150,21 @@ def reporting_status(sensors: DataFrame, readings: DataFrame, window_col: str =
 
 def coverage(sensors: DataFrame, readings: DataFrame, window_col: str = "hour_bucket") -> DataFrame:
     """Share of the period's windows in which each (location, category)
-    received data from any of its sensors."""
+    received data from any of its sensors.
+
+    Readings are mapped to (location, category) through the registry (a
+    dimension join, broadcast by AQE when small), de-duplicated per window
+    and counted; the registry's own (location, category) list is then
+    left-joined so combinations without data keep a zero."""
     span = readings.agg((F.max(window_col) - F.min(window_col) + 1).alias("n")).select("n").scalar()
-    rep = readings.select("sensor_key", window_col).distinct()
-    cnt = (sensors.join(rep, "sensor_key", "left")
-           .groupBy("location", "category").agg(F.countDistinct(window_col).alias("reporting_windows")))
-    return cnt.withColumn("quality", F.col("reporting_windows") / span)
+    dim = sensors.select("sensor_key", "location", "category")
+    seen = (readings.select("sensor_key", window_col).join(dim, "sensor_key")
+            .select("location", "category", window_col).distinct()
+            .groupBy("location", "category").agg(F.count(F.lit(1)).alias("reporting_windows")))
+    cells = sensors.select("location", "category").distinct()
+    return (cells.join(seen, ["location", "category"], "left")
+            .withColumn("reporting_windows", F.coalesce("reporting_windows", F.lit(0)))
+            .withColumn("quality", F.col("reporting_windows") / span))
 
 
 def payload_struct(category: Column | None = None) -> Column:

@@ -241,3 +241,37 @@ def g12_isolation_forest_scores(spark, sf_dir):
     """Isolation-forest score and the top-10 % flag per reading."""
     f = FE.model_features(V.readings(spark, sf_dir))
     return IF.detect(f, _IF_FEATURES, "reading_id").select("reading_id", "if_score", "is_ml_anomaly")
+
+
+@query("g1_model_features", sql="""
+with l as (select location, dense_rank() over (order by location) - 1 as c
+           from (select distinct location from readings where location is not null)),
+     w as (select weather, dense_rank() over (order by weather) - 1 as c
+           from (select distinct weather from readings where weather is not null)),
+     s as (select r.*, vehicle_count / (select max(vehicle_count) from readings) * 0.6
+             + (100.0 - average_speed_kmph) / 100.0 * 0.4 as sc from readings r)
+select s.reading_id, s.vehicle_count::bigint as vehicle_count, coalesce(l.c, 0) as location_encoded,
+  coalesce(w.c, 0) as weather_encoded, hour(ts) as hour, isodow(ts) - 1 as day_of_week, month(ts) as month,
+  cast(isodow(ts) - 1 >= 5 as bigint) as is_weekend,
+  cast(hour(ts) between 7 and 9 or hour(ts) between 17 and 19 as bigint) as is_rush_hour,
+  (case when sc > 0 and sc <= 0.33 then 0 when sc > 0.33 and sc <= 0.66 then 1
+        when sc > 0.66 and sc <= 1.0 then 2 end)::varchar as congestion_class,
+  coalesce(case when average_speed_kmph > 0 and average_speed_kmph <= 40 then 0
+                when average_speed_kmph > 40 and average_speed_kmph <= 70 then 1
+                when average_speed_kmph > 70 and average_speed_kmph <= 100 then 2 end, 1)::bigint as speed_band_code
+from s left join l on s.location = l.location left join w on s.weather = w.weather""")
+def g1_model_features(spark, sf_dir):
+    f = FE.model_features(V.readings(spark, sf_dir))
+    return f.select("reading_id", *FE.FEATURE_COLUMNS,
+                    F.col("congestion_class").cast("string").alias("congestion_class"), "speed_band_code")
+
+
+@query("h1_model_result_union", sql=f"""
+with {_ALL_PRED}, {_EVAL}
+select model, case when model = 'hourly_mean' then 'Existing' else 'Proposed' end as type,
+  R6(accuracy) as accuracy, R6(mse) as mse from ev""")
+def h1_model_result_union(spark, sf_dir):
+    ev = M.evaluate(_all_predictions(spark, sf_dir))
+    existing = ev.where(F.col("model") == "hourly_mean").withColumn("type", F.lit("Existing"))
+    proposed = ev.where(F.col("model") != "hourly_mean").withColumn("type", F.lit("Proposed"))
+    return existing.unionByName(proposed).select("model", "type", "accuracy", "mse")
