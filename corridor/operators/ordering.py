@@ -8,8 +8,11 @@ partition gets a similar share even when one group holds most rows (a
 tie-break column keeps equal values splittable).  Per-partition row counts
 form a small table (partitions x groups); its running sums give each
 partition's first rank, and a row's rank is that offset plus its position
-inside the sorted partition.  Everything happens inside one query, so the
-sorted exchange is computed once and reused by both branches.
+inside the sorted partition.  The sorted, position-stamped rows are
+checkpointed (eagerly, into the cluster's ``spark.checkpoint.dir``) so the
+sort runs once, both the count branch and the rank branch read the same
+materialised partitions, and lineage is cut: a lost executor re-reads the
+checkpoint instead of re-sorting.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 _POS_MASK = (1 << 33) - 1
 
 
@@ -33,6 +38,8 @@ def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
                    .withColumn("_mid", F.monotonically_increasing_id()))
     sorted_df = sorted_df.withColumns({"_pid": F.shiftright("_mid", 33),
                                        "_pos": F.col("_mid").bitwiseAND(F.lit(_POS_MASK))})
+    ensure_checkpoint_dir(df.sparkSession)
+    sorted_df = sorted_df.checkpoint(eager=True)
     counts = sorted_df.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_n"),
                                                F.min("_pos").alias("_first"))
     # Running count over the small (partitions x groups) table.
