@@ -177,3 +177,16 @@ def test_centroid_tracker_stream(spark):
     assert out[51].matched and out[51].assigned_track == out[50].assigned_track   # back after 6 frames
     assert not out[151].matched                                                   # back after 7: new id
     assert out[9].path_len == 10
+
+
+def test_sliding_metrics_match_batch(spark, stream_dir):
+    _, src = stream_dir
+    _run(RS.sliding_metrics(RS.read_readings(spark, src, max_files_per_trigger=2)), "j3_out")
+    got = spark.table("j3_out")
+    r = RS.with_event_time(V.readings(spark, SF))
+    exp = (r.groupBy(F.window("event_ts", "1 hour", "5 minutes").alias("w"), "location")
+           .agg(F.count(F.lit(1)).alias("n2"), F.avg("average_speed_kmph").alias("m2"))
+           .select(F.col("w.start").alias("window_start"), "location", "n2", "m2"))
+    j = got.join(exp, ["window_start", "location"])
+    assert j.count() == exp.count() == got.count()
+    assert j.where((F.col("n") != F.col("n2")) | (F.abs(F.col("mean_speed") - F.col("m2")) > 1e-9)).count() == 0
