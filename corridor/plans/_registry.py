@@ -74,6 +74,8 @@ def query(name: str, views: tuple[str, ...] = ("readings",), sql: str | None = N
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``."""
     def deco(fn):
         def run(spark, sf_dir):
+            # corridor's convention: Unix seconds are read in UTC
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return finish(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__

@@ -79,6 +79,10 @@ def compare(spark, name, fn, sql, sf_dir, con):
     res["rows_ok"] = len(sr) == len(dr)
     res["values_ok"] = sr == dr
     if sc == dc:
+        strict = {c: (str(sp[c].dtype), str(dk[c].dtype)) for c in sc
+                  if str(sp[c].dtype) != str(dk[c].dtype) and len(sp)}
+        if strict:
+            res["dtype_notes"] = strict
         res["types_ok"] = all(kind(sp[c].dtype) == kind(dk[c].dtype) or len(sp) == 0 for c in sc)
         if not res["types_ok"]:
             res["types"] = {c: (str(sp[c].dtype), str(dk[c].dtype)) for c in sc

@@ -178,9 +178,9 @@ def d44_proposed_vs_existing(spark, sf_dir):
 
 @query("h3_latest_results", sql=f"""
 with {_PRED}, {_EVAL},
-runs as (select 1 as run_id, model, mse from (select model, avg((actual - predicted) ^ 2) as mse from p
+runs as (select 1::bigint as run_id, model, mse from (select model, avg((actual - predicted) ^ 2) as mse from p
            where reading_id % 2 = 0 group by 1)
-         union all select 2, model, mse from ev)
+         union all select 2::bigint, model, mse from ev)
 select model, run_id, R6(mse) as mse from (
   select *, row_number() over (partition by model order by run_id desc) as rn from runs) where rn = 1""")
 def h3_latest_results(spark, sf_dir):
