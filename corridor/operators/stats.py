@@ -109,13 +109,14 @@ def location_performance(readings: DataFrame) -> DataFrame:
 
 
 def congestion_level_counts(readings: DataFrame) -> DataFrame:
-    """Counts by speed band (null band kept as its own row) and by score bins."""
+    """Counts by speed band (readings outside (0, 100] are not counted) and by score bins."""
     mx = readings.select(F.max("vehicle_count")).scalar()
     t = readings.select(speed_band("average_speed_kmph").alias("band"),
                         score_level(congestion_score("vehicle_count", "average_speed_kmph", mx)).alias("score_bin"))
     structs = F.array(F.struct(F.lit("speed_band").alias("scheme"), F.col("band").alias("level")),
                       F.struct(F.lit("score_bin").alias("scheme"), F.col("score_bin").alias("level")))
-    return (t.select(F.explode(structs).alias("s")).select("s.*")
+    # like a value count, readings outside every band are not a level
+    return (t.select(F.explode(structs).alias("s")).select("s.*").where(F.col("level").isNotNull())
             .groupBy("scheme", "level").agg(F.count(F.lit(1)).alias("n_readings")))
 
 

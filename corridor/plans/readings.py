@@ -335,10 +335,10 @@ with t as (select case when average_speed_kmph > 0 and average_speed_kmph <= 40
                        when average_speed_kmph > 40 and average_speed_kmph <= 70 then 'Medium'
                        when average_speed_kmph > 70 and average_speed_kmph <= 100 then 'Low' end as band,
                   {_SCORE_SQL} as s from readings)
-select 'speed_band' as scheme, band as level, count(*) as n_readings from t group by 2
+select 'speed_band' as scheme, band as level, count(*) as n_readings from t where band is not null group by 2
 union all
 select 'score_bin', case when s < 0.33 then 'low' when s < 0.66 then 'medium' when s >= 0.66 then 'high' end,
-  count(*) from t group by 2""")
+  count(*) from t where s is not null group by 2""")
 def d18_congestion_level_counts(spark, sf_dir):
     return S.congestion_level_counts(R(spark, sf_dir))
 
