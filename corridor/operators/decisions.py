@@ -309,6 +309,3 @@ def format_timestamp(text: str | Column) -> Column:
     secs = F.floor(x)
     return F.coalesce(F.date_format(F.timestamp_seconds(secs), "yyyy-MM-dd HH:mm:ss"), F.lit("Invalid timestamp"))
 
-
-def max_over(agg: DataFrame, col: str) -> Column:
-    return F.max(col).over(Window.partitionBy())

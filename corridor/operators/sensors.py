@@ -58,7 +58,8 @@ def _step_factor(x: Column, steps, greater: bool = True) -> Column:
     return e.otherwise(F.lit(1.0))
 
 
-def weather_factor(df: DataFrame = None) -> Column:
+def weather_factor() -> Column:
+    """Product of the precipitation, visibility, wind and road factors of one weather payload."""
     road = F.col("road_condition")
     road_f = F.when(road.isin("icy", "snow"), ROAD_FACTORS["icy"]).when(road == "wet", ROAD_FACTORS["wet"]).otherwise(1.0)
     return (_step_factor(F.col("precipitation"), PRECIP_FACTORS)

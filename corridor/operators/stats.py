@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.congestion import congestion_score, score_level, speed_band
 from ..functions.numeric import round_half_up
-from ..functions.time import add_time_features, event_time, rush_period
+from ..functions.time import event_time, rush_period
 from .ordering import exact_quantiles, with_group_rank
 
 HOURS = list(range(24))
@@ -257,5 +257,18 @@ def distinct_locations(readings: DataFrame) -> DataFrame:
     return readings.select("location").where(F.col("location").isNotNull()).distinct()
 
 
-def with_features(readings: DataFrame) -> DataFrame:
-    return add_time_features(readings)
+
+def grouped_statistics(readings: DataFrame) -> DataFrame:
+    """D10 + D14 + D15 in one pass: GROUPING SETS over hour, weather and
+    location (one scan, one shuffle of partial aggregates)."""
+    h = _hour(readings)
+    g = h.groupingSets([["hour"], ["weather"], ["location"]], "hour", "weather", "location").agg(
+        F.grouping_id().alias("_gid"),
+        F.avg("average_speed_kmph").alias("avg_speed"), F.avg("vehicle_count").alias("avg_vehicle_count"),
+        F.stddev_samp("average_speed_kmph").alias("speed_std"), F.count(F.lit(1)).alias("n_readings"))
+    # grouping_id bits are (hour, weather, location), 1 = aggregated away
+    dim = (F.when(F.col("_gid") == 3, F.lit("hour")).when(F.col("_gid") == 5, F.lit("weather"))
+            .otherwise(F.lit("location")))
+    key = F.coalesce(F.col("hour").cast("string"), F.col("weather"), F.col("location"))
+    return g.select(dim.alias("dimension"), key.alias("key"), "avg_speed", "avg_vehicle_count", "speed_std",
+                    "n_readings")

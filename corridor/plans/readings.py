@@ -502,3 +502,18 @@ def g2_train_test_split(spark, sf_dir):
     r = FE.train_test_split(R(spark, sf_dir))
     return r.select("reading_id", FE.hash_bucket("reading_id").alias("bucket"), "is_test")
 
+
+
+@query("d15_grouped_statistics", sql="""
+select 'hour' as dimension, cast(hour(ts) as varchar) as key, R6(avg(average_speed_kmph)) as avg_speed,
+  R6(avg(vehicle_count)) as avg_vehicle_count, R6(stddev_samp(average_speed_kmph)) as speed_std,
+  count(*) as n_readings from readings group by hour(ts)
+union all
+select 'weather', weather, R6(avg(average_speed_kmph)), R6(avg(vehicle_count)), R6(stddev_samp(average_speed_kmph)),
+  count(*) from readings group by weather
+union all
+select 'location', location, R6(avg(average_speed_kmph)), R6(avg(vehicle_count)),
+  R6(stddev_samp(average_speed_kmph)), count(*) from readings group by location""")
+def d15_grouped_statistics(spark, sf_dir):
+    """Hour, weather and location statistics from one GROUPING SETS pass."""
+    return S.grouped_statistics(R(spark, sf_dir))
