@@ -41,7 +41,7 @@ def b10_light_timing(spark, sf_dir):
 @query("b11_route_advice", sql=f"""
 select reading_id, {_pick(D.ROUTE_ADVICE, 0)} as advice,
   ({_pick(D.ROUTE_ADVICE, 1)})::bigint as delay_min_lo, ({_pick(D.ROUTE_ADVICE, 2)})::bigint as delay_min_hi
-from readings""".replace("'use_alternative_routes'", "'use_alternative_routes'"))
+from readings""")
 def b11_route_advice(spark, sf_dir):
     r = R(spark, sf_dir)
     return r.select("reading_id", D.route_advice("average_speed_kmph").alias("a")).select("reading_id", "a.*")
@@ -277,3 +277,17 @@ from readings""")
 def k1_format_timestamp(spark, sf_dir):
     r = R(spark, sf_dir)
     return r.select("reading_id", D.format_timestamp(F.col("timestamp").cast("string")).alias("formatted"))
+
+
+@query("c6_weather_factors", sql=f"""
+select reading_id, weather, R6({_sql_map(D.SIGNAL_WEATHER, 'weather', 1.0)}) as signal_factor,
+  R6({_sql_map(D.EMISSION_WEATHER, 'weather', 1.0)}) as emission_factor,
+  R6({_sql_map(D.SPEED_WEATHER, 'weather', 1.0)}) as speed_factor
+from readings""")
+def c6_weather_factors(spark, sf_dir):
+    """Dimension lookups weather -> factor (unknown -> 1.0) for the three rules."""
+    r = R(spark, sf_dir)
+    w = F.col("weather")
+    return r.select("reading_id", "weather", D._map_lookup(D.SIGNAL_WEATHER, w, 1.0).alias("signal_factor"),
+                    D._map_lookup(D.EMISSION_WEATHER, w, 1.0).alias("emission_factor"),
+                    D._map_lookup(D.SPEED_WEATHER, w, 1.0).alias("speed_factor"))

@@ -148,3 +148,16 @@ def d33_flow_summary(spark, sf_dir):
 def d34_congestion_hotspots(spark, sf_dir):
     """Per-frame k-means hotspots (property-checked in tests, no oracle)."""
     return DT.congestion_hotspots(_valid(spark, sf_dir))
+
+
+@query("d47_frame_truck_share", views=_V, sql=f"""
+with {_VALID}, {_FRAMES}
+select camera_id, frame_id, total_vehicles, truck, R6(truck / total_vehicles) as truck_share,
+  truck > total_vehicles * 0.3 as heavy_vehicle_alert
+from f""")
+def d47_frame_truck_share(spark, sf_dir):
+    """Per-frame totals and truck share (the heavy-vehicle rule's input)."""
+    c = DT.frame_counts(_valid(spark, sf_dir))
+    return c.select("camera_id", "frame_id", "total_vehicles", "truck",
+                    F.try_divide(F.col("truck"), F.col("total_vehicles")).alias("truck_share"),
+                    (F.col("truck") > F.col("total_vehicles") * 0.3).alias("heavy_vehicle_alert"))

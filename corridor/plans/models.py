@@ -275,3 +275,11 @@ def h1_model_result_union(spark, sf_dir):
     existing = ev.where(F.col("model") == "hourly_mean").withColumn("type", F.lit("Existing"))
     proposed = ev.where(F.col("model") != "hourly_mean").withColumn("type", F.lit("Proposed"))
     return existing.unionByName(proposed).select("model", "type", "accuracy", "mse")
+
+
+@query("g9_model_scoring")
+def g9_model_scoring(spark, sf_dir):
+    """Fit the linear model on the training rows and score the test rows
+    with the saved-pipeline API (``PipelineModel.transform``)."""
+    f = _features(spark, sf_dir)
+    return M.predictions(M.train_models(f, ["linear_regression"]), f)

@@ -147,3 +147,12 @@ from (select location, avg(vehicle_count) as m from readings group by 1)""")
 def e9_location_volume_share(spark, sf_dir):
     a = V.readings(spark, sf_dir).groupBy("location").agg(F.avg("vehicle_count").alias("mean_vehicle_count"))
     return TS.max_normalised(a, "mean_vehicle_count")
+
+
+@query("e2_rolling_stats", sql=f"""
+select reading_id, location, {", ".join(f"{_T}_rolling_{s}_{n}" for n in TS.ROLLING for s in ("mean", "std"))}
+from ({_FEATURES_SQL}) f""")
+def e2_rolling_stats(spark, sf_dir):
+    f = TS.lag_features(V.readings(spark, sf_dir), chunk_rows=CHUNK_ROWS)
+    return f.select("reading_id", "location",
+                    *[f"{_T}_rolling_{s}_{n}" for n in TS.ROLLING for s in ("mean", "std")])

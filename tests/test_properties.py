@@ -150,3 +150,16 @@ def test_plan_shapes(spark):
         # checkpointed (read back as an existing RDD), not from a window
         # without partitioning over the raw rows
         assert "existingrdd" in plan.lower(), name
+
+
+def test_column_types_and_history_append(spark):
+    from corridor.operators import quality as Q
+    r = V.readings(spark, SF)
+    types = dict(Q.column_types(r))
+    assert types["timestamp"] == "bigint" and types["average_speed_kmph"] == "double"
+    assert Q.column_types_frame(spark, r).count() == len(r.columns)
+    d = tempfile.mkdtemp(prefix="corridor-hist-")
+    part = r.limit(5).withColumn("run_date", F.lit("2024-01-01"))
+    IO.append_history(part, d)
+    IO.append_history(part, d)
+    assert spark.read.parquet(d).count() == 10
