@@ -29,11 +29,16 @@ RESULT_SCHEMA = T.StructType([
 ])
 
 
-def load_readings_csv(spark: SparkSession, path: str) -> DataFrame:
+def load_readings_csv(spark: SparkSession, path: str) -> DataFrame | None:
     """A1: header CSV of readings; malformed lines are kept in
-    ``_corrupt_record`` (PERMISSIVE) instead of failing the job."""
-    return (spark.read.schema(READINGS_CSV_SCHEMA).option("header", "true").option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
+    ``_corrupt_record`` (PERMISSIVE) instead of failing the job.  A missing
+    path gives ``None``, like the reference's loader."""
+    from pyspark.errors import AnalysisException
+    try:
+        return (spark.read.schema(READINGS_CSV_SCHEMA).option("header", "true").option("mode", "PERMISSIVE")
+                .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
+    except AnalysisException:
+        return None
 
 
 def save_results_json(results: DataFrame, path: str) -> None:

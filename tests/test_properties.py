@@ -117,6 +117,7 @@ def test_io_round_trips(spark):
     with open(csv, "w") as fh:
         fh.write("timestamp,location,weather,vehicle_count,average_speed_kmph\n")
         fh.write("1704067200,A,Sunny,10,50.5\n1704067260,B,Rainy,x,40\n")
+    assert IO.load_readings_csv(spark, os.path.join(d, "missing.csv")) is None
     rows = IO.load_readings_csv(spark, csv).collect()
     assert len(rows) == 2 and rows[1]._corrupt_record is not None and rows[0].vehicle_count == 10
     res = spark.createDataFrame([("m", 1.0, 0.5, 0.9, 0.8, 0.7, 0.75, [[1, 2, 0], [0, 3, 0], [0, 0, 4]], [1.5, 2.5])],
