@@ -66,14 +66,21 @@ def density_grid(valid: DataFrame) -> DataFrame:
     return cells.withColumn("density", F.col("weight") / F.max("weight").over(frame))
 
 
+def gaussian_kernel(sigma: float | None = None, size: int = 5) -> list[float]:
+    """Normalised 1-D Gaussian weights; sigma defaults to the usual rule for
+    the kernel size, 0.3 * ((size - 1) / 2 - 1) + 0.8."""
+    import math
+    s = sigma if sigma else 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    half = size // 2
+    k = [math.exp(-(i * i) / (2 * s * s)) for i in range(-half, half + 1)]
+    tot = sum(k)
+    return [v / tot for v in k]
+
+
 def smoothed_grid(grid: DataFrame, sigma: float | None = None) -> DataFrame:
     """D31 (smoothed): 5x5 Gaussian spread of each non-empty cell (explode of
     25 neighbour weights, zero outside the image), then re-normalised."""
-    import math
-    s = sigma if sigma else 0.3 * ((5 - 1) * 0.5 - 1) + 0.8
-    k1 = [math.exp(-(i * i) / (2 * s * s)) for i in range(-2, 3)]
-    tot = sum(k1)
-    k1 = [v / tot for v in k1]
+    k1 = gaussian_kernel(sigma)
     offs = [F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(k1[dx + 2] * k1[dy + 2]).alias("k"))
             for dx in range(-2, 3) for dy in range(-2, 3)]
     gw, gh = IMAGE_W // GRID_CELL, IMAGE_H // GRID_CELL

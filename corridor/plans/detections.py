@@ -58,9 +58,21 @@ def d31_density_grid(spark, sf_dir):
     return DT.density_grid(_valid(spark, sf_dir))
 
 
-@query("d31_density_grid_smoothed", views=_V)
+def _kernel_values():
+    k = DT.gaussian_kernel()
+    return ", ".join(f"({dx}, {dy}, {k[dx + 2] * k[dy + 2]!r}::double)" for dx in range(-2, 3) for dy in range(-2, 3))
+
+
+@query("d31_density_grid_smoothed", views=_V, sql=f"""
+with {_VALID}, {_GRID},
+k(dx, dy, w) as (values {_kernel_values()}),
+sp as (select g.camera_id, g.frame_id, g.gx + k.dx as gx, g.gy + k.dy as gy, sum(g.weight * k.w) as weight
+       from g, k where g.gx + k.dx between 0 and 127 and g.gy + k.dy between 0 and 71 group by 1, 2, 3, 4)
+select camera_id, frame_id, gx::bigint as gx, gy::bigint as gy, R6(weight) as weight,
+  R6(weight / max(weight) over (partition by camera_id, frame_id)) as density from sp""")
 def d31_density_grid_smoothed(spark, sf_dir):
-    """5x5 Gaussian-smoothed grid (property-checked in tests, no oracle)."""
+    """5x5 Gaussian-smoothed grid: 25 weighted neighbour copies per
+    non-empty cell, re-summed and normalised per frame."""
     return DT.smoothed_grid(DT.density_grid(_valid(spark, sf_dir)))
 
 
