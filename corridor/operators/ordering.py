@@ -53,14 +53,25 @@ def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                    probs: Sequence[float], tie_break: str | None = None) -> DataFrame:
+                    probs: Sequence[float], tie_break: str | None = None,
+                    approx_accuracy: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles (the pandas / ``quantile_cont`` rule)
     per group: one row per (group, prob) with column ``quantile``.
 
     Nulls are ignored.  Only the two order statistics around each target
     position are kept after ranking, so no group is ever materialised whole.
+    With ``approx_accuracy`` the answer comes instead from
+    ``percentile_approx`` (one aggregation pass with bounded sketches, rank
+    error about 1 / accuracy, values taken from the data, no interpolation)
+    for when a full sort is not worth its cost.
     """
     g = list(group_cols)
+    if approx_accuracy:
+        arr = F.percentile_approx(value_col, [float(p) for p in probs], approx_accuracy)
+        a = df.where(F.col(value_col).isNotNull()).groupBy(*g).agg(arr.alias("_q"))
+        pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("_q").alias("quantile"))
+        return a.select(*g, F.explode(pairs).alias("z")).select(*g, F.col("z.prob").alias("prob"),
+                                                                F.col("z.quantile").cast("double").alias("quantile"))
     tb = tie_break or "_tb"
     base = df.where(F.col(value_col).isNotNull())
     if tie_break is None:

@@ -86,11 +86,12 @@ def _long_numeric(readings: DataFrame, columns: Sequence[str], id_col: str | Non
 
 
 def iqr_bounds(readings: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS,
-               id_col: str | None = "reading_id") -> DataFrame:
-    """Q1, Q3 and the 1.5 IQR fences per column (exact, distributed)."""
+               id_col: str | None = "reading_id", approx_accuracy: int | None = None) -> DataFrame:
+    """Q1, Q3 and the 1.5 IQR fences per column (exact and distributed by
+    default; ``approx_accuracy`` switches to one-pass sketches)."""
     long = _long_numeric(readings, columns, id_col)
     q = exact_quantiles(long, ["column_name"], "value", [0.25, 0.75],
-                        tie_break=id_col)
+                        tie_break=id_col, approx_accuracy=approx_accuracy)
     return (q.groupBy("column_name")
              .agg(F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
                   F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"))
@@ -100,10 +101,10 @@ def iqr_bounds(readings: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS,
 
 
 def iqr_outliers(readings: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS,
-                 id_col: str | None = "reading_id") -> DataFrame:
+                 id_col: str | None = "reading_id", approx_accuracy: int | None = None) -> DataFrame:
     """Number of values outside the IQR fences per numeric column.
     The bounds table has one row per column: broadcast is bounded."""
-    bounds = iqr_bounds(readings, columns, id_col)
+    bounds = iqr_bounds(readings, columns, id_col, approx_accuracy)
     long = _long_numeric(readings, columns, None)
     return (long.join(F.broadcast(bounds), "column_name")
             .groupBy("column_name", "q1", "q3", "lower_bound", "upper_bound")

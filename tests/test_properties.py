@@ -164,3 +164,11 @@ def test_column_types_and_history_append(spark):
     IO.append_history(part, d)
     IO.append_history(part, d)
     assert spark.read.parquet(d).count() == 10
+
+
+def test_approx_quantiles_close_to_exact(spark, skewed):
+    probs = [0.25, 0.5, 0.75]
+    ex = {(r.k, r.prob): r.quantile for r in exact_quantiles(skewed, ["k"], "v", probs, tie_break="id").collect()}
+    ap = {(r.k, r.prob): r.quantile for r in exact_quantiles(skewed, ["k"], "v", probs, approx_accuracy=10000).collect()}
+    assert set(ex) == set(ap)
+    assert all(abs(ex[k] - ap[k]) <= 1.0 for k in ex)     # values are integers 0..19
