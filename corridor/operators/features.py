@@ -3,7 +3,7 @@ model features and the reproducible train/test split (B1-B9, G1, G2)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.congestion import (congestion_class, congestion_score, level_from_speed,
@@ -36,12 +36,14 @@ def with_rush_period(readings: DataFrame) -> DataFrame:
 def label_encoder(df: DataFrame, col: str, code_col: str | None = None) -> DataFrame:
     """B4 fit: alphabetical 0-based code per distinct non-null label.
 
-    The window runs over the distinct labels only (a categorical domain), not
-    over the readings.
+    The distinct labels are ranked with the distributed sort, so even a
+    large label set never passes through one task.
     """
+    from .ordering import with_group_rank
     code_col = code_col or f"{col}_encoded"
     labels = df.select(col).where(F.col(col).isNotNull()).distinct()
-    return labels.withColumn(code_col, (F.dense_rank().over(Window.orderBy(col)) - 1))
+    # distinct labels: the 0-based position in sorted order is the code
+    return with_group_rank(labels, [], [col], code_col)
 
 
 def apply_label_encoder(df: DataFrame, encoder: DataFrame, col: str,

@@ -8,7 +8,7 @@ of future steps after each location's latest reading.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import event_time
@@ -67,10 +67,10 @@ def forecast_slice(fc: DataFrame, location: str | None = None, weather: str | No
 
 def demand_matrix(readings: DataFrame) -> DataFrame:
     """Mean vehicle count per (location, hour) divided by the largest
-    cell, so demand lies in (0, 1] (the window runs over the aggregate)."""
+    cell, so demand lies in (0, 1] (the max is a scalar subquery)."""
     a = (readings.withColumn("hour", F.hour(event_time("timestamp"))).groupBy("location", "hour")
          .agg(F.avg("vehicle_count").alias("mean_vehicle_count")))
-    return a.withColumn("demand", F.col("mean_vehicle_count") / F.max("mean_vehicle_count").over(Window.partitionBy()))
+    return a.withColumn("demand", F.col("mean_vehicle_count") / a.select(F.max("mean_vehicle_count")).scalar())
 
 
 def rows_of_type(typed: DataFrame, kind: str) -> DataFrame:

@@ -23,6 +23,12 @@ DAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 HIST_BINS = 30
 
 
+def _rank(agg: DataFrame, order: Sequence[str]) -> DataFrame:
+    """1-based ``rank`` of an aggregate whose row count depends on the data
+    (e.g. one row per location): distributed sort, no single-task window."""
+    return with_group_rank(agg, [], list(order), "_r").withColumn("rank", F.col("_r") + 1).drop("_r")
+
+
 def _hour(df: DataFrame) -> DataFrame:
     return df.withColumn("hour", F.hour(event_time("timestamp")))
 
@@ -33,8 +39,9 @@ def value_counts(readings: DataFrame, columns: Sequence[str] = ("weather", "loca
     counts = (readings.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
               .where(F.col("value").isNotNull())
               .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count")))
-    w = Window.partitionBy("column_name").orderBy(F.desc("count"), "value")
-    return counts.withColumn("rank", F.row_number().over(w))
+    # the value domain is data dependent: rank with the distributed sort
+    ranked = with_group_rank(counts.withColumn("_neg", -F.col("count")), ["column_name"], ["_neg", "value"], "_r")
+    return ranked.withColumn("rank", F.col("_r") + 1).drop("_neg", "_r")
 
 
 def hourly_pattern(readings: DataFrame) -> DataFrame:
@@ -63,7 +70,7 @@ def daily_hour_trend(readings: DataFrame) -> DataFrame:
 def location_mean_speed(readings: DataFrame) -> DataFrame:
     """Mean speed per location, ranked ascending."""
     a = readings.groupBy("location").agg(F.avg("average_speed_kmph").alias("mean_speed"))
-    return a.withColumn("rank", F.row_number().over(Window.orderBy("mean_speed", "location")))
+    return _rank(a, ["mean_speed", "location"])
 
 
 def _group_stats(readings: DataFrame, key: str) -> DataFrame:
@@ -92,7 +99,7 @@ def location_efficiency(readings: DataFrame) -> DataFrame:
         round_half_up(F.avg("average_speed_kmph"), 1).alias("avg_speed"),
         round_half_up(F.avg("vehicle_count"), 1).alias("avg_vehicle_count"))
     a = a.withColumn("efficiency", F.col("avg_speed") / (F.col("avg_vehicle_count") + 1) * 100)
-    return a.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("efficiency"), "location")))
+    return _rank(a.withColumn("_neg", -F.col("efficiency")), ["_neg", "location"]).drop("_neg")
 
 
 def location_performance(readings: DataFrame) -> DataFrame:
@@ -101,11 +108,11 @@ def location_performance(readings: DataFrame) -> DataFrame:
     a = readings.groupBy("location").agg(
         round_half_up(F.avg("average_speed_kmph"), 2).alias("speed_avg"),
         round_half_up(F.avg("vehicle_count"), 2).alias("vehicle_avg"))
-    all_rows = Window.partitionBy()
+    max_speed = a.select(F.max("speed_avg")).scalar()      # scalar subqueries over the aggregate
+    max_vehicles = a.select(F.max("vehicle_avg")).scalar()
     a = a.withColumn("performance_score",
-                     (F.col("speed_avg") / F.max("speed_avg").over(all_rows) * 0.6
-                      + (1 - F.col("vehicle_avg") / F.max("vehicle_avg").over(all_rows)) * 0.4) * 100)
-    return a.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("performance_score"), "location")))
+                     (F.col("speed_avg") / max_speed * 0.6 + (1 - F.col("vehicle_avg") / max_vehicles) * 0.4) * 100)
+    return _rank(a.withColumn("_neg", -F.col("performance_score")), ["_neg", "location"]).drop("_neg")
 
 
 def congestion_level_counts(readings: DataFrame) -> DataFrame:

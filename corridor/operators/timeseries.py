@@ -171,5 +171,5 @@ def peak_hours(readings: DataFrame) -> DataFrame:
 
 
 def max_normalised(agg: DataFrame, value: str, out: str | None = None) -> DataFrame:
-    """Value / max(value) over an already aggregated (bounded) table."""
-    return agg.withColumn(out or f"{value}_norm", F.col(value) / F.max(value).over(Window.partitionBy()))
+    """Value / max(value) of an aggregated table (max as a scalar subquery)."""
+    return agg.withColumn(out or f"{value}_norm", F.col(value) / agg.select(F.max(value)).scalar())

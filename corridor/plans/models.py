@@ -177,17 +177,18 @@ def d44_proposed_vs_existing(spark, sf_dir):
 
 
 @query("h3_latest_results", sql=f"""
-with {_PRED}, {_EVAL},
-runs as (select 1::bigint as run_id, model, mse from (select model, avg((actual - predicted) ^ 2) as mse from p
-           where reading_id % 2 = 0 group by 1)
-         union all select 2::bigint, model, mse from ev)
+with {_ALL_PRED}, {_EVAL},
+runs as (select 1::bigint as run_id, model, mse from ev where model in ('heuristic', 'hourly_mean')
+         union all
+         select 2::bigint, model, mse from ev where model in ('hourly_mean', 'ensemble'))
 select model, run_id, R6(mse) as mse from (
   select *, row_number() over (partition by model order by run_id desc) as rn from runs) where rn = 1""")
 def h3_latest_results(spark, sf_dir):
-    p = prediction_table(spark, sf_dir)
-    run1 = (p.where(F.col("reading_id") % 2 == 0).groupBy("model")
-            .agg(F.avg((F.col("actual") - F.col("predicted")) ** 2).alias("mse")).withColumn("run_id", F.lit(1)))
-    run2 = M.evaluate(p).select("model", "mse").withColumn("run_id", F.lit(2))
+    """Two result sets (run 1: heuristic + hourly mean; run 2, later: hourly
+    mean + ensemble) merged with the later run winning per model."""
+    ev = M.evaluate(_all_predictions(spark, sf_dir)).select("model", "mse")
+    run1 = ev.where(F.col("model").isin("heuristic", "hourly_mean")).withColumn("run_id", F.lit(1))
+    run2 = ev.where(F.col("model").isin("hourly_mean", "ensemble")).withColumn("run_id", F.lit(2))
     return M.latest_results(run1.unionByName(run2)).select("model", "run_id", "mse")
 
 
