@@ -102,3 +102,27 @@ def anomaly_counts(scored: DataFrame) -> DataFrame:
                  F.count_if(F.col("anomaly_detected")).alias("n_anomalies"),
                  F.count_if(F.array_contains("anomaly_types", "speed_anomaly")).alias("n_speed"),
                  F.count_if(F.array_contains("anomaly_types", "volume_anomaly")).alias("n_volume")))
+
+
+FOREST_FEATURES = ("average_speed_kmph", "vehicle_count", "hour", "weather_encoded", "is_weekend")
+
+
+def score_with_forest(readings: DataFrame, baseline: DataFrame, *, z_threshold: float = Z_THRESHOLD,
+                      **forest_kw) -> DataFrame:
+    """C1 + G12: the z tests plus the isolation-forest verdict on the scaled
+    [speed, volume, hour, weather code, weekend] vector, which adds
+    'ml_pattern_anomaly' to the types (and a review recommendation).  The
+    forest columns are computed on the same rows, so no join is needed."""
+    from . import isolation
+    from .features import model_features
+    f = model_features(readings)
+    s = score_anomalies(f, baseline, z_threshold=z_threshold)
+    d = isolation.detect(s, FOREST_FEATURES, "reading_id", **forest_kw)
+    ml = F.col("is_ml_anomaly")
+    return d.withColumns({
+        "anomaly_types": F.when(ml, F.array_append("anomaly_types", F.lit("ml_pattern_anomaly")))
+                          .otherwise(F.col("anomaly_types")),
+        "anomaly_detected": F.col("anomaly_detected") | ml,
+        "recommendations": F.when(ml, F.array_append("recommendations", F.lit("ml_pattern_review")))
+                            .otherwise(F.col("recommendations")),
+    })

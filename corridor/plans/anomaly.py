@@ -91,3 +91,14 @@ from t group by 1, 2""")
 def d46_anomaly_counts(spark, sf_dir):
     r = V.readings(spark, sf_dir)
     return A.anomaly_counts(A.score_anomalies(r, A.hourly_baseline(r)))
+
+
+@query("c1_anomaly_scores_with_forest")
+def c1_anomaly_scores_with_forest(spark, sf_dir):
+    """z tests plus the isolation-forest verdict (property-checked: the ML
+    branch flags about 10 % of the readings)."""
+    r = V.readings(spark, sf_dir)
+    s = A.score_with_forest(r, A.hourly_baseline(r))
+    return s.select("reading_id", "severity", "anomaly_detected", "if_score",
+                    F.array_join("anomaly_types", ",").alias("anomaly_types"),
+                    F.array_join("recommendations", ",").alias("recommendations"))

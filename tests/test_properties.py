@@ -172,3 +172,15 @@ def test_approx_quantiles_close_to_exact(spark, skewed):
     ap = {(r.k, r.prob): r.quantile for r in exact_quantiles(skewed, ["k"], "v", probs, approx_accuracy=10000).collect()}
     assert set(ex) == set(ap)
     assert all(abs(ex[k] - ap[k]) <= 1.0 for k in ex)     # values are integers 0..19
+
+
+def test_views_and_forest_scoring(spark):
+    from corridor.operators import anomaly as A
+    from corridor.sources.tables import register_views
+    register_views(spark, SF)
+    n = spark.sql("select count(*) from readings where vehicle_count >= 0").first()[0]
+    assert n == spark.sql("select count(*) from events").first()[0]
+    r = V.readings(spark, SF)
+    s = A.score_with_forest(r, A.hourly_baseline(r), n_trees=40).toPandas()
+    ml = s["anomaly_types"].map(lambda t: "ml_pattern_anomaly" in t)
+    assert 0.07 <= ml.mean() <= 0.13 and (s.loc[ml, "anomaly_detected"]).all()
