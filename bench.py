@@ -25,6 +25,8 @@ HEADLINE = [
     "d15_location_stats_large",
     "c1_anomaly_scores",
     "d46_anomaly_counts",
+    "d46_anomaly_counts_large",
+    "d29_box_stats_large",
     "d6_iqr_outliers",
     "d29_box_stats",
     "d20_day_hour_matrix",

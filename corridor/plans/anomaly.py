@@ -102,3 +102,22 @@ def c1_anomaly_scores_with_forest(spark, sf_dir):
     return s.select("reading_id", "severity", "anomaly_detected", "if_score",
                     F.array_join("anomaly_types", ",").alias("anomaly_types"),
                     F.array_join("recommendations", ",").alias("recommendations"))
+
+
+@query("d46_anomaly_counts_large", views=("readings_large",), sql="""
+with b as (select hour(ts) as hour, avg(average_speed_kmph) as speed_mean, stddev_samp(average_speed_kmph) as speed_std,
+             avg(vehicle_count) as volume_mean, stddev_samp(vehicle_count) as volume_std
+           from readings_large group by 1),
+s as (select hour(r.ts) as hour,
+        abs(r.average_speed_kmph - b.speed_mean) / (b.speed_std + 1e-8) as speed_z,
+        abs(r.vehicle_count - b.volume_mean) / (b.volume_std + 1e-8) as volume_z
+      from readings_large r left join b on hour(r.ts) = b.hour),
+t as (select hour, coalesce(speed_z > 2.5, false) as sh, coalesce(volume_z > 2.5, false) as vh,
+        greatest(speed_z, volume_z) as max_z from s)
+select hour, case when max_z > 4 then 'high' when max_z > 3 then 'medium' else 'low' end as severity,
+  count(*) as n_readings, count_if(sh or vh)::bigint as n_anomalies, count_if(sh)::bigint as n_speed,
+  count_if(vh)::bigint as n_volume
+from t group by 1, 2""")
+def d46_anomaly_counts_large(spark, sf_dir):
+    r = V.readings_large(spark, sf_dir)
+    return A.anomaly_counts(A.score_anomalies(r, A.hourly_baseline(r)))

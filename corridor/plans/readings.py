@@ -517,3 +517,14 @@ select 'location', location, R6(avg(average_speed_kmph)), R6(avg(vehicle_count))
 def d15_grouped_statistics(spark, sf_dir):
     """Hour, weather and location statistics from one GROUPING SETS pass."""
     return S.grouped_statistics(R(spark, sf_dir))
+
+
+@query("d29_box_stats_large", views=("readings_large",), sql="""
+select weather, R6(quantile_cont(average_speed_kmph, 0.0)) as min, R6(quantile_cont(average_speed_kmph, 0.25)) as q1,
+  R6(quantile_cont(average_speed_kmph, 0.5)) as median, R6(quantile_cont(average_speed_kmph, 0.75)) as q3,
+  R6(quantile_cont(average_speed_kmph, 1.0)) as max
+from readings_large where average_speed_kmph is not null group by 1""")
+def d29_box_stats_large(spark, sf_dir):
+    """Box statistics over the 600k-row table (no row id: ties broken by a
+    hash of the row, equal rows have equal values)."""
+    return S.box_stats(RL(spark, sf_dir), id_col=None)
