@@ -159,6 +159,12 @@ def score(df: DataFrame, model: dict, out: str = "if_score") -> DataFrame:
         return pd.Series(np.power(2.0, -h / c_n))
 
     cols = _scaled(df, model["features"], model["stats"])
+    # Scoring is CPU work in Python workers: when the input arrives in fewer
+    # partitions than there are cores (a small file), spread it first.  Large
+    # inputs already come in many file splits and are left as they are.
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
     return df.withColumn(out, _score(*[c for c in cols]))
 
 
@@ -167,11 +173,15 @@ def detect(df: DataFrame, features: Sequence[str], id_col: str, contamination: f
     """Fit, score and flag the top ``contamination`` share as
     ``ml_pattern_anomaly``."""
     from pyspark import StorageLevel
+    # The input is read three times (scaling stats, tree sample, scoring):
+    # keep it (memory, then disk) for the duration of the fit.
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     model = fit(df, features, id_col, **kw)
-    # Scores feed both the threshold and the output: keep them (memory, then
-    # disk) instead of walking the forest twice; a lost block is recomputed
-    # deterministically from the broadcast forest.
+    # Scores feed both the threshold and the output: keep them instead of
+    # walking the forest twice; a lost block is recomputed deterministically
+    # from the broadcast forest.
     s = score(df, model).persist(StorageLevel.MEMORY_AND_DISK)
     thr = exact_quantiles(s.select(id_col, "if_score"), [], "if_score", [1.0 - contamination], tie_break=id_col)
-    threshold = thr.select("quantile").first()[0]   # a single number
+    threshold = thr.select("quantile").first()[0]   # a single number; the scores are now cached
+    df.unpersist()
     return s.withColumn("is_ml_anomaly", F.col("if_score") > F.lit(threshold))
