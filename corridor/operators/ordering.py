@@ -75,7 +75,9 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     tb = tie_break or "_tb"
     base = df.where(F.col(value_col).isNotNull())
     if tie_break is None:
-        base = base.withColumn("_tb", F.xxhash64(*[F.col(c) for c in df.columns]))
+        # a unique tie-break, so even a third of the rows holding one value
+        # (or identical copies of one row) spread over the range partitions
+        base = base.withColumn("_tb", F.monotonically_increasing_id())
     base = base.select(*g, F.col(value_col).alias("_v"), tb)
     ranked = with_group_rank(base, g, ["_v", tb], "_r")
     sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_cnt"))

@@ -525,6 +525,6 @@ select weather, R6(quantile_cont(average_speed_kmph, 0.0)) as min, R6(quantile_c
   R6(quantile_cont(average_speed_kmph, 1.0)) as max
 from readings_large where average_speed_kmph is not null group by 1""")
 def d29_box_stats_large(spark, sf_dir):
-    """Box statistics over the 600k-row table (no row id: ties broken by a
-    hash of the row, equal rows have equal values)."""
+    """Box statistics over the 600k-row table (no row id: ties are broken by
+    a generated unique id, so duplicate rows still spread out)."""
     return S.box_stats(RL(spark, sf_dir), id_col=None)

@@ -184,3 +184,23 @@ def test_views_and_forest_scoring(spark):
     s = A.score_with_forest(r, A.hourly_baseline(r), n_trees=40).toPandas()
     ml = s["anomaly_types"].map(lambda t: "ml_pattern_anomaly" in t)
     assert 0.07 <= ml.mean() <= 0.13 and (s.loc[ml, "anomaly_detected"]).all()
+
+
+def test_quantiles_with_a_third_identical_copies(spark):
+    # a third of the rows are copies of one row: the ranks must still spread
+    rng = np.random.default_rng(7)
+    vals = np.concatenate([np.full(1500, 5.0), rng.normal(0, 1, 3000)])
+    df = spark.createDataFrame(pd.DataFrame({"g": "x", "v": vals})).repartition(6)
+    got = {r.prob: r.quantile for r in exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.9]).collect()}
+    s = pd.Series(vals)
+    for p, q in got.items():
+        assert q == pytest.approx(s.quantile(p), abs=1e-9)
+    # the range partitions stay balanced (AQE coalescing off, else it merges
+    # these small partitions into one on purpose)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = (df.withColumn("id", F.monotonically_increasing_id()).repartitionByRange(6, "g", "v", "id")
+                 .groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(r["count"] for r in parts) < 0.4 * len(vals)
