@@ -105,13 +105,25 @@ def fuse(readings: DataFrame, sensors: DataFrame, window_col: str = "hour_bucket
             .drop("_speed_std", "_w", "_a", "_n")
 
 
-def inventory(sensors: DataFrame) -> DataFrame:
-    """Sensors per category, active count and data points."""
-    return (sensors.groupBy("category")
+def inventory(sensors: DataFrame, readings: DataFrame | None = None, window_col: str = "hour_bucket") -> DataFrame:
+    """Sensors per category, active count, reporting count (active
+    sensors with a payload in the latest window; all active sensors when no
+    readings are given) and data points per minute = reporting x 6."""
+    s = sensors
+    if readings is not None:
+        latest = readings.select(F.max(window_col)).scalar()
+        rep = (readings.where(F.col(window_col) == latest).select("sensor_key").distinct()
+               .withColumn("_rep", F.lit(True)))
+        s = s.join(rep, "sensor_key", "left")
+        reporting = F.count_if((F.col("status") == "active") & F.coalesce(F.col("_rep"), F.lit(False)))
+    else:
+        reporting = F.count_if(F.col("status") == "active")
+    return (s.groupBy("category")
             .agg(F.count(F.lit(1)).alias("total"),
                  F.count_if(F.col("status") == "active").alias("active"),
-                 F.count_if(F.col("status") == "maintenance").alias("in_maintenance"))
-            .withColumn("data_points", F.col("active") * DATA_POINTS_PER_SENSOR))
+                 F.count_if(F.col("status") == "maintenance").alias("in_maintenance"),
+                 reporting.alias("reporting"))
+            .withColumn("data_points", F.col("reporting") * DATA_POINTS_PER_SENSOR))
 
 
 def maintenance_alerts(sensors: DataFrame) -> DataFrame:

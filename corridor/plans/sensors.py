@@ -85,12 +85,16 @@ def d38_traffic_health(spark, sf_dir):
                     score_band("traffic_health_score", 0.8, 0.6).alias("health_band"))
 
 
-@query("d39_sensor_inventory", views=("sensors",), sql="""
+@query("d39_sensor_inventory", views=_VIEWS, sql="""
+with rep as (select distinct sensor_key from sensor_readings
+             where hour_bucket = (select max(hour_bucket) from sensor_readings))
 select category, count(*) as total, count_if(status = 'active')::bigint as active,
-  count_if(status = 'maintenance')::bigint as in_maintenance, count_if(status = 'active')::bigint * 6 as data_points
-from sensors group by 1""")
+  count_if(status = 'maintenance')::bigint as in_maintenance,
+  count_if(status = 'active' and rep.sensor_key is not null)::bigint as reporting,
+  count_if(status = 'active' and rep.sensor_key is not null)::bigint * 6 as data_points
+from sensors left join rep on sensors.sensor_key = rep.sensor_key group by 1""")
 def d39_sensor_inventory(spark, sf_dir):
-    return SN.inventory(V.sensors(spark, sf_dir))
+    return SN.inventory(V.sensors(spark, sf_dir), V.sensor_readings(spark, sf_dir))
 
 
 _ALERTS_SQL = """
