@@ -63,3 +63,22 @@ def append_history(df: DataFrame, path: str, partition_col: str = "run_date") ->
     if partition_col not in df.columns:
         df = df.withColumn(partition_col, F.current_date())
     df.write.mode("append").partitionBy(partition_col).parquet(path)
+
+
+def write_readings_by_date(readings: DataFrame, path: str, seconds: str = "timestamp") -> None:
+    """Write readings partitioned by UTC date, so date filters prune whole
+    directories (partition pruning) before any file is opened."""
+    (readings.withColumn("date", F.to_date(F.timestamp_seconds(seconds)))
+     .write.mode("overwrite").partitionBy("date").parquet(path))
+
+
+def read_readings_by_date(spark: SparkSession, path: str, start: str | None = None,
+                          end: str | None = None) -> DataFrame:
+    """Read a date-partitioned readings table; the date range becomes a
+    partition filter."""
+    df = spark.read.parquet(path)
+    if start:
+        df = df.where(F.col("date") >= F.lit(start).cast("date"))
+    if end:
+        df = df.where(F.col("date") <= F.lit(end).cast("date"))
+    return df

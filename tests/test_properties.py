@@ -204,3 +204,14 @@ def test_quantiles_with_a_third_identical_copies(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert max(r["count"] for r in parts) < 0.4 * len(vals)
+
+
+def test_date_partition_pruning(spark):
+    d = tempfile.mkdtemp(prefix="corridor-parts-")
+    r = V.readings(spark, SF)
+    IO.write_readings_by_date(r, d)
+    df = IO.read_readings_by_date(spark, d, "2024-01-03", "2024-01-04").select("reading_id", "average_speed_kmph")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
+    exp = r.where(F.to_date(F.timestamp_seconds("timestamp")).between("2024-01-03", "2024-01-04")).count()
+    assert df.count() == exp > 0
