@@ -39,7 +39,9 @@ HEADLINE = [
     "d37_environmental_impact",
     "d31_density_grid",
     "d30_detections_per_frame",
-    "c5_track_matching",
+    "c5_track_matches",
+    "e10_track_paths",
+    "d34_congestion_hotspots",
     "b15_recommendations",
     "g12_isolation_forest_scores",
 ]
@@ -55,7 +57,10 @@ def main():
     spark = build_session(f"local[{cpus}]", app="corridor-bench", shuffle_partitions=int(cpus) * 2,
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     qs = queries()
-    names = [n for n in HEADLINE if n in qs]
+    missing = [n for n in HEADLINE if n not in qs]
+    if missing:
+        raise SystemExit(f"unknown headline queries: {missing}")
+    names = HEADLINE
     times = {}
     for name in names:
         best = None
