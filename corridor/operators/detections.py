@@ -239,5 +239,8 @@ def congestion_hotspots(valid: DataFrame) -> DataFrame:
     than two vehicles are hotspots with density = members / bounding-box
     area.  One group = one frame, whose size is bounded by what a camera
     image can hold."""
-    return (valid.select("camera_id", "frame_id", "det_id", "cx", "cy")
-            .groupBy(*FRAME_KEYS).applyInPandas(_frame_hotspots, HOTSPOT_SCHEMA))
+    from ..session import cpu_partitions
+    v = valid.select("camera_id", "frame_id", "det_id", "cx", "cy")
+    # k-means is CPU work: spread frames over all cores explicitly
+    v = v.repartition(cpu_partitions(valid.sparkSession), *FRAME_KEYS)
+    return v.groupBy(*FRAME_KEYS).applyInPandas(_frame_hotspots, HOTSPOT_SCHEMA)

@@ -103,6 +103,10 @@ def fit(df: DataFrame, features: Sequence[str], id_col: str, n_trees: int = N_TR
         lambda s: F.pmod(s["h"], F.lit(1_000_000)) < int(p_tree * 1_000_000))
     cand = sampled.select(*cols, F.explode(trees).alias("m")).select("*", "m.t", "m.h").drop("m")
     from pyspark.sql import Window
+    from ..session import cpu_partitions
+    # One explicit hash partitioning by tree serves both the top-k window and
+    # the grouped fit, and is not coalesced away: trees grow on all cores.
+    cand = cand.repartition(min(n_trees, cpu_partitions(df.sparkSession)), "t")
     cand = (cand.withColumn("_r", F.row_number().over(Window.partitionBy("t").orderBy("h")))
             .where(F.col("_r") <= sample_size).drop("_r", "h"))
     k = len(features)

@@ -40,7 +40,11 @@ def derive_key(secret: str, bucket: int, salt_seed: str, rounds: int = PBKDF2_RO
 def key_table(df: DataFrame, secret: str, salt_seed: str, rounds: int = PBKDF2_ROUNDS,
               seconds: str = "timestamp") -> DataFrame:
     """One derived key per rotation bucket present in ``df``."""
+    from ..session import cpu_partitions
     buckets = df.select(rotation_bucket(seconds).alias("rotation_bucket")).distinct()
+    # PBKDF2 is CPU bound: spread the (small) bucket list round-robin over at
+    # least one partition per core; an explicit count is kept by AQE
+    buckets = buckets.repartition(cpu_partitions(df.sparkSession))
 
     def derive(it):
         for pdf in it:

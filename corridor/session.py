@@ -59,3 +59,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="corridor-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def cpu_partitions(spark: SparkSession) -> int:
+    """Partition count for Python-heavy stages (grouped pandas work, key
+    derivation): at least one per core.  Used with an explicit
+    ``repartition(n, keys)``, which adaptive execution keeps as asked instead
+    of coalescing small-but-CPU-heavy partitions into one task."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(spark.sparkContext.defaultParallelism, shuffle)
