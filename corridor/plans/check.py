@@ -1,6 +1,6 @@
 """Compare registered Spark queries with their DuckDB oracles.
 
-    python -m corridor.plans.check [--sf-dir DIR] [name-prefix ...]
+    python -m corridor.plans.check [--sf-dir DIR] [--explain] [name-prefix ...]
 
 Mirrors the driver's gate: same column names, same row count, and the same
 multiset of rows after sorting columns by name (floats compared at 6 dp).
@@ -100,6 +100,8 @@ def compare(spark, name, fn, sql, sf_dir, con):
 def main(argv=None):
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf-dir", default="/root/testdata/sf0.01")
+    ap.add_argument("--explain", action="store_true",
+                    help="print explain('formatted') of the selected queries instead of checking")
     ap.add_argument("prefix", nargs="*")
     a = ap.parse_args(argv)
     from ..session import build_session
@@ -107,6 +109,12 @@ def main(argv=None):
     spark = build_session("local[8]", shuffle_partitions=8)
     con = duck(a.sf_dir)
     qs, os_ = queries(), oracle_sql()
+    if a.explain:
+        for name in sorted(qs):
+            if not a.prefix or any(name.startswith(p) for p in a.prefix):
+                print(f"== {name}")
+                qs[name](spark, a.sf_dir).explain("formatted")
+        return 0
     bad = 0
     for name in sorted(qs):
         if a.prefix and not any(name.startswith(p) for p in a.prefix):
