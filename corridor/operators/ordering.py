@@ -28,9 +28,11 @@ _POS_MASK = (1 << 33) - 1
 
 
 def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                    rank_col: str = "rank") -> DataFrame:
+                    rank_col: str = "rank", size_col: str | None = None) -> DataFrame:
     """Add a 0-based ``rank_col`` = position of the row inside its group in the
-    order ``order_cols`` (which should end in a unique tie-break column)."""
+    order ``order_cols`` (which should end in a unique tie-break column).
+    With ``size_col`` the group's row count is added too, taken from the
+    same small count table (no extra pass over the data)."""
     g = list(group_cols)
     keys = g + list(order_cols)
     sorted_df = (df.repartitionByRange(*[F.col(k) for k in keys])
@@ -45,8 +47,12 @@ def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     # Running count over the small (partitions x groups) table.
     w = Window.partitionBy(*g).orderBy("_pid") if g else Window.orderBy("_pid")
     offsets = counts.withColumn(
-        "_offset", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ).select("_pid", *g, F.coalesce("_offset", F.lit(0)).alias("_offset"), "_first")
+        "_offset", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    extra = []
+    if size_col:
+        offsets = offsets.withColumn(size_col, F.sum("_n").over(Window.partitionBy(*g)))
+        extra = [size_col]
+    offsets = offsets.select("_pid", *g, F.coalesce("_offset", F.lit(0)).alias("_offset"), "_first", *extra)
     return (sorted_df.join(offsets, ["_pid", *g])
             .withColumn(rank_col, F.col("_offset") + F.col("_pos") - F.col("_first"))
             .drop("_mid", "_pid", "_pos", "_offset", "_first"))

@@ -28,19 +28,21 @@ from .ordering import with_group_rank
 
 DEFAULT_CHUNK_ROWS = 4096
 POS = "series_pos"
+LEN = "series_len"
 _CHUNK = "_chunk"
 _HALO = "_halo"
 
 
 def series_frame(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str],
                  lookback: int, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
-    """Rank rows per key (0-based ``series_pos``) and add halo copies.
+    """Rank rows per key (0-based ``series_pos``, plus the series length
+    ``series_len``) and add halo copies.
 
     ``order_cols`` must be unique within a key (end with an id column).
     """
     if lookback >= chunk_rows:
         raise ValueError("lookback must be smaller than chunk_rows")
-    ranked = with_group_rank(df, key_cols, order_cols, POS)
+    ranked = with_group_rank(df, key_cols, order_cols, POS, size_col=LEN)
     chunk = F.floor(F.col(POS) / chunk_rows)
     base = ranked.withColumns({_CHUNK: chunk, _HALO: F.lit(False)})
     if lookback <= 0:
@@ -58,6 +60,3 @@ def series_window(key_cols: Sequence[str]) -> WindowSpec:
 def drop_halo(df: DataFrame) -> DataFrame:
     return df.where(~F.col(_HALO)).drop(_CHUNK, _HALO)
 
-
-def series_lengths(df: DataFrame, key_cols: Sequence[str], name: str = "series_len") -> DataFrame:
-    return df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias(name))

@@ -70,8 +70,7 @@ def speed_changes(readings: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) ->
         "speed_change": F.col("average_speed_kmph") - F.lag("average_speed_kmph", 1).over(w),
         "max_speed_last_3": F.max("average_speed_kmph").over(w.rowsBetween(-(LOW_RUN - 1), 0)),
     })
-    lengths = readings.groupBy("location").agg(F.count(F.lit(1)).alias("series_len"))
-    return drop_halo(f).join(lengths, "location")
+    return drop_halo(f)
 
 
 def sudden_slowdowns(changes: DataFrame) -> DataFrame:
@@ -110,9 +109,8 @@ def trend_forecast(readings: DataFrame, baseline: DataFrame | None = None, point
     last reading's hour; emits 0-2 prediction rows per location."""
     baseline = baseline if baseline is not None else hourly_baseline(readings)
     f = series_frame(readings, ["location"], ORDER, 0, chunk_rows)
-    lengths = readings.groupBy("location").agg(F.count(F.lit(1)).alias("series_len"))
-    last = (drop_halo(f).join(lengths, "location")
-            .where((F.col(POS) >= F.col("series_len") - points) & (F.col("series_len") >= TREND_MIN_POINTS)))
+    last = drop_halo(f).where((F.col(POS) >= F.col("series_len") - points)
+                              & (F.col("series_len") >= TREND_MIN_POINTS))
     g = last.groupBy("location").agg(
         F.regr_slope("average_speed_kmph", F.col(POS).cast("double")).alias("speed_slope"),
         F.regr_slope(F.col("vehicle_count").cast("double"), F.col(POS).cast("double")).alias("volume_slope"),
@@ -140,8 +138,7 @@ def trend_slopes(readings: DataFrame, points: int = TREND_POINTS,
                  chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Slope of speed and volume over the last ``points`` readings per location."""
     f = series_frame(readings, ["location"], ORDER, 0, chunk_rows)
-    lengths = readings.groupBy("location").agg(F.count(F.lit(1)).alias("series_len"))
-    last = drop_halo(f).join(lengths, "location").where(F.col(POS) >= F.col("series_len") - points)
+    last = drop_halo(f).where(F.col(POS) >= F.col("series_len") - points)
     return last.groupBy("location").agg(
         F.regr_slope("average_speed_kmph", F.col(POS).cast("double")).alias("speed_slope"),
         F.regr_slope(F.col("vehicle_count").cast("double"), F.col(POS).cast("double")).alias("volume_slope"),

@@ -102,7 +102,8 @@ select camera_id, frame_id, total_vehicles,
   greatest(0, total_vehicles - lag(total_vehicles) over (partition by camera_id order by frame_id)) as flow_rate
 from f""")
 def e8_flow_rate(spark, sf_dir):
-    return DT.flow_rate(DT.frame_counts(_valid(spark, sf_dir)), CHUNK_ROWS)
+    f = DT.flow_rate(DT.frame_counts(_valid(spark, sf_dir)), CHUNK_ROWS)
+    return f.select("camera_id", "frame_id", "total_vehicles", "series_pos", "flow_rate")
 
 
 @query("c5_track_matches", views=_V, sql=f"""
