@@ -215,3 +215,16 @@ def test_date_partition_pruning(spark):
     assert "PartitionFilters: [isnotnull(date" in plan
     exp = r.where(F.to_date(F.timestamp_seconds("timestamp")).between("2024-01-03", "2024-01-04")).count()
     assert df.count() == exp > 0
+
+
+@pytest.mark.parametrize("chunk", [5, 64])
+def test_incidents_independent_of_chunk_size(spark, chunk):
+    r = V.readings(spark, SF)
+    key = ["type", "reading_id", "severity"]
+    small = TS.incidents(r, chunk_rows=chunk).select(key)
+    whole = TS.incidents(r, chunk_rows=100_000).select(key)
+    assert small.exceptAll(whole).count() == 0 and whole.exceptAll(small).count() == 0
+    a = TS.trend_slopes(r, chunk_rows=chunk).orderBy("location").collect()
+    b = TS.trend_slopes(r, chunk_rows=100_000).orderBy("location").collect()
+    assert [(x.location, round(x.speed_slope, 9), x.n_points) for x in a] == \
+           [(x.location, round(x.speed_slope, 9), x.n_points) for x in b]
