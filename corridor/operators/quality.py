@@ -115,12 +115,13 @@ def iqr_outliers(readings: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS,
 def quality_score(readings: DataFrame, columns: Sequence[str] = READING_COLUMNS,
                   numeric: Sequence[str] = NUMERIC_COLUMNS, id_col: str | None = "reading_id") -> DataFrame:
     """``clamp(100 - issues / n * 100, 0, 100)``, status good above 80."""
-    n = readings.agg(F.count(F.lit(1)).alias("n_rows"))
-    miss = missing_values(readings, columns).agg(F.sum("n_missing").alias("missing"))
+    # row count and all null counts in one pass
+    missing = sum((F.count_if(F.col(c).isNull()) for c in columns), F.lit(0))
+    n = readings.agg(F.count(F.lit(1)).alias("n_rows"), missing.alias("missing_values"))
     dup = duplicate_rows(readings, columns)
     out = iqr_outliers(readings, numeric, id_col).agg(F.sum("outliers").alias("outliers"))
-    # All four inputs are one-row aggregates: combine them as scalar subqueries.
-    r = n.select("n_rows", miss.select("missing").scalar().alias("missing_values"),
+    # the other inputs are one-row aggregates: combine them as scalar subqueries
+    r = n.select("n_rows", "missing_values",
                  dup.select("duplicate_rows").scalar().alias("duplicate_rows"),
                  out.select("outliers").scalar().alias("outliers"))
     issues = F.col("missing_values") + F.col("duplicate_rows") + F.col("outliers")
