@@ -126,3 +126,13 @@ def score_with_forest(readings: DataFrame, baseline: DataFrame, *, z_threshold:
         "recommendations": F.when(ml, F.array_append("recommendations", F.lit("ml_pattern_review")))
                             .otherwise(F.col("recommendations")),
     })
+
+
+def save_baseline(baseline: DataFrame, path: str) -> None:
+    """D22 as a saved table: fit once over the history, score many times
+    (streams, later batches) without re-reading the history."""
+    baseline.coalesce(1).write.mode("overwrite").parquet(path)   # <= 24 (or 168) rows
+
+
+def load_baseline(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -228,3 +228,13 @@ def test_incidents_independent_of_chunk_size(spark, chunk):
     b = TS.trend_slopes(r, chunk_rows=100_000).orderBy("location").collect()
     assert [(x.location, round(x.speed_slope, 9), x.n_points) for x in a] == \
            [(x.location, round(x.speed_slope, 9), x.n_points) for x in b]
+
+
+def test_saved_baseline_scores_like_fresh(spark):
+    from corridor.operators import anomaly as A
+    r = V.readings(spark, SF)
+    d = tempfile.mkdtemp(prefix="corridor-base-")
+    A.save_baseline(A.hourly_baseline(r), d)
+    a = A.score_anomalies(r, A.load_baseline(spark, d)).select("reading_id", "severity")
+    b = A.score_anomalies(r, A.hourly_baseline(r)).select("reading_id", "severity")
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count()
