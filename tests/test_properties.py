@@ -238,3 +238,15 @@ def test_saved_baseline_scores_like_fresh(spark):
     a = A.score_anomalies(r, A.load_baseline(spark, d)).select("reading_id", "severity")
     b = A.score_anomalies(r, A.hourly_baseline(r)).select("reading_id", "severity")
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+
+
+def test_grouping_sets_match_separate_aggregates(spark):
+    from corridor.operators import stats as S
+    r = V.readings(spark, SF)
+    g = {(x.dimension, x.key): (x.n_readings, x.avg_speed) for x in S.grouped_statistics(r).collect()}
+    for x in S.hourly_pattern(r).collect():
+        n, avg = g[("hour", str(x.hour))]
+        assert n == x.n_readings and avg == pytest.approx(x.avg_speed)
+    for x in S.location_stats(r).collect():
+        n, avg = g[("location", x.location)]
+        assert n == x.n_readings and avg == pytest.approx(x.speed_mean)
