@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_classifier, quality_rules
 
 QUERIES = {
+    "op1_quality_classifier": quality_classifier.query,
     "op5_quality_rules": quality_rules.query,
 }
 
