@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_classifier, quality_rules
+from . import packing, quality_classifier, quality_rules
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
     "op5_quality_rules": quality_rules.query,
+    "op10_packing": packing.query,
 }
 
 # Only what SQL can express; the others are tested against brute force.
