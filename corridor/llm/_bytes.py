@@ -41,12 +41,14 @@ def pieces(offs: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for each text the number of its first word."""
+def spans(data: np.ndarray, offs: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and for each text the number of its first
+    word.  ``word`` marks the bytes of words, where they are not the usual ones."""
     if not len(data):
         z = np.empty(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
-    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    if word is None:
+        word = ~((data == 32) | ((data >= 9) & (data <= 13)))
     cut = np.zeros(len(data) + 1, bool)
     cut[offs] = True
     before = np.empty(len(data), bool)
@@ -82,15 +84,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes: polynomial sums as differences of
-    one running sum, then mixed."""
-    if not len(start):
-        return np.empty(0, np.uint64)
-    up, down = _powers(len(data) + 1)
+def running(data: np.ndarray) -> np.ndarray:
+    """Running polynomial sums, from which any span's hash is a difference."""
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data) + 1)[0][:len(data)], out=total[1:])
+    return total
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span's bytes."""
+    if not len(start):
+        return np.empty(0, np.uint64)
+    total = running(data) if total is None else total
+    down = _powers(len(data) + 1)[1]
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
