@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, quality_classifier, quality_rules, secret_scan
+from . import minhash, packing, quality_classifier, quality_rules, secret_scan
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
+    "op4_minhash": minhash.query,
     "op5_quality_rules": quality_rules.query,
     "op9_secret_scan": secret_scan.query,
     "op10_packing": packing.query,
