@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, minhash, mixing, packing, quality_classifier, quality_rules, secret_scan
+from . import embedding_dedup, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, secret_scan
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
+    "op2_line_dedup": line_dedup.query,
     "op4_minhash": minhash.query,
     "op5_quality_rules": quality_rules.query,
     "op7_embedding_dedup": embedding_dedup.query,
