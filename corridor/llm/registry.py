@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, line_dedup, maxent_lm, minhash, mixing, packing, quality_classifier, quality_rules, secret_scan
+from . import embedding_dedup, license_scan, line_dedup, maxent_lm, minhash, mixing, packing, quality_classifier, quality_rules, secret_scan
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
     "op2_line_dedup": line_dedup.query,
+    "op3_license_scan": license_scan.query,
     "op4_minhash": minhash.query,
     "op5_quality_rules": quality_rules.query,
     "op6_maxent_lm": maxent_lm.query,
