@@ -99,26 +99,26 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", window
     found = (shifts.join(hashes.select("k", "h", "n"), "k")
              .join(hashes.select(F.col("k").alias("sk"), F.col("h").alias("sh")), "sk")
              .select("k", runs(F.col("h"), F.col("n"), F.col("sh"), F.col("shift"), min_chars).alias("r")).where(F.size("r") > 0))
-    gone = found.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("r"))).alias("_runs"))
+    gone = found.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("r"))).alias("_dedup_runs"))
 
-    marked = df.withColumn("_k", F.when(F.col(text).isNotNull(), key)).join(gone.withColumnRenamed("k", "_k"), "_k", "left")
+    marked = df.withColumn("_dedup_k", F.when(F.col(text).isNotNull(), key)).join(gone.withColumnRenamed("k", "_dedup_k"), "_dedup_k", "left")
 
     def rewritten(l: Column) -> Column:
         def out(i: Column) -> Column:
-            return F.exists(F.col("_runs"), lambda r: (r["b"] <= i) & (i <= r["e"]))
+            return F.exists(F.col("_dedup_runs"), lambda r: (r["b"] <= i) & (i <= r["e"]))
 
         return let(F.transform(l, lambda x, i: F.struct(x.alias("x"), out(i).alias("gone"))), lambda m: F.struct(
             F.size(m).alias("n_lines"), F.size(F.filter(m, lambda x: x["gone"])).alias("n_deleted"),
             F.array_join(F.transform(F.filter(m, lambda x: ~x["gone"]), lambda x: x["x"]), "").alias("clean_text")))
 
     plain = F.struct(F.size(lines(F.col(text))).alias("n_lines"), F.lit(0).alias("n_deleted"), F.col(text).alias("clean_text"))
-    marked = marked.withColumn("_o", F.when(F.col("_runs").isNull(), plain).otherwise(let(lines(F.col(text)), rewritten)))
+    marked = marked.withColumn("_dedup_o", F.when(F.col("_dedup_runs").isNull(), plain).otherwise(let(lines(F.col(text)), rewritten)))
     return (marked.withColumns({
-        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.col("_o.n_lines")).cast("long"),
-        "n_deleted": F.col("_o.n_deleted").cast("long"),
-        "clean_text": F.col("_o.clean_text"),
-        "deleted_chars": F.coalesce(F.length(text) - F.length("_o.clean_text"), F.lit(0)).cast("long")})
-        .drop("_o", "_k", "_runs"))
+        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.col("_dedup_o.n_lines")).cast("long"),
+        "n_deleted": F.col("_dedup_o.n_deleted").cast("long"),
+        "clean_text": F.col("_dedup_o.clean_text"),
+        "deleted_chars": F.coalesce(F.length(text) - F.length("_dedup_o.clean_text"), F.lit(0)).cast("long")})
+        .drop("_dedup_o", "_dedup_k", "_dedup_runs"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

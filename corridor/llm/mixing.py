@@ -56,8 +56,9 @@ def place_of(value: Column, n: Column, *seed: Column, rounds: int = 24) -> Colum
 
 
 def sized(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
-    """(id, _s, size): the source is never null in _s, and null sorts last."""
-    return df.select(F.col(id_col).alias("_id"), F.struct(F.col(source).isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name")).alias("_s"),
+    """(_id, _k, _s, size): _k tells rows apart by id and text; the source is
+    never null in _s, and null sorts last."""
+    return df.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.col(text)).alias("_k"), F.struct(F.col(source).isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name")).alias("_s"),
                      F.size(words(F.col(text))).cast("long").alias("size"))
 
 
@@ -83,13 +84,13 @@ def targets(docs: DataFrame, weights: tuple[int, ...], share: float, most: float
 
 
 def streams(docs: DataFrame, sources: DataFrame, chunk: int) -> DataFrame:
-    """(_id, _s, size, offset): where each document begins in its source's stream."""
+    """(_id, _k, _s, size, offset): where each document begins in its source's stream."""
     d = docs.join(sources.select("_s", F.ceil(F.col("n_docs") / chunk).cast("int").alias("_chunks")), "_s")
-    d = d.withColumn("_c", F.pmod(F.xxhash64("_id", F.lit("stream")), F.col("_chunks"))).drop("_chunks")
+    d = d.withColumn("_c", F.pmod(F.xxhash64("_k", F.lit("stream")), F.col("_chunks"))).drop("_chunks")
     sums = d.groupBy("_s", "_c").agg(F.sum("size").alias("_n"))
     begin = sums.select("_s", "_c", F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("_s", "_c").orderBy("_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return d.withColumn("_o", inside).join(begin, ["_s", "_c"]).select("_id", "_s", "size", (F.col("_b") + F.col("_o")).alias("offset"))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("_s", "_c").orderBy("_k", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.withColumn("_o", inside).join(begin, ["_s", "_c"]).select("_id", "_k", "_s", "size", (F.col("_b") + F.col("_o")).alias("offset"))
 
 
 def slots(sources: DataFrame, block: int, shard_slots: int, seed: int, step: int = 4096) -> DataFrame:
@@ -146,7 +147,7 @@ class Mix:
                                             F.max(F.when(~F.col("_full"), F.col("length"))).alias("cut"))
 
     def parts(self) -> DataFrame:
-        """(_id, _s, size, offset, begin, end, times): stretches of documents
+        """(_id, _k, _s, size, offset, begin, end, times): stretches of documents
         (word positions inside the document) and how often the mix has them."""
         d = self.streams.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / self.block), F.floor((F.col("offset") + F.col("size") - 1) / self.block))))
         d = d.join(self.uses(), ["_s", "block"])
@@ -155,18 +156,35 @@ class Mix:
         middle = F.least(end, F.greatest(begin, F.col("block") * self.block + F.coalesce("cut", F.lit(0)) - F.col("offset")))
         d = d.withColumn("_p", F.array(F.struct(begin.alias("begin"), middle.alias("end"), (F.col("times") + 1).alias("times")),
                                        F.struct(middle.alias("begin"), end.alias("end"), F.col("times").alias("times"))))
-        return (d.select("_id", "_s", "size", "offset", F.explode("_p").alias("p")).select("_id", "_s", "size", "offset", "p.*")
+        return (d.select("_id", "_k", "_s", "size", "offset", F.explode("_p").alias("p")).select("_id", "_k", "_s", "size", "offset", "p.*")
                 .where("begin < end and times > 0"))
 
     def taken(self) -> DataFrame:
         """(id, source, size, source_size, target, taken) for each document."""
-        key = ["_id", "_s", "size", "offset"]
+        key = ["_id", "_k", "_s", "size", "offset"]
         got = self.parts().groupBy(*key).agg(F.sum((F.col("end") - F.col("begin")) * F.col("times")).alias("taken"))
-        same = [F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}")) for c in ("_id", "_s", "size", "offset")]
+        same = [F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}")) for c in key]
         d = self.streams.alias("d").join(got.alias("g"), same, "left").select("d.*", "g.taken")
         return d.join(self.sources, "_s").select(F.col("_id").alias(self.id_col), "size", "source_size", "target",
                                                  F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+    def documents(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """The mix as documents: rows of ``df`` with the words that the mix has
+        once or more, and again with those that it has twice, in place and
+        with the white space behind them."""
+        place = ["_k", "offset"]
+        p = self.parts().groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("begin", "end", "times"))).alias("_p"), F.max("times").alias("_most"))
+        p = p.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_most")))
+        p = p.select(F.col("_k").alias("_mix_k"), F.filter("_p", lambda x: x["times"] >= F.col("_copy")).alias("_mix_p"))
+        held = F.aggregate("_mix_p", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["begin"])
+        d = df.withColumn("_mix_k", F.xxhash64(F.col(self.id_col), F.col(text))).dropDuplicates(["_mix_k"]).join(p, "_mix_k")
+        spaced = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+        cut = let(spaced, lambda w: F.array_join(F.flatten(F.transform(
+            "_mix_p", lambda x: F.slice(w, (x["begin"] + 1).cast("int"), (x["end"] - x["begin"]).cast("int")))), ""))
+        whole = held >= F.size(words(F.col(text)))
+        return d.withColumn(text, F.when(whole, F.col(text)).otherwise(cut)).drop("_mix_k", "_mix_p")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).taken()

@@ -84,7 +84,7 @@ def base_columns(text: Column) -> dict[str, Column]:
     of_words = let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"),
                                                 F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
                                                 repeat_words(w).alias("n_repeat_words")))
-    return {"_w": of_words, "n_symbols": count_of(t, SYMBOLS).cast("long"),
+    return {"_quality_w": of_words, "n_symbols": count_of(t, SYMBOLS).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")}
 
 
@@ -106,13 +106,13 @@ def quality_rules(df: DataFrame, text: str = "text", min_words: int = 20, max_re
                         .alias("clean_text"))
 
     judged = F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("line"), line_fails(x).alias("bad")))
-    d = d.withColumns(base_columns(F.col(text)) | {"_l": let(judged, split_up)})
-    failed = (F.col("_w.n_words") < min_words) | (F.col("_w.n_repeat_words") * 100 > F.col("_w.n_words") * max_repeat_pct)
-    return (d.withColumns({k: F.col(f"_w.{k}") for k in ("n_words", "word_chars", "n_repeat_words")}
-                          | {k: F.col(f"_l.{k}") for k in ("n_failed_lines", "lost_chars", "clean_text")}
+    d = d.withColumns(base_columns(F.col(text)) | {"_quality_l": let(judged, split_up)})
+    failed = (F.col("_quality_w.n_words") < min_words) | (F.col("_quality_w.n_repeat_words") * 100 > F.col("_quality_w.n_words") * max_repeat_pct)
+    return (d.withColumns({k: F.col(f"_quality_w.{k}") for k in ("n_words", "word_chars", "n_repeat_words")}
+                          | {k: F.col(f"_quality_l.{k}") for k in ("n_failed_lines", "lost_chars", "clean_text")}
                           | {"base_failed": failed,
-                             "kept": ~failed & (F.col("_l.lost_chars") <= F.col("_w.word_chars") * max_lost)})
-            .drop("_w", "_l"))
+                             "kept": ~failed & (F.col("_quality_l.lost_chars") <= F.col("_quality_w.word_chars") * max_lost)})
+            .drop("_quality_w", "_quality_l"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

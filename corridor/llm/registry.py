@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import embedding_dedup, license_scan, line_dedup, maxent_lm, minhash, mixing, packing, quality_classifier, quality_rules, secret_scan
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_secret_scan": secret_scan.query,
     "op10_packing": packing.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 # Only what SQL can express; the others are tested against brute force.
