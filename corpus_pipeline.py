@@ -38,8 +38,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the smallest id."""
-    kept = minhash.NearDuplicates(docs).result().where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return _documents(docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["doc_id"]))
+    docs = docs.select(*COLUMNS).withColumn("node", F.xxhash64("text"))
+    kept = minhash.NearDuplicates(docs).kept().select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("node") == F.col("kept_node"))
+    return _documents(docs.dropDuplicates(["doc_id", "node"]).join(kept, same))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

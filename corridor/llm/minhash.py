@@ -250,17 +250,27 @@ class NearDuplicates:
                 comp = components(links)
         return comp
 
+    def rows_by_class(self) -> DataFrame:
+        """(id, node, comp) for each row; comp is null where a text has no word."""
+        named = (self.sketches.select("node").distinct().join(self.classes(), "node", "left")
+                 .select("node", F.coalesce("comp", "node").alias("comp")))
+        return self.rows.select(self.id_col, "node").join(named, "node", "left")
+
     def result(self) -> DataFrame:
         """(id, class_id, kept) for each row: the class's smallest id, and
         whether the row is that document."""
         i = self.id_col
-        comp = self.classes()
-        named = self.sketches.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-        rows = self.rows.select(i, "node").join(named, "node", "left")
+        rows = self.rows_by_class()
         least = rows.where("comp is not null").groupBy("comp").agg(F.min(i).alias("class_id"))
         return (rows.join(least, "comp", "left").select(i, F.coalesce("class_id", i).alias("class_id"))
                 .withColumn("kept", F.col(i).eqNullSafe(F.col("class_id"))))
 
+    def kept(self) -> DataFrame:
+        """(id, node) of one document of each class; node is the text's xxhash64."""
+        own = F.coalesce("comp", F.xxhash64(self.id_col, "node"))
+        least = self.rows_by_class().groupBy(own.alias("c")).agg(F.min(F.struct(F.col(self.id_col).isNull(), self.id_col, "node")).alias("m"))
+        return least.select(f"m.{self.id_col}", "m.node")
+
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).result()
