@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
+from ._groups import grouped
 from ._store import stored, table
 
 
@@ -67,29 +68,9 @@ def _hashed(nodes: DataFrame, **how) -> DataFrame:
     return nodes.mapInArrow(run, f"node long, label {label}, dim int, x binary, keys array<int>")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of the rows of one key each, from batches sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(key).to_numpy()
-        cuts = np.r_[0, np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)]
-        if held and held[-1].column(key)[0].as_py() != k[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        for i, j in zip(cuts[:-1], cuts[1:]):
-            held.append(b.slice(i, j - i))
-            if j < len(k):
-                yield pa.Table.from_batches(held)
-                held = []
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _compare(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, "group"):
+        for g in grouped(batches, "group"):
             t, node, side = g["table"][0].as_py(), g["node"].to_numpy(), g["side"].to_numpy()
             if len(node) < 2:
                 continue

@@ -16,12 +16,14 @@ a candidate pair links if its exact probability Jaccard is ``threshold`` or
 more.  Classes are the connected components of links.
 
 Groups of any size: equal texts are one node.  A band's bucket is never
-expanded into all its pairs: all members are checked against one leader,
-components are merged, then members outside the bucket's largest component
-are checked against a few of its members, and only what is still apart is
-checked pair by pair, provided that the registers (of both texts) leave a
-similarity of ``threshold`` possible.  So no candidate is dropped, and the
-number of pairs grows with the bucket's size times its stragglers.
+expanded into rows of pairs.  First all its members are checked against one
+leader, and components are merged.  Buckets that still hold several
+components are compared inside numpy, in blocks of ``block`` nodes dealt by a
+hash, by the registers alone; only pairs of different components whose
+registers leave a similarity of ``threshold`` possible come out.  Of these
+every node's likeliest is checked exactly and merged, twice, and then all
+that are still apart.  So no candidate is dropped, and what is written grows
+with the nodes, not with the square of a group.
 
 Defined results: texts that are null or hold no word link with nothing and
 are each their own class; equal texts are one class; a class is named by its
@@ -40,6 +42,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from ._components import components
+from ._groups import grouped
 from ._store import stored, table
 
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -174,6 +177,39 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part, pa.float64())], ["a", "b", "est"])
 
 
+def _across(bands: int, least: float):
+    """Pairs (a, b, est) of different components in the groups of a bucket's
+    blocks, each pair in the first band that it shares."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in grouped(batches, "group"):
+            node, side, comp = g["node"].to_numpy(), g["side"].to_numpy(), g["comp"].to_numpy()
+            if (comp == comp[0]).all():
+                continue
+            sig = np.frombuffer(b"".join(g["sig"].to_pylist()), np.uint32).reshape(len(node), -1)
+            band, two = g["band"][0].as_py(), side.any()
+            left = np.flatnonzero(side == 0)
+            right = np.flatnonzero(side == 1) if two else left
+            out_a, out_b, out_e = [], [], []
+            for n, i in enumerate(left):
+                cols = right if two else left[n + 1:]
+                cols = cols[comp[cols] != comp[i]]
+                if not len(cols):
+                    continue
+                same = sig[cols] == sig[i]
+                est = same.mean(axis=1)
+                ok = est >= least
+                if ok.any():
+                    cols, est, same = cols[ok], est[ok], same[ok]
+                    new = same.reshape(len(cols), bands, -1).all(axis=2).argmax(axis=1) == band
+                    out_a += [node[i]] * int(new.sum())
+                    out_b += node[cols[new]].tolist()
+                    out_e += est[new].tolist()
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_e, pa.float64())], ["a", "b", "est"])
+
+    return run
+
+
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def read(h, w):
         h = np.frombuffer(h.as_py(), np.uint64)
@@ -190,69 +226,84 @@ class NearDuplicates:
     """The classes of one corpus."""
 
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5,
-                 threshold: float = 0.8, slots: int = 120, bands: int = 24):
-        self.id_col, self.width, self.threshold = id_col, width, threshold
-        # 5 standard errors under the threshold: no link is ruled out by its registers
-        self.least = threshold - 5 * (threshold * (1 - threshold) / slots) ** 0.5
+                 threshold: float = 0.8, slots: int = 180, bands: int = 30, block: int = 512):
+        self.id_col, self.width, self.threshold, self.bands, self.block = id_col, width, threshold, bands, block
+        # 4.5 standard errors under the threshold: no link is ruled out by its registers
+        self.least = threshold - 4.5 * (threshold * (1 - threshold) / slots) ** 0.5
         self.rows = df.select(F.col(id_col), F.xxhash64(text).alias("node"), F.col(text).alias("text"))
         nodes = self.rows.where(F.col("text").isNotNull()).select("node", "text")
-        self.sketches = stored(sketch(nodes, width, slots, bands), "op4-sketch")
-        self.nodes = nodes
+        self.sketches = stored(sketch(nodes, width, slots, bands).dropDuplicates(["node"]), "op4-sketch")
         # buckets of two or more texts
-        one = self.sketches.select("node", F.explode("keys").alias("key"))
+        one = self.sketches.select("node", F.posexplode("keys").alias("band", "key"))
         found = one.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last")
-        self.buckets = stored(one.join(found.select("key", "lead"), "key").distinct(), "op4-buckets")
+        self.buckets = stored(one.join(found.select("key", "lead"), "key"), "op4-buckets")
+        need = self.buckets.select("node").distinct()
+        self.weights = stored(weighted(nodes.join(need, "node", "left_semi").dropDuplicates(["node"]), width), "op4-weighted")
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose registers leave the threshold possible."""
+        sig = self.sketches.select("node", "sig")
+        return (pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("s")), "a")
+                .join(sig.select(F.col("node").alias("b"), F.col("sig").alias("t")), "b")
+                .select("a", "b", "s", "t").mapInArrow(_agreement, "a long, b long, est double")
+                .where(F.col("est") >= self.least).select("a", "b"))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose exact similarity reaches the threshold, with it."""
-        sig = self.sketches.select("node", "sig").dropDuplicates(["node"])
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        likely = stored(pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("s")), "a")
-                        .join(sig.select(F.col("node").alias("b"), F.col("sig").alias("t")), "b")
-                        .select("a", "b", "s", "t").mapInArrow(_agreement, "a long, b long, est double")
-                        .where(F.col("est") >= self.least).select("a", "b"), "op4-likely")
-        need = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        texts = self.nodes.join(need, "node", "left_semi").dropDuplicates(["node"])
-        w = stored(weighted(texts, self.width), "op4-weighted")
-        return stored(likely.join(w.select(F.col("node").alias("a"), F.col("h").alias("h1"), F.col("w").alias("w1")), "a")
+        pairs = stored(pairs, "op4-pairs")
+        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        w = self.weights.join(need, "node", "left_semi")
+        return stored(pairs.join(w.select(F.col("node").alias("a"), F.col("h").alias("h1"), F.col("w").alias("w1")), "a")
                       .join(w.select(F.col("node").alias("b"), F.col("h").alias("h2"), F.col("w").alias("w2")), "b")
                       .select("a", "b", "h1", "w1", "h2", "w2").mapInArrow(_similarity, "a long, b long, sim double")
                       .where(F.col("sim") >= self.threshold - 1e-9), "op4-links")
 
-    def apart(self, comp: DataFrame) -> DataFrame:
-        """(key, node, comp, main) of buckets that still hold several components;
-        ``main`` is the bucket's largest."""
-        m = self.buckets.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        sizes = m.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        main = (sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("k"))
-                .where("k > 1").select("key", F.col("m.comp").alias("main")))
-        return m.join(main, "key")
-
-    def classes(self, samples: int = 4) -> DataFrame:
+    def across(self, comp: DataFrame) -> DataFrame:
+        """Candidate pairs (a, b, est) of different components."""
+        m = self.buckets.join(comp, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
+        several = (m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"))
+                   .where("c0 <> c1").select("key", F.ceil(F.col("size") / self.block).cast("int").alias("parts")))
+        own = F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")
+        # block i meets every block j: as side 0 where i <= j, else as side 1
+        met = (m.join(several, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+               .withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+               .select("node", "comp", "band", "side", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group")))
+        return (met.join(self.sketches.select("node", "sig"), "node").repartition("group").sortWithinPartitions("group")
+                .select("group", "band", "side", "node", "comp", "sig")
+                .mapInArrow(_across(self.bands, self.least), "a long, b long, est double"))
+
+    def classes(self) -> DataFrame:
         """(node, comp) of the texts that link with another."""
-        links = self.linked(self.buckets.select(F.col("node").alias("a"), F.col("lead").alias("b")))
-        comp = components(links)
-        for rest in (False, True):
-            m = stored(self.apart(comp), "op4-apart")
-            if m.isEmpty():
+        star = self.buckets.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+        comp = components(self.linked(self.likely(star)))
+        left = stored(self.across(comp), "op4-across")
+        for picky in (True, True, False):
+            named = comp.select(F.col("node").alias("x"), "comp")
+            left = (left.select("a", "b", "est").join(named.select(F.col("x").alias("a"), F.col("comp").alias("ca")), "a", "left")
+                    .join(named.select(F.col("x").alias("b"), F.col("comp").alias("cb")), "b", "left")
+                    .withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb"))
+            left = stored(left, "op4-across")
+            if left.isEmpty():
                 break
-            out = m.where("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"))
-            if rest:  # pair by pair, for what is still apart
-                other = m.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
+            if picky:
+                best = left.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
+                new = self.linked(best)
+                rest = left.join(best, ["a", "b"], "left_anti")
             else:
-                pick = F.pmod(F.xxhash64("node", "key"), F.lit(samples))
-                other = (m.where("comp = main").groupBy("key", pick.alias("p")).agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("m"))
-                         .select("key", F.col("m.node").alias("b"), F.lit(None).cast("long").alias("cb")))
-            pairs = out.join(other, "key").where("cb is null or ca <> cb").select("a", "b").distinct()
-            new = self.linked(pairs.join(links.select("a", "b"), ["a", "b"], "left_anti"))
-            if not new.isEmpty():
-                links = links.union(new)
-                comp = components(links)
+                new, rest = self.linked(left.select("a", "b")), left.limit(0)
+            merged = components(new.join(left, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            # components that the new links join, by their names so far; a text without links names itself
+            alone = left.select(F.col("a").alias("node"), F.col("ca").alias("comp")).union(left.select("b", "cb")).distinct()
+            every = comp.union(alone.join(comp, "node", "left_anti"))
+            merged = merged.select(F.col("node").alias("old"), F.col("comp").alias("into"))
+            comp = stored(every.join(merged, F.col("comp") == F.col("old"), "left")
+                          .select("node", F.coalesce("into", "comp").alias("comp")), "op4-comp")
+            left = rest
         return comp
 
     def rows_by_class(self) -> DataFrame:
         """(id, node, comp) for each row; comp is null where a text has no word."""
-        named = (self.sketches.select("node").distinct().join(self.classes(), "node", "left")
+        named = (self.sketches.select("node").join(self.classes(), "node", "left")
                  .select("node", F.coalesce("comp", "node").alias("comp")))
         return self.rows.select(self.id_col, "node").join(named, "node", "left")
 
