@@ -4,8 +4,8 @@ A word's probability is a product of three factors.  Words fall into 256
 cells: the most frequent ones (and the end) have a cell each, the others share
 128 by their last bytes; 16 successive cells are a class.  Two softmaxes give
 the class, and the cell within it, from the hashed features of the context
-(the previous word, the previous two together, and skips to the second and
-third before); inside a cell a word has its smoothed share of the training
+(the previous word, the previous two together, and a skip to the second
+before); inside a cell a word has its smoothed share of the training
 counts, unknown words the share of one more word.  The probabilities of all
 words, known or not, add up to one.
 
@@ -45,8 +45,9 @@ from .quality_classifier import remainder
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 CELLS, CLASS, TAILS = 256, 16, 128
 ROWS, ROWS2 = 1 << 14, 1 << 12  # rows of the class and the cell table
-N_FEATURES = 4
+N_FEATURES = 3
 BLOCK = 8 << 20
+CHUNK = 1 << 19  # bytes of text whose arrays stay in the processor's cache
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,9 +87,9 @@ def contexts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
         out[place < k] = 0
         return out
 
-    p1, p2, p3 = before(1), before(2), before(3)
+    p1, p2 = before(1), before(2)
     return np.stack([B.mix(p1 + np.uint64(1)), B.mix(p1 * np.uint64(31) ^ B.mix(p2 + np.uint64(2))),
-                     B.mix(p2 + np.uint64(3)), B.mix(p3 + np.uint64(5))], axis=1)
+                     B.mix(p2 + np.uint64(3))], axis=1)
 
 
 class Model:
@@ -103,49 +104,53 @@ class Model:
         self.w1 = np.zeros((ROWS, CELLS // CLASS), np.float32)
         self.w2 = np.zeros((ROWS2 * (CELLS // CLASS), CLASS), np.float32)
 
-    def forward(self, x: np.ndarray, cell: np.ndarray):
-        """Rows of both tables and log-probabilities of classes and of cells in the true class."""
-        r1 = (x % np.uint64(ROWS)).astype(np.uint16)
+    def logits(self, x: np.ndarray, cell: np.ndarray):
+        """(table, its rows per feature, unnormalised log-probabilities, the true
+        column) for the classes and for the cells of the true class."""
         c = cell // CLASS
-        r2 = ((x >> np.uint64(20)) % np.uint64(ROWS2)).astype(np.int64) * (CELLS // CLASS) + c[:, None]
-        out = []
-        for w, r, bias in ((self.w1, r1, self.bias1), (self.w2, r2.astype(np.uint16), self.bias2[c])):
-            z = bias + w[r[:, 0]]
+        r1 = (x % np.uint64(ROWS)).astype(np.uint16)
+        r2 = ((x >> np.uint64(20)) % np.uint64(ROWS2)).astype(np.uint16) * np.uint16(CELLS // CLASS) + c[:, None].astype(np.uint16)
+        for w, r, bias, y in ((self.w1, r1, self.bias1, c), (self.w2, r2, self.bias2.take(c, axis=0), cell % CLASS)):
+            z = w.take(r[:, 0], axis=0)
+            z += bias
             for f in range(1, N_FEATURES):
-                z = z + w[r[:, f]]
-            z -= z.max(axis=1, keepdims=True)
-            z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-            out.append((w, r, z))
-        return out, c, cell % CLASS
+                z += w.take(r[:, f], axis=0)
+            yield w, r, z, y
 
     def log10(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        out, c, i = self.forward(x, cell)
-        at = np.arange(len(x))
-        return (out[0][2][at, c].astype(float) + out[1][2][at, i]) / np.log(10)
+        total = 0.0
+        for _, _, z, y in self.logits(x, cell):
+            true = z[np.arange(len(z)), y]
+            total = total + true - np.log(np.exp(z, out=z).sum(axis=1), dtype=float)
+        return total / np.log(10)
 
     def learn(self, x: np.ndarray, cell: np.ndarray, power: list[np.ndarray], rate: float) -> None:
         """One step on a batch of tokens, scaled per row by its past gradients."""
-        out, c, i = self.forward(x, cell)
-        for (w, r, z), y, seen in zip(out, (c, i), power):
-            g = -np.exp(z)
+        for (w, r, g, y), seen in zip(list(self.logits(x, cell)), power):
+            np.exp(g, out=g)
+            g /= -g.sum(axis=1, keepdims=True)
             g[np.arange(len(g)), y] += 1
             flat = r.ravel()
             order = np.argsort(flat, kind="stable")
-            rows = flat[order]
+            rows = flat.take(order)
             at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            total = np.add.reduceat(g[order // N_FEATURES], at, axis=0)
-            rows = rows[at]
+            total = np.add.reduceat(g.take(order // N_FEATURES, axis=0), at, axis=0)
+            rows = rows.take(at)
             seen[rows] += np.einsum("ij,ij->i", total, total)
-            w[rows] += rate * total / np.sqrt(seen[rows] + 1.0)[:, None]
+            w[rows] += total * (rate / np.sqrt(seen.take(rows) + 1.0))[:, None]
 
 
 def _texts(batches: Iterator[pa.RecordBatch], most: int):
-    """(batch, slice, hashes, tails, first tokens) piece by piece."""
+    """(batch, hashes, tails, first tokens) of about ``most`` bytes at a time,
+    tokenised in chunks that fit the cache."""
     for b in batches:
         data, offs = B.flat(b.column("text"))
         for i, j in B.pieces(offs, most):
-            h, tail, first = tokens(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
-            yield b.slice(i, j - i), h, tail, first
+            parts = [tokens(data[offs[k]:offs[m]], offs[k:m + 1] - offs[k])
+                     for k, m in ((i + k, i + m) for k, m in B.pieces(offs[i:j + 1], CHUNK))]
+            base = np.cumsum([0] + [len(p[0]) for p in parts])
+            first = np.concatenate([p[2][:-1] + n for p, n in zip(parts, base)] + [base[-1:]])
+            yield b.slice(i, j - i), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), first
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +253,7 @@ class LanguageModel:
 
             def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 power, n = [np.zeros(len(model.w1), np.float32), np.zeros(len(model.w2), np.float32)], 0
-                for _, h, tail, first in _texts(batches, BLOCK // 4):
+                for _, h, tail, first in _texts(batches, CHUNK):
                     cell = cells(h, tail, model.heads)
                     x = contexts(h, first)
                     for a in range(0, len(h), batch):
@@ -283,10 +288,10 @@ class LanguageModel:
         inside[TAILS:CELLS - 1] = np.log10(self.cell_n[TAILS:CELLS - 1] + alpha)
 
         def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b, h, tail, first in _texts(batches, BLOCK // 8):
+            for b, h, tail, first in _texts(batches, CHUNK):
                 cell = cells(h, tail, model.heads)
                 x = contexts(h, first)
-                p = np.concatenate([model.log10(x[a:a + 65536], cell[a:a + 65536]) for a in range(0, len(h), 65536)])
+                p = np.concatenate([model.log10(x[a:a + 16384], cell[a:a + 16384]) for a in range(0, len(h), 16384)])
                 total = np.r_[0, np.cumsum(p - inside[cell])]
                 yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(np.diff(total[first]))], ["k", "context"])
 
