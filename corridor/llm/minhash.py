@@ -18,12 +18,12 @@ more.  Classes are the connected components of links.
 Groups of any size: equal texts are one node.  A band's bucket is never
 expanded into rows of pairs.  First all its members are checked against one
 leader, and components are merged.  Buckets that still hold several
-components are compared inside numpy, in blocks of ``block`` nodes dealt by a
-hash, by the registers alone; only pairs of different components whose
-registers leave a similarity of ``threshold`` possible come out.  Of these
-every node's likeliest is checked exactly and merged, twice, and then all
-that are still apart.  So no candidate is dropped, and what is written grows
-with the nodes, not with the square of a group.
+components are taken apart in blocks of ``block`` nodes dealt by a hash, block
+against block, inside numpy: pairs of different components whose registers
+leave a similarity of ``threshold`` possible are checked exactly, the
+likeliest first, unless earlier links have joined them meanwhile, and only
+links come out.  So no candidate is dropped, and what is written grows with
+the nodes, not with the square of a group.
 
 Defined results: texts that are null or hold no word link with nothing and
 are each their own class; equal texts are one class; a class is named by its
@@ -177,44 +177,49 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part, pa.float64())], ["a", "b", "est"])
 
 
-def _across(bands: int, least: float):
-    """Pairs (a, b, est) of different components in the groups of a bucket's
-    blocks, each pair in the first band that it shares."""
+def _weighted_shingles(h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+    h = np.frombuffer(h, np.uint64)
+    return h, (np.frombuffer(w, np.uint32) if w else np.ones(len(h), np.uint32))
+
+
+def _across(bands: int, least: float, threshold: float):
+    """Links (a, b) between different components in the groups of a bucket's
+    blocks; a pair is looked at in the first band that it shares."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, "group"):
-            node, side, comp = g["node"].to_numpy(), g["side"].to_numpy(), g["comp"].to_numpy()
-            if (comp == comp[0]).all():
+            node, side = g["node"].to_numpy(), g["side"].to_numpy()
+            label = np.unique(g["comp"].to_numpy(), return_inverse=True)[1]
+            if not label.any():
                 continue
             sig = np.frombuffer(b"".join(g["sig"].to_pylist()), np.uint32).reshape(len(node), -1)
             band, two = g["band"][0].as_py(), side.any()
             left = np.flatnonzero(side == 0)
             right = np.flatnonzero(side == 1) if two else left
-            out_a, out_b, out_e = [], [], []
+            links = []
             for n, i in enumerate(left):
                 cols = right if two else left[n + 1:]
-                cols = cols[comp[cols] != comp[i]]
-                if not len(cols):
-                    continue
+                cols = cols[label[cols] != label[i]]
                 same = sig[cols] == sig[i]
                 est = same.mean(axis=1)
-                ok = est >= least
-                if ok.any():
-                    cols, est, same = cols[ok], est[ok], same[ok]
-                    new = same.reshape(len(cols), bands, -1).all(axis=2).argmax(axis=1) == band
-                    out_a += [node[i]] * int(new.sum())
-                    out_b += node[cols[new]].tolist()
-                    out_e += est[new].tolist()
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_e, pa.float64())], ["a", "b", "est"])
+                ok = np.flatnonzero(est >= least)
+                ok = ok[same[ok].reshape(len(ok), bands, -1).all(axis=2).argmax(axis=1) == band] if len(ok) else ok
+                mine = None
+                for j in cols[ok[np.argsort(-est[ok], kind="stable")]]:
+                    if label[i] == label[j]:
+                        continue
+                    mine = mine or _weighted_shingles(g["h"][int(i)].as_py(), g["w"][int(i)].as_py())
+                    if probability_jaccard(*mine, *_weighted_shingles(g["h"][int(j)].as_py(), g["w"][int(j)].as_py())) >= threshold - 1e-9:
+                        links.append((int(node[i]), int(node[j])))
+                        label[label == label[j]] = label[i]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def read(h, w):
-        h = np.frombuffer(h.as_py(), np.uint64)
-        w = w.as_py()
-        return h, (np.frombuffer(w, np.uint32) if w else np.ones(len(h), np.uint32))
+        return _weighted_shingles(h.as_py(), w.as_py())
 
     for b in batches:
         sim = [probability_jaccard(*read(h1, w1), *read(h2, w2))
@@ -259,7 +264,7 @@ class NearDuplicates:
                       .where(F.col("sim") >= self.threshold - 1e-9), "op4-links")
 
     def across(self, comp: DataFrame) -> DataFrame:
-        """Candidate pairs (a, b, est) of different components."""
+        """Links (a, b) of different components."""
         m = self.buckets.join(comp, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
         several = (m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"))
                    .where("c0 <> c1").select("key", F.ceil(F.col("size") / self.block).cast("int").alias("parts")))
@@ -268,38 +273,17 @@ class NearDuplicates:
         met = (m.join(several, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
                .withColumn("side", (F.col("own") > F.col("other")).cast("int"))
                .select("node", "comp", "band", "side", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group")))
-        return (met.join(self.sketches.select("node", "sig"), "node").repartition("group").sortWithinPartitions("group")
-                .select("group", "band", "side", "node", "comp", "sig")
-                .mapInArrow(_across(self.bands, self.least), "a long, b long, est double"))
+        held = self.sketches.select("node", "sig").join(self.weights, "node")
+        return (met.join(held, "node").repartition("group").sortWithinPartitions("group")
+                .select("group", "band", "side", "node", "comp", "sig", "h", "w")
+                .mapInArrow(_across(self.bands, self.least, self.threshold), "a long, b long"))
 
     def classes(self) -> DataFrame:
         """(node, comp) of the texts that link with another."""
         star = self.buckets.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-        comp = components(self.linked(self.likely(star)))
-        left = stored(self.across(comp), "op4-across")
-        for picky in (True, True, False):
-            named = comp.select(F.col("node").alias("x"), "comp")
-            left = (left.select("a", "b", "est").join(named.select(F.col("x").alias("a"), F.col("comp").alias("ca")), "a", "left")
-                    .join(named.select(F.col("x").alias("b"), F.col("comp").alias("cb")), "b", "left")
-                    .withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb"))
-            left = stored(left, "op4-across")
-            if left.isEmpty():
-                break
-            if picky:
-                best = left.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
-                new = self.linked(best)
-                rest = left.join(best, ["a", "b"], "left_anti")
-            else:
-                new, rest = self.linked(left.select("a", "b")), left.limit(0)
-            merged = components(new.join(left, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            # components that the new links join, by their names so far; a text without links names itself
-            alone = left.select(F.col("a").alias("node"), F.col("ca").alias("comp")).union(left.select("b", "cb")).distinct()
-            every = comp.union(alone.join(comp, "node", "left_anti"))
-            merged = merged.select(F.col("node").alias("old"), F.col("comp").alias("into"))
-            comp = stored(every.join(merged, F.col("comp") == F.col("old"), "left")
-                          .select("node", F.coalesce("into", "comp").alias("comp")), "op4-comp")
-            left = rest
-        return comp
+        links = self.linked(self.likely(star)).select("a", "b")
+        more = stored(self.across(components(links)), "op4-across")
+        return components(links.union(more))
 
     def rows_by_class(self) -> DataFrame:
         """(id, node, comp) for each row; comp is null where a text has no word."""
