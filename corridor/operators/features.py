@@ -37,13 +37,16 @@ def label_encoder(df: DataFrame, col: str, code_col: str | None = None) -> DataF
     """B4 fit: alphabetical 0-based code per distinct non-null label.
 
     The distinct labels are ranked with the distributed sort, so even a
-    large label set never passes through one task.
+    large label set never passes through one task.  The encoder is stored, so
+    the planner knows its true size: a small one is broadcast under the usual
+    threshold and the readings are not shuffled by label.
     """
+    from ..session import stored
     from .ordering import with_group_rank
     code_col = code_col or f"{col}_encoded"
     labels = df.select(col).where(F.col(col).isNotNull()).distinct()
     # distinct labels: the 0-based position in sorted order is the code
-    return with_group_rank(labels, [], [col], code_col)
+    return stored(with_group_rank(labels, [], [col], code_col), "labels")
 
 
 def apply_label_encoder(df: DataFrame, encoder: DataFrame, col: str,

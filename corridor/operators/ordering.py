@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 
 _POS_MASK = (1 << 33) - 1
 
@@ -52,49 +52,87 @@ def with_group_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     if size_col:
         offsets = offsets.withColumn(size_col, F.sum("_n").over(Window.partitionBy(*g)))
         extra = [size_col]
-    offsets = offsets.select("_pid", *g, F.coalesce("_offset", F.lit(0)).alias("_offset"), "_first", *extra)
-    return (sorted_df.join(offsets, ["_pid", *g])
+    offsets = offsets.select(F.col("_pid").alias("_opid"), *[F.col(c).alias(f"_o_{c}") for c in g],
+                             F.coalesce("_offset", F.lit(0)).alias("_offset"), "_first", *extra)
+    # null-safe: rows with a null group key form a group of their own
+    same = F.col("_pid") == F.col("_opid")
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return (sorted_df.join(offsets, same)
             .withColumn(rank_col, F.col("_offset") + F.col("_pos") - F.col("_first"))
-            .drop("_mid", "_pid", "_pos", "_offset", "_first"))
+            .drop("_mid", "_pid", "_pos", "_offset", "_first", "_opid", *[f"_o_{c}" for c in g]))
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     probs: Sequence[float], tie_break: str | None = None,
-                    approx_accuracy: int | None = None) -> DataFrame:
+                    approx_accuracy: int | None = None, bracket_accuracy: int = 10000) -> DataFrame:
     """Linear-interpolation quantiles (the pandas / ``quantile_cont`` rule)
     per group: one row per (group, prob) with column ``quantile``.
 
-    Nulls are ignored.  Only the two order statistics around each target
-    position are kept after ranking, so no group is ever materialised whole.
+    Nulls are ignored.  One pass brackets every target by ``percentile_approx``
+    (rank error at most rows / ``bracket_accuracy``) on both sides; a second
+    counts the values below and inside the brackets; only the values inside,
+    a few ten-thousandths of the rows, are sorted and ranked.  So no group is
+    ever in one task and the table itself is never shuffled.
     With ``approx_accuracy`` the answer comes instead from
-    ``percentile_approx`` (one aggregation pass with bounded sketches, rank
-    error about 1 / accuracy, values taken from the data, no interpolation)
-    for when a full sort is not worth its cost.
+    ``percentile_approx`` alone (values taken from the data, no
+    interpolation) for when exactness is not worth two more passes.
     """
-    g = list(group_cols)
+    g, probs = list(group_cols), [float(p) for p in probs]
     if approx_accuracy:
-        arr = F.percentile_approx(value_col, [float(p) for p in probs], approx_accuracy)
+        arr = F.percentile_approx(value_col, probs, approx_accuracy)
         a = df.where(F.col(value_col).isNotNull()).groupBy(*g).agg(arr.alias("_q"))
-        pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("_q").alias("quantile"))
+        pairs = F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("prob"), F.col("_q").alias("quantile"))
         return a.select(*g, F.explode(pairs).alias("z")).select(*g, F.col("z.prob").alias("prob"),
                                                                 F.col("z.quantile").cast("double").alias("quantile"))
-    tb = tie_break or "_tb"
+    keys = g or ["_all"]
     base = df.where(F.col(value_col).isNotNull())
-    if tie_break is None:
-        # a unique tie-break, so even a third of the rows holding one value
-        # (or identical copies of one row) spread over the range partitions
-        base = base.withColumn("_tb", F.monotonically_increasing_id())
-    base = base.select(*g, F.col(value_col).alias("_v"), tb)
-    ranked = with_group_rank(base, g, ["_v", tb], "_r")
-    sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_cnt"))
-    targets = (sizes.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-                    .withColumn("_pos", F.col("_p") * (F.col("_cnt") - 1))
-                    .withColumns({"_lo": F.floor("_pos"), "_hi": F.ceil("_pos")})
-                    .withColumn("_frac", F.col("_pos") - F.col("_lo")))
-    need = (targets.select(*g, "_p", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_r")))
-    picked = ranked.join(need, [*g, "_r"]).select(*g, "_p", "_r", "_v")
-    lo = picked.select(*g, "_p", F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = picked.select(*g, "_p", F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
-    return (targets.join(lo, [*g, "_p", "_lo"]).join(hi, [*g, "_p", "_hi"])
-            .select(*g, F.col("_p").alias("prob"),
-                    (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("quantile")))
+    base = base.select(*(g or [F.lit(0).alias("_all")]), F.col(value_col).alias("_v"),
+                       *([F.col(tie_break).alias("_tb")] if tie_break else []))
+    margin = 2.0 / bracket_accuracy
+    ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    brackets = stored(base.groupBy(*keys).agg(F.percentile_approx("_v", ends, bracket_accuracy).alias("_e"),
+                                              F.count(F.lit(1)).alias("_cnt")), "brackets")
+    b = brackets.select(*[F.col(k).alias(f"_b_{k}") for k in keys], "_e", "_cnt")
+
+    def of_group(left: DataFrame, right: DataFrame, prefix: str) -> DataFrame:
+        same = None
+        for k in keys:
+            c = F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+            same = c if same is None else same & c
+        return left.join(right, same).drop(*[f"{prefix}{k}" for k in keys])
+
+    seen = of_group(base, b, "_b_")
+    n, v = len(probs), F.col("_v")
+    low, high = [F.col("_e")[i] for i in range(n)], [F.col("_e")[n + i] for i in range(n)]
+    stats = [x for i in range(n) for x in (
+        F.count_if(v < low[i]).alias(f"_below{i}"), F.count_if((v >= low[i]) & (v <= high[i])).alias(f"_in{i}"),
+        F.max(F.when(v < low[i], v)).alias(f"_prev{i}"), F.min(F.when(v > high[i], v)).alias(f"_next{i}"))]
+    counts = seen.groupBy(*keys).agg(F.first("_cnt").alias("_cnt"), *stats)
+    per = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.col(f"_below{i}").alias("below"), F.col(f"_in{i}").alias("n_in"),
+                             F.col(f"_prev{i}").alias("prev"), F.col(f"_next{i}").alias("next")) for i, p in enumerate(probs)])
+    targets = stored(counts.select(*keys, "_cnt", F.explode(per).alias("t")).select(*keys, "_cnt", "t.*")
+                     .withColumn("_at", F.col("p") * (F.col("_cnt") - 1))
+                     .withColumns({"_lo": F.floor("_at"), "_hi": F.ceil("_at")}), "targets")
+    inside = F.filter(F.array(*[F.when((v >= low[i]) & (v <= high[i]), F.lit(i)) for i in range(n)]), lambda x: x.isNotNull())
+    rows = seen.select(*keys, "_v", *(["_tb"] if tie_break else []), F.explode(inside).alias("i"))
+    if not tie_break:
+        # a unique tie-break, so copies of one value spread over the range partitions
+        rows = rows.withColumn("_tb", F.monotonically_increasing_id())
+    ranked = with_group_rank(rows, [*keys, "i"], ["_v", "_tb"], "_r")
+    t = targets.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("i").alias("_ti"), "below", "_lo", "_hi")
+    picked = (of_group(ranked, t, "_t_").where("i = _ti")
+              .withColumn("_k", F.col("_r") + F.col("below")).where("_k = _lo or _k = _hi")
+              .groupBy(*keys, "i").agg(F.max(F.when(F.col("_k") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
+                                       F.max(F.when(F.col("_k") == F.col("_hi"), F.col("_v"))).alias("_vhi")))
+    p = picked.select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col("i").alias("_pi"), "_vlo", "_vhi")
+    same = F.col("i") == F.col("_pi")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
+    out = targets.join(p, same, "left")
+
+    def value(k: str, inside_value: str):
+        return F.coalesce(inside_value, F.when(F.col(k) < F.col("below"), F.col("prev")).otherwise(F.col("next")))
+
+    lo, hi = value("_lo", "_vlo"), value("_hi", "_vhi")
+    return out.select(*g, F.col("p").alias("prob"), (lo + (hi - lo) * (F.col("_at") - F.col("_lo"))).alias("quantile"))

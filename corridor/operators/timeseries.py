@@ -34,6 +34,9 @@ TREND_HORIZON = "15_minutes"
 PEAK_QUANTILE = 0.75
 PEAK_HIGH = 0.8
 PEAK_MEDIUM = 0.6
+# The peaks assumed without readings (start, end, intensity, number).
+DEFAULT_PEAKS = [(7, 9, None, None, None, "High", 1), (12, 13, None, None, None, "Medium", 2),
+                 (17, 19, None, None, None, "High", 3)]
 
 ORDER = ("timestamp", "reading_id")
 
@@ -64,7 +67,8 @@ def complete_rows(features: DataFrame, target: str = "average_speed_kmph") -> Da
 def speed_changes(readings: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Speed change from the previous reading of the same location, the
     position in the series and the series length."""
-    f = series_frame(readings, ["location"], ORDER, LOW_RUN - 1, chunk_rows)
+    narrow = readings.select("location", *ORDER, "average_speed_kmph")
+    f = series_frame(narrow, ["location"], ORDER, LOW_RUN - 1, chunk_rows)
     w = series_window(["location"])
     f = f.withColumns({
         "speed_change": F.col("average_speed_kmph") - F.lag("average_speed_kmph", 1).over(w),
@@ -84,16 +88,31 @@ def sudden_slowdowns(changes: DataFrame) -> DataFrame:
                     F.abs(c).alias("drop_kmph")))
 
 
-def persistent_congestion(changes: DataFrame, last_only: bool = False) -> DataFrame:
-    """E5: readings closing a run of three readings below 15 km/h.  With
-    ``last_only`` only a location's latest reading is considered (the
-    reference's "last three readings" test)."""
+def persistent_congestion(changes: DataFrame) -> DataFrame:
+    """E5: readings closing a run of three readings below 15 km/h."""
     cond = (F.col(POS) >= LOW_RUN - 1) & (F.col("max_speed_last_3") < LOW_SPEED)
-    if last_only:
-        cond = cond & (F.col(POS) == F.col("series_len") - 1)
-    return (changes.where(cond)
-            .select(F.lit("persistent_congestion").alias("type"), F.lit("medium").alias("severity"),
-                    "location", "reading_id", "timestamp", F.lit(None).cast("double").alias("drop_kmph")))
+    return _congested(changes.where(cond))
+
+
+def _congested(rows: DataFrame) -> DataFrame:
+    return rows.select(F.lit("persistent_congestion").alias("type"), F.lit("medium").alias("severity"),
+                       "location", "reading_id", "timestamp", F.lit(None).cast("double").alias("drop_kmph"))
+
+
+def last_readings(readings: DataFrame, n: int) -> DataFrame:
+    """Each location's last ``n`` readings with ``back`` = 1 for the latest.
+    Spark keeps n rows per location and task before the shuffle, so the
+    history is neither sorted nor moved."""
+    w = Window.partitionBy("location").orderBy(*[F.desc(c) for c in ORDER])
+    return readings.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
+
+
+def persistent_congestion_latest(readings: DataFrame) -> DataFrame:
+    """E5 on each location's latest readings only (the "last three readings" test)."""
+    last = last_readings(readings.select("location", *ORDER, "average_speed_kmph"), LOW_RUN)
+    g = last.groupBy("location").agg(F.count(F.lit(1)).alias("n"), F.max("average_speed_kmph").alias("top"),
+                                     F.min_by(F.struct("reading_id", "timestamp"), "back").alias("last"))
+    return _congested(g.where((F.col("n") == LOW_RUN) & (F.col("top") < LOW_SPEED)).select("location", "last.*"))
 
 
 def incidents(readings: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
@@ -102,19 +121,24 @@ def incidents(readings: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> Data
     return sudden_slowdowns(ch).unionByName(persistent_congestion(ch))
 
 
-def trend_forecast(readings: DataFrame, baseline: DataFrame | None = None, points: int = TREND_POINTS,
-                   chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def _trend(readings: DataFrame, points: int) -> DataFrame:
+    """Slopes per location over its last ``points`` readings (a slope does not
+    depend on where positions are counted from)."""
+    last = last_readings(readings.select("location", *ORDER, "average_speed_kmph", "vehicle_count"), points)
+    x = -F.col("back").cast("double")
+    return last.groupBy("location").agg(
+        F.regr_slope("average_speed_kmph", x).alias("speed_slope"),
+        F.regr_slope(F.col("vehicle_count").cast("double"), x).alias("volume_slope"),
+        F.count(F.lit(1)).alias("n_points"),
+        F.min_by(F.struct("average_speed_kmph", "vehicle_count", "timestamp"), "back").alias("last"))
+
+
+def trend_forecast(readings: DataFrame, baseline: DataFrame | None = None, points: int = TREND_POINTS) -> DataFrame:
     """Least-squares slope over each location's last ``points`` readings,
     projected 3 steps ahead and compared with the hourly baseline mean of the
     last reading's hour; emits 0-2 prediction rows per location."""
     baseline = baseline if baseline is not None else hourly_baseline(readings)
-    f = series_frame(readings, ["location"], ORDER, 0, chunk_rows)
-    last = drop_halo(f).where((F.col(POS) >= F.col("series_len") - points)
-                              & (F.col("series_len") >= TREND_MIN_POINTS))
-    g = last.groupBy("location").agg(
-        F.regr_slope("average_speed_kmph", F.col(POS).cast("double")).alias("speed_slope"),
-        F.regr_slope(F.col("vehicle_count").cast("double"), F.col(POS).cast("double")).alias("volume_slope"),
-        F.max_by(F.struct("average_speed_kmph", "vehicle_count", "timestamp"), POS).alias("last"))
+    g = _trend(readings, points).where(F.col("n_points") >= TREND_MIN_POINTS)
     g = g.select("location", "speed_slope", "volume_slope",
                  (F.col("last.average_speed_kmph") + F.col("speed_slope") * TREND_STEPS_AHEAD).alias("future_speed"),
                  (F.col("last.vehicle_count") + F.col("volume_slope") * TREND_STEPS_AHEAD).alias("future_volume"),
@@ -134,15 +158,9 @@ def trend_forecast(readings: DataFrame, baseline: DataFrame | None = None, point
                      F.lit(TREND_HORIZON).alias("time_horizon"), F.lit(TREND_CONFIDENCE).alias("confidence")))
 
 
-def trend_slopes(readings: DataFrame, points: int = TREND_POINTS,
-                 chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def trend_slopes(readings: DataFrame, points: int = TREND_POINTS) -> DataFrame:
     """Slope of speed and volume over the last ``points`` readings per location."""
-    f = series_frame(readings, ["location"], ORDER, 0, chunk_rows)
-    last = drop_halo(f).where(F.col(POS) >= F.col("series_len") - points)
-    return last.groupBy("location").agg(
-        F.regr_slope("average_speed_kmph", F.col(POS).cast("double")).alias("speed_slope"),
-        F.regr_slope(F.col("vehicle_count").cast("double"), F.col(POS).cast("double")).alias("volume_slope"),
-        F.count(F.lit(1)).alias("n_points"))
+    return _trend(readings, points).drop("last")
 
 
 def peak_hours(readings: DataFrame) -> DataFrame:
@@ -153,20 +171,27 @@ def peak_hours(readings: DataFrame) -> DataFrame:
          .agg(round_half_up(F.avg("vehicle_count"), 2).alias("vc"),
               round_half_up(F.avg("average_speed_kmph"), 2).alias("sp")))
     all_hours = Window.partitionBy()
-    h = h.withColumn("intensity", F.col("vc") / F.max("vc").over(all_hours) * 0.6
-                     + (100 - F.col("sp")) / 100 * 0.4)
+    # no traffic at all: no share of the busiest hour either
+    share = F.coalesce(F.try_divide(F.col("vc"), F.max("vc").over(all_hours)), F.lit(0.0))
+    h = h.withColumn("intensity", share * 0.6 + (100 - F.col("sp")) / 100 * 0.4)
     h = h.withColumn("threshold", F.percentile("intensity", PEAK_QUANTILE).over(all_hours))
     p = h.where(F.col("intensity") >= F.col("threshold"))
     p = p.withColumn("island", F.col("hour") - F.row_number().over(Window.orderBy("hour")))
     g = p.groupBy("island").agg(F.min("hour").alias("start"), F.max("hour").alias("end"),
                                 F.avg("intensity").alias("mean_intensity"),
                                 F.avg("vc").alias("avg_vehicles"), F.avg("sp").alias("avg_speed"))
-    return (g.withColumn("intensity", F.when(F.col("mean_intensity") > PEAK_HIGH, "High")
+    found = (g.withColumn("intensity", F.when(F.col("mean_intensity") > PEAK_HIGH, "High")
                          .when(F.col("mean_intensity") > PEAK_MEDIUM, "Medium").otherwise("Low"))
              .withColumn("period", F.row_number().over(Window.orderBy("start")))
              .drop("island"))
+    # without readings: the usual peaks
+    usual = found.sparkSession.createDataFrame(
+        DEFAULT_PEAKS, "start int, end int, mean_intensity double, avg_vehicles double, avg_speed double, "
+        "intensity string, period int")
+    none = readings.select(F.count(F.lit(1))).scalar() == 0
+    return found.unionByName(usual.where(none))
 
 
 def max_normalised(agg: DataFrame, value: str, out: str | None = None) -> DataFrame:
     """Value / max(value) of an aggregated table (max as a scalar subquery)."""
-    return agg.withColumn(out or f"{value}_norm", F.col(value) / agg.select(F.max(value)).scalar())
+    return agg.withColumn(out or f"{value}_norm", F.try_divide(F.col(value), agg.select(F.max(value)).scalar()))

@@ -33,6 +33,11 @@ select reading_id, location, row_number() over (w) - 1 as series_pos,
 from readings window w as ({_W})"""
 
 
+def _series(spark, sf_dir):
+    """Keys, order and target only: the rank's checkpoint holds no other column."""
+    return V.readings(spark, sf_dir).select("reading_id", "location", "timestamp", _T)
+
+
 def _lag_out(df):
     keep = ["reading_id", "location", POS] + [c for c in df.columns if c.startswith(f"{_T}_")]
     return df.select(*keep)
@@ -40,7 +45,7 @@ def _lag_out(df):
 
 @query("e1_lag_rolling_features", sql=_FEATURES_SQL)
 def e1_lag_rolling_features(spark, sf_dir):
-    return _lag_out(TS.lag_features(V.readings(spark, sf_dir), chunk_rows=CHUNK_ROWS))
+    return _lag_out(TS.lag_features(_series(spark, sf_dir), chunk_rows=CHUNK_ROWS))
 
 
 @query("e3_complete_feature_rows", sql=f"""
@@ -48,7 +53,7 @@ select * from ({_FEATURES_SQL}) f
 where {" and ".join(f"{_T}_lag_{k} is not null" for k in TS.LAGS)}
   and {" and ".join(f"{_T}_rolling_{s}_{n} is not null" for n in TS.ROLLING for s in ("mean", "std"))}""")
 def e3_complete_feature_rows(spark, sf_dir):
-    f = TS.lag_features(V.readings(spark, sf_dir), chunk_rows=CHUNK_ROWS)
+    f = TS.lag_features(_series(spark, sf_dir), chunk_rows=CHUNK_ROWS)
     return _lag_out(TS.complete_rows(f))
 
 
@@ -82,7 +87,7 @@ def e5_persistent_congestion(spark, sf_dir):
 
 @query("e5_persistent_congestion_latest", sql=f"with {_CHANGES_SQL} {_PERSISTENT_SQL} and pos = n - 1")
 def e5_persistent_congestion_latest(spark, sf_dir):
-    return TS.persistent_congestion(TS.speed_changes(V.readings(spark, sf_dir), CHUNK_ROWS), last_only=True)
+    return TS.persistent_congestion_latest(V.readings(spark, sf_dir))
 
 
 @query("h4_incidents", sql=f"with {_CHANGES_SQL} {_SLOWDOWN_SQL} union all {_PERSISTENT_SQL}")
@@ -108,7 +113,7 @@ select location, R6(regr_slope({_T}, pos::double)) as speed_slope,
   R6(regr_slope(vehicle_count::double, pos::double)) as volume_slope, count(*) as n_points
 from s where pos >= n - 10 group by 1""")
 def e6_trend_slopes(spark, sf_dir):
-    return TS.trend_slopes(V.readings(spark, sf_dir), chunk_rows=CHUNK_ROWS)
+    return TS.trend_slopes(V.readings(spark, sf_dir))
 
 
 @query("e6_future_anomalies", sql=f"""
@@ -122,7 +127,7 @@ select location, R6(speed_slope), R6(volume_slope), 'volume_anomaly_predicted',
   '15_minutes', 0.7::double
 from x where abs(fv - volume_mean) > 50""")
 def e6_future_anomalies(spark, sf_dir):
-    return TS.trend_forecast(V.readings(spark, sf_dir), chunk_rows=CHUNK_ROWS)
+    return TS.trend_forecast(V.readings(spark, sf_dir))
 
 
 @query("e7_peak_hours", sql=f"""
@@ -153,6 +158,6 @@ def e9_location_volume_share(spark, sf_dir):
 select reading_id, location, {", ".join(f"{_T}_rolling_{s}_{n}" for n in TS.ROLLING for s in ("mean", "std"))}
 from ({_FEATURES_SQL}) f""")
 def e2_rolling_stats(spark, sf_dir):
-    f = TS.lag_features(V.readings(spark, sf_dir), chunk_rows=CHUNK_ROWS)
+    f = TS.lag_features(_series(spark, sf_dir), chunk_rows=CHUNK_ROWS)
     return f.select("reading_id", "location",
                     *[f"{_T}_rolling_{s}_{n}" for n in TS.ROLLING for s in ("mean", "std")])

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every corridor job relies on: UTC wall clock (all timestamps are
 # Unix seconds), adaptive execution so join strategy, partition coalescing
@@ -47,8 +49,10 @@ def build_session(master: str | None = None, app: str = "corridor",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """The cluster's shared ``spark.checkpoint.dir``.  Only a ``local[...]``
+    master may leave it unset (tests): it then gets a fresh scratch folder.
+    Elsewhere this raises, because executors would write where the others
+    cannot read."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
@@ -56,11 +60,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc.getCheckpointDir() is None:
+        require_local(sc.master)
         path = tempfile.mkdtemp(prefix="corridor-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 
+def require_local(master: str) -> None:
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the shared folder and read it back.  Lineage ends
+    there, and the planner sees the file's true size, so a small table is
+    broadcast under the usual threshold and a large one is not."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cpu_partitions(spark: SparkSession) -> int:
     """Partition count for Python-heavy stages (grouped pandas work, key
     derivation): at least one per core.  Used with an explicit
