@@ -2,10 +2,10 @@
 
 MLlib has no isolation forest, so:
 
-* fit: a Bernoulli sample of the table (a fixed multiple of the
-  per-tree sample size, independent of the table size) is spread over the
-  trees by hashing (tree, row id); each tree keeps at most ``sample_size``
-  rows and is grown by ``groupBy(tree_id).applyInPandas`` with numpy — one
+* fit: every row joins each tree with the same probability, decided by
+  hashes of (tree, row id) alone, so the forest depends neither on the
+  table's size nor on its files; each tree keeps at most ``sample_size``
+  of its rows and is grown by ``groupBy(tree_id).applyInPandas`` with numpy — one
   task per tree, each holding <= 256 rows;
 * the forest (trees x at most 2 * sample_size - 1 nodes: bounded by the
   parameters, not the data) is collected and broadcast;
@@ -92,16 +92,20 @@ def fit(df: DataFrame, features: Sequence[str], id_col: str, n_trees: int = N_TR
         aggs += [F.avg(F.col(c).cast("double")), F.stddev_pop(F.col(c).cast("double"))]
     head = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
     n, stats = head[0], list(head[1:])
-    pool = min(n, 64 * sample_size)
-    frac = min(1.0, pool / max(n, 1))
-    p_tree = min(1.0, 1.5 * sample_size / max(pool, 1))
+    # Each row is in each tree with probability p, whatever the table's size.
+    # A row's first tree is geometric, drawn from one hash; most rows have
+    # none and stop there, and only the others try the trees after it.
+    p = min(1.0 - 1e-9, 1.5 * sample_size / max(n, 1))
+    u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    start = F.floor(F.log(1 - u) / math.log1p(-p))
+    last = F.lit(n_trees - 1).cast("long")
     cols = _scaled(df, features, stats)
-    sampled = df.sample(fraction=frac, seed=seed) if frac < 1.0 else df
     trees = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+        F.transform(F.sequence(F.col("_start"), last),
                     lambda t: F.struct(t.alias("t"), F.xxhash64(t, F.col(id_col), F.lit(seed)).alias("h"))),
-        lambda s: F.pmod(s["h"], F.lit(1_000_000)) < int(p_tree * 1_000_000))
-    cand = sampled.select(*cols, F.explode(trees).alias("m")).select("*", "m.t", "m.h").drop("m")
+        lambda s: (s["t"] == F.col("_start")) | (F.pmod(s["h"], F.lit(1 << 30)) < F.lit(int(p * (1 << 30)))))
+    cand = (df.select(id_col, *cols, start.alias("_start")).where(F.col("_start") <= last)
+            .select(*[f"_f{i}" for i in range(len(features))], F.explode(trees).alias("m")).select("*", "m.t", "m.h").drop("m"))
     from pyspark.sql import Window
     from ..session import cpu_partitions
     # One explicit hash partitioning by tree serves both the top-k window and
@@ -163,12 +167,6 @@ def score(df: DataFrame, model: dict, out: str = "if_score") -> DataFrame:
         return pd.Series(np.power(2.0, -h / c_n))
 
     cols = _scaled(df, model["features"], model["stats"])
-    # Scoring is CPU work in Python workers: when the input arrives in fewer
-    # partitions than there are cores (a small file), spread it first.  Large
-    # inputs already come in many file splits and are left as they are.
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
     return df.withColumn(out, _score(*[c for c in cols]))
 
 

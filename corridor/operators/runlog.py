@@ -1,8 +1,8 @@
 """Run-log statistics (D45), re-aimed at real run logs.
 
 The reference times a simulated workflow; here the run log is what Spark
-itself records — e.g. one row per micro-batch of a streaming query
-(``StreamingQuery.recentProgress``) or per job run appended by a scheduler.
+itself records: one row per micro-batch of a streaming query, appended to a
+table by a listener, or one per job run appended by a scheduler.
 Input columns: ``run_id`` and ``duration_ms``.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 IDEAL_MS = 100.0   # fixed value: the reference's ideal end-to-end time
 
@@ -20,11 +21,36 @@ def efficiency(duration_ms) -> F.Column:
     return F.round(F.least(F.lit(100.0), F.try_divide(F.lit(IDEAL_MS), d) * 100), 2)
 
 
-def run_log_from_progress(spark: SparkSession, progresses) -> DataFrame:
-    """One row per streaming micro-batch: batch id, trigger duration, rows."""
-    rows = [(int(p["batchId"]), float(p["durationMs"].get("triggerExecution", 0)), int(p.get("numInputRows", 0)))
-            for p in progresses]
-    return spark.createDataFrame(rows, "run_id long, duration_ms double, input_rows long")
+RUN_LOG_SCHEMA = "query string, run_id long, duration_ms double, input_rows long, late_rows long"
+
+
+class RunLog(StreamingQueryListener):
+    """Appends one row per micro-batch of the session's streaming queries to a
+    table, however long they run (``recentProgress`` forgets all but the last
+    batches), with the number of rows that came too late for the watermark."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        row = (str(p.runId), int(p.batchId), float(p.durationMs.get("triggerExecution", 0)), int(p.numInputRows),
+               sum(int(o.numRowsDroppedByWatermark) for o in p.stateOperators))
+        self.spark.createDataFrame([row], RUN_LOG_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def run_log(spark: SparkSession, path: str) -> DataFrame:
+    """The appended table; a batch that was reported again counts once."""
+    return spark.read.schema(RUN_LOG_SCHEMA).parquet(path).dropDuplicates(["query", "run_id"])
 
 
 def run_log_stats(log: DataFrame) -> DataFrame:
