@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,11 +21,13 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.congestion import speed_band_code
-from .features import FEATURE_COLUMNS
+from ..functions.congestion import level_from_speed, speed_band_code
+from ..session import stored
+from .features import FEATURE_COLUMNS, apply_label_encoder
 
 ENSEMBLE_EPS = 1e-8
-DEFAULT_CONFIDENCE = 0.85
+DEFAULT_CONFIDENCE = 0.85  # of a model whose accuracy is unknown
+SHIFT = 50.0  # sums of squares are taken about it, so that the variance keeps its digits
 SEED = 42
 
 
@@ -81,21 +85,59 @@ def predictions(models: dict[str, PipelineModel], features: DataFrame,
     return out
 
 
-def evaluate(preds: DataFrame) -> DataFrame:
+def prediction_summary(preds: DataFrame) -> DataFrame:
+    """The one pass over the predictions that evaluation needs: per (model,
+    actual band, predicted band) the count and sums of the actual values,
+    their squares and the squared errors; at most nine rows per model, stored
+    so that all metrics are read from them."""
+    a, e = F.col("actual"), F.col("actual") - F.col("predicted")
+    shifted = a - SHIFT
+    g = preds.groupBy("model", speed_band_code("actual").alias("actual_band"), speed_band_code("predicted").alias("predicted_band")).agg(
+        F.count(F.lit(1)).alias("count"), F.sum(e * e).alias("sq_error"), F.sum(shifted).alias("sum_actual"), F.sum(shifted * shifted).alias("sum_sq_actual"))
+    return stored(g, "prediction-summary")
+
+
+# What a field that a record lacks counts as.
+RECORD_DEFAULTS = {"vehicle_count": 0, "location": "Location_A", "weather": "Sunny", "hour": 12, "day_of_week": 0, "month": 1,
+                   "is_weekend": 0, "is_rush_hour": 0}
+
+
+def score_records(records: DataFrame, models: dict[str, PipelineModel], encoders: dict[str, DataFrame],
+                  accuracies: dict[str, float] | None = None) -> DataFrame:
+    """Every model's speed for partly filled records, one row per (record,
+    model) with the congestion level and the model's confidence (its accuracy,
+    ``DEFAULT_CONFIDENCE`` where unknown).  Missing or null fields take
+    ``RECORD_DEFAULTS``, labels that an encoder does not know the code 0."""
+    filled = records
+    for c, v in RECORD_DEFAULTS.items():
+        given = F.col(c) if c in records.columns else F.lit(None)
+        filled = filled.withColumn(c, F.coalesce(given.cast("string" if isinstance(v, str) else "int"), F.lit(v)))
+    for c in ("location", "weather"):
+        filled = apply_label_encoder(filled, encoders[c], c)
+    out = None
+    for name, m in models.items():
+        p = m.transform(filled.withColumn("average_speed_kmph", F.lit(None).cast("double"))).select(
+            *records.columns, F.lit(name).alias("model"), F.col("prediction").alias("speed"),
+            level_from_speed("prediction").alias("congestion"),
+            F.lit(float((accuracies or {}).get(name, DEFAULT_CONFIDENCE))).alias("confidence"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def evaluate(preds: DataFrame | None = None, summary: DataFrame | None = None) -> DataFrame:
     """Mse, r2, and weighted precision/recall/F1 plus accuracy on the
     speed bands (0/1/2, out of range -> 1) of actual vs predicted."""
-    p = preds.withColumns({"a_band": speed_band_code("actual"), "p_band": speed_band_code("predicted")})
-    reg = p.groupBy("model").agg(
-        F.avg((F.col("actual") - F.col("predicted")) ** 2).alias("mse"),
-        F.sum((F.col("actual") - F.col("predicted")) ** 2).alias("_ss_res"),
-        F.var_pop("actual").alias("_var"), F.count(F.lit(1)).alias("n"),
-        F.avg((F.col("a_band") == F.col("p_band")).cast("double")).alias("accuracy"))
-    reg = reg.withColumn("r2", 1 - F.try_divide(F.col("_ss_res"), F.col("_var") * F.col("n")))
+    cm = prediction_summary(preds) if summary is None else summary
+    hit = F.col("actual_band") == F.col("predicted_band")
+    reg = cm.groupBy("model").agg(
+        F.sum("count").alias("n"), F.sum("sq_error").alias("_res"), F.sum("sum_actual").alias("_s"),
+        F.sum("sum_sq_actual").alias("_ss"), F.sum(F.when(hit, F.col("count")).otherwise(0)).alias("_hits"))
+    reg = reg.withColumns({"mse": F.try_divide("_res", "n"), "accuracy": F.try_divide("_hits", "n"),
+                           "r2": 1 - F.try_divide(F.col("_res"), F.col("_ss") - F.col("_s") * F.col("_s") / F.col("n"))})
     # per-class support, true positives and predicted counts
-    cm = p.groupBy("model", "a_band", "p_band").agg(F.count(F.lit(1)).alias("c"))
-    act = cm.groupBy("model", F.col("a_band").alias("cls")).agg(F.sum("c").alias("support"))
-    prd = cm.groupBy("model", F.col("p_band").alias("cls")).agg(F.sum("c").alias("predicted_n"))
-    tp = cm.where(F.col("a_band") == F.col("p_band")).select("model", F.col("a_band").alias("cls"), F.col("c").alias("tp"))
+    act = cm.groupBy("model", F.col("actual_band").alias("cls")).agg(F.sum("count").alias("support"))
+    prd = cm.groupBy("model", F.col("predicted_band").alias("cls")).agg(F.sum("count").alias("predicted_n"))
+    tp = cm.where(hit).select("model", F.col("actual_band").alias("cls"), F.col("count").alias("tp"))
     per = (act.join(prd, ["model", "cls"], "full").join(tp, ["model", "cls"], "left")
            .na.fill(0, ["support", "predicted_n", "tp"])
            .withColumns({"prec": F.coalesce(F.try_divide(F.col("tp"), F.col("predicted_n")), F.lit(0.0)),
@@ -103,21 +145,20 @@ def evaluate(preds: DataFrame) -> DataFrame:
            .withColumn("f1", F.coalesce(F.try_divide(2 * F.col("prec") * F.col("rec"), F.col("prec") + F.col("rec")),
                                         F.lit(0.0))))
     w = per.groupBy("model").agg(
-        (F.sum(F.col("prec") * F.col("support")) / F.sum("support")).alias("precision"),
-        (F.sum(F.col("rec") * F.col("support")) / F.sum("support")).alias("recall"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_score"))
+        F.try_divide(F.sum(F.col("prec") * F.col("support")), F.sum("support")).alias("precision"),
+        F.try_divide(F.sum(F.col("rec") * F.col("support")), F.sum("support")).alias("recall"),
+        F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("f1_score"))
     return reg.join(w, "model").select("model", "n", "mse", "r2", "accuracy", "precision", "recall", "f1_score")
 
 
-def confusion_matrix(preds: DataFrame) -> DataFrame:
+def confusion_matrix(preds: DataFrame | None = None, summary: DataFrame | None = None) -> DataFrame:
     """3 x 3 counts in long form (model, actual_band, predicted_band, count)."""
+    counts = prediction_summary(preds) if summary is None else summary
     grid = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(3) for b in range(3)])
-    cells = preds.select("model").distinct().select("model", F.explode(grid).alias("g")) \
+    cells = counts.select("model").distinct().select("model", F.explode(grid).alias("g")) \
         .select("model", F.col("g.a").alias("actual_band"), F.col("g.b").alias("predicted_band"))
-    counts = (preds.select("model", speed_band_code("actual").alias("actual_band"),
-                           speed_band_code("predicted").alias("predicted_band"))
-              .groupBy("model", "actual_band", "predicted_band").agg(F.count(F.lit(1)).alias("count")))
-    return cells.join(counts, ["model", "actual_band", "predicted_band"], "left").na.fill(0, ["count"])
+    return (cells.join(counts.select("model", "actual_band", "predicted_band", "count"), ["model", "actual_band", "predicted_band"], "left")
+            .na.fill(0, ["count"]))
 
 
 def ensemble_weights(preds: DataFrame) -> DataFrame:
@@ -143,7 +184,6 @@ def ensemble_predictions(preds: DataFrame, id_col: str = "reading_id", min_model
 def mean_prediction(preds: DataFrame, id_col: str = "reading_id") -> DataFrame:
     """Mean predicted speed over models per row -> congestion decisions."""
     from .decisions import light_timing, route_advice
-    from ..functions.congestion import level_from_speed
     m = preds.groupBy(id_col).agg(F.avg("predicted").alias("mean_predicted_speed"))
     return m.withColumns({"congestion_level": level_from_speed("mean_predicted_speed"),
                           "timing": light_timing("mean_predicted_speed"),
@@ -193,21 +233,54 @@ def latest_results(results: DataFrame, key: str = "model", order: str = "run_id"
 
 def forest_uncertainty(model: PipelineModel, df: DataFrame) -> DataFrame:
     """G10 (re-aimed): mean and population std of the individual trees'
-    predictions of a fitted random forest, per row."""
-    assembled = model.stages[0].transform(df)
+    predictions of a fitted random forest, per row.
+
+    The trees (a fixed number of bounded size) travel to the workers as flat
+    node arrays; one Arrow-batched function walks all of them for a whole
+    batch, so the plan has one step however many trees there are."""
     forest = model.stages[-1]
-    cols = []
-    out = assembled
-    for i, tree in enumerate(forest.trees):
-        tree = tree.copy().setPredictionCol(f"_t{i}").setFeaturesCol("features")
-        out = tree.transform(out)
-        cols.append(f"_t{i}")
-    arr = F.array(*[F.col(c) for c in cols])
-    n = float(len(cols))
-    mean = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / n
-    out = out.withColumn("_arr", arr).withColumn("prediction_mean", mean)
-    var = F.aggregate(F.col("_arr"), F.lit(0.0), lambda a, x: a + (x - F.col("prediction_mean")) ** 2) / n
-    return out.withColumn("prediction_std", F.sqrt(var)).drop("_arr", *cols)
+    nodes = _flat_trees(forest)
+
+    def walk(x: np.ndarray) -> np.ndarray:
+        at = np.broadcast_to(nodes["root"], (len(x), len(nodes["root"]))).copy()
+        rows = np.arange(len(x))[:, None]
+        for _ in range(nodes["depth"]):
+            go_left = x[rows, nodes["feature"][at]] <= nodes["threshold"][at]
+            at = np.where(go_left, nodes["left"][at], nodes["right"][at])
+        return nodes["value"][at]
+
+    @F.pandas_udf("prediction_mean double, prediction_std double")
+    def spread(v: pd.Series) -> pd.DataFrame:
+        p = walk(np.stack(v.to_numpy())) if len(v) else np.empty((0, len(nodes["root"])))
+        return pd.DataFrame({"prediction_mean": p.mean(axis=1), "prediction_std": p.std(axis=1)})
+
+    out = model.stages[0].transform(df).withColumn("_s", spread(vector_to_array("features")))
+    return out.select("*", "_s.prediction_mean", "_s.prediction_std").drop("_s")
+
+
+def _flat_trees(forest) -> dict:
+    """All trees of a fitted forest as one node array; a leaf points to itself."""
+    feature, threshold, left, right, value, root, depth = [], [], [], [], [], [], 0
+
+    def add(node) -> int:
+        i = len(feature)
+        leaf = node.subtreeDepth() == 0
+        feature.append(0 if leaf else node.split().featureIndex())
+        threshold.append(0.0 if leaf else node.split().threshold())
+        value.append(node.prediction())
+        left.append(i)
+        right.append(i)
+        if not leaf:
+            left[i] = add(node.leftChild())
+            right[i] = add(node.rightChild())
+        return i
+
+    for tree in forest.trees:
+        top = tree._call_java("rootNode")
+        depth = max(depth, top.subtreeDepth())
+        root.append(add(top))
+    return {"feature": np.array(feature), "threshold": np.array(threshold), "left": np.array(left), "right": np.array(right),
+            "value": np.array(value), "root": np.array(root), "depth": depth}
 
 
 def feature_importance(spark, model: PipelineModel, names: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
@@ -228,7 +301,3 @@ def save_models(models: dict[str, PipelineModel], prefix: str) -> None:
 
 def load_models(prefix: str, names: Sequence[str]) -> dict[str, PipelineModel]:
     return {n: PipelineModel.load(f"{prefix}/{n}") for n in names}
-
-
-def vector_column_to_array(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(col, vector_to_array(col))

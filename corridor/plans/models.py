@@ -16,6 +16,7 @@ from ..operators import decisions as D
 from ..operators import features as FE
 from ..operators import isolation as IF
 from ..operators import models as M
+from ..session import stored
 from ..sources import fixtures as V
 from ._registry import query
 
@@ -23,16 +24,14 @@ from ._registry import query
 def prediction_table(spark, sf_dir):
     """(reading_id, model, actual, predicted) on the hash-split test rows."""
     r = FE.train_test_split(V.readings(spark, sf_dir)).withColumn("hour", F.hour(event_time("timestamp")))
-    test = r.where("is_test")
-    heur = (D.heuristic_speed(test)
-            .select("reading_id", F.lit("heuristic").alias("model"), F.col("average_speed_kmph").alias("actual"),
-                    F.col("speed_estimate_scoring").alias("predicted")))
     # training-row hourly means: at most 24 rows, broadcast is bounded
-    hm = r.where(~F.col("is_test")).groupBy("hour").agg(F.avg("average_speed_kmph").alias("predicted"))
-    base = (test.join(F.broadcast(hm), "hour", "left")
-            .select("reading_id", F.lit("hourly_mean").alias("model"), F.col("average_speed_kmph").alias("actual"),
-                    "predicted"))
-    return heur.unionByName(base)
+    hm = r.where(~F.col("is_test")).groupBy("hour").agg(F.avg("average_speed_kmph").alias("hourly_mean"))
+    test = D.heuristic_speed(r.where("is_test").join(F.broadcast(hm), "hour", "left"))
+    # both models in one row, then one row each: the test rows are read once
+    both = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("predicted"))
+                     for m, c in (("heuristic", "speed_estimate_scoring"), ("hourly_mean", "hourly_mean"))])
+    return (test.select("reading_id", F.col("average_speed_kmph").alias("actual"), F.explode(both).alias("p"))
+            .select("reading_id", "p.model", "actual", "p.predicted"))
 
 
 _WF = "(case weather when 'Sunny' then 1.0 when 'Cloudy' then 0.95 when 'Rainy' then 0.8 when 'Snowy' then 0.7 " \
@@ -141,7 +140,7 @@ def c7_prediction_alignment(spark, sf_dir):
 
 
 def _all_predictions(spark, sf_dir):
-    p = prediction_table(spark, sf_dir)
+    p = stored(prediction_table(spark, sf_dir), "predictions")
     return p.unionByName(M.ensemble_predictions(p).select("reading_id", "model", "actual", "predicted"))
 
 
