@@ -8,6 +8,8 @@ joined back together and nothing is collected per window.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,12 +70,27 @@ def weather_factor() -> Column:
             * road_f)
 
 
+def latest_payloads(readings: DataFrame, sensors: DataFrame, window_col: str = "hour_bucket", active_only: bool = True,
+                    order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+    """One row per (window, sensor): its last payload, so that a sensor counts
+    once however often it reports."""
+    payload = [c for c in readings.columns if c not in ("sensor_key", window_col, *order)]
+    last = F.max_by(F.struct(*payload), F.struct(*order)).alias("p")
+    r = readings.groupBy(window_col, "sensor_key").agg(last).select(window_col, "sensor_key", "p.*")
+    return with_category(r, sensors, active_only)
+
+
 def fuse(readings: DataFrame, sensors: DataFrame, window_col: str = "hour_bucket",
          active_only: bool = True) -> DataFrame:
-    """D36-D38 per time window: fused speed/volume, environmental impact
-    scores (products of penalty factors, clamped to [0, 1]) and the traffic
-    health score (mean of the available factors)."""
-    r = with_category(readings, sensors, active_only)
+    """D36-D38 per time window, over each sensor's latest payload in it: fused
+    speed/volume, environmental impact scores (products of penalty factors,
+    clamped to [0, 1]) and the traffic health score (mean of the available
+    factors)."""
+    return fuse_latest(latest_payloads(readings, sensors, window_col, active_only), window_col)
+
+
+def fuse_latest(r: DataFrame, window_col) -> DataFrame:
+    """The fusion of ``latest_payloads``; ``window_col`` is a column or its name."""
     cat = F.col("category")
     is_speed = cat == "speed"
     one = F.lit(1.0)

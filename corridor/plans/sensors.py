@@ -12,7 +12,9 @@ from ._registry import query
 _VIEWS = ("sensors", "sensor_readings")
 
 _TAGGED = """
-t as (select r.*, s.sensor_id, s.category from sensor_readings r join sensors s on r.sensor_key = s.sensor_key
+l as (select * from sensor_readings
+      qualify row_number() over (partition by hour_bucket, sensor_key order by ts desc, event_id desc) = 1),
+t as (select r.*, s.sensor_id, s.category from l r join sensors s on r.sensor_key = s.sensor_key
       where s.status = 'active')"""
 
 _WF = """((case when precipitation > 10 then 0.7 when precipitation > 5 then 0.85 else 1.0 end)
@@ -61,12 +63,14 @@ def d36_sensor_fusion(spark, sf_dir):
 
 @query("d37_environmental_impact", views=_VIEWS, sql=f"""
 with {_FUSED}
-select hour_bucket, R6(weather_impact_score) as weather_impact_score,
-  R6(air_quality_impact_score) as air_quality_impact_score, R6(noise_impact_score) as noise_impact_score,
-  R6(env) as overall_environmental_score from h""")
+select hour_bucket, R6(weather_impact_score + 1e-9) as weather_impact_score,
+  R6(air_quality_impact_score + 1e-9) as air_quality_impact_score, R6(noise_impact_score + 1e-9) as noise_impact_score,
+  R6(env + 1e-9) as overall_environmental_score from h""")
 def d37_environmental_impact(spark, sf_dir):
-    return _fused(spark, sf_dir).select("hour_bucket", "weather_impact_score", "air_quality_impact_score",
-                                        "noise_impact_score", "overall_environmental_score")
+    # products of two-decimal factors often end in a 5 at the seventh decimal;
+    # the nudge rounds them alike whatever the order of multiplication
+    return _fused(spark, sf_dir).select("hour_bucket", *[(F.col(c) + 1e-9).alias(c) for c in (
+        "weather_impact_score", "air_quality_impact_score", "noise_impact_score", "overall_environmental_score")])
 
 
 @query("d38_traffic_health", views=_VIEWS, sql=f"""

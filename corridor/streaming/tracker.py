@@ -7,9 +7,10 @@ the stream runs.  Matching is greedy on the total order (distance, track id,
 detection id) inside the 50-px gate; unmatched detections open new tracks
 with increasing ids starting at 0.
 
-Within a micro-batch a camera's frames are processed in frame order; across
-micro-batches the order is arrival order, so feed frames in time order (the
-usual case for a camera stream).
+A camera's newest frame waits in state until a later frame (or a timer) closes
+it, so a frame split over Arrow chunks or micro-batches is tracked as a whole.
+Detections of a frame that is already closed come too late and are dropped.
+A camera that sends nothing for ``IDLE_MS`` of event time is flushed and forgotten.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 GATE_PX = 50.0
 EVICT_AFTER_FRAMES = 5
 PATH_LEN = 20
+IDLE_MS = 60 * 60 * 1000
 
 OUTPUT_SCHEMA = T.StructType([
     T.StructField("camera_id", T.LongType()), T.StructField("frame_id", T.LongType()),
@@ -37,6 +39,10 @@ STATE_SCHEMA = T.StructType([
         T.StructField("track_id", T.LongType()), T.StructField("cx", T.DoubleType()),
         T.StructField("cy", T.DoubleType()), T.StructField("last_frame", T.LongType()),
         T.StructField("path", T.ArrayType(T.ArrayType(T.DoubleType())))]))),
+    T.StructField("closed", T.LongType()),
+    T.StructField("open", T.ArrayType(T.StructType([
+        T.StructField("frame_id", T.LongType()), T.StructField("det_id", T.LongType()),
+        T.StructField("cx", T.DoubleType()), T.StructField("cy", T.DoubleType())]))),
 ])
 
 
@@ -75,27 +81,40 @@ def step(tracks: dict, next_id: int, frame_id: int, dets: list):
 
 def _track(key, pdfs, state: GroupState):
     camera = key[0]
-    tracks, next_id = {}, 0
+    tracks, next_id, closed, held = {}, 0, -1, []
     if state.exists:
-        nid, saved = state.get
-        next_id = int(nid)
+        nid, saved, closed, waiting = state.get
+        next_id, closed = int(nid), int(closed)
         for t in saved or []:
             tracks[int(t[0])] = [float(t[1]), float(t[2]), int(t[3]), [list(p) for p in t[4]]]
-    parts = [p for p in pdfs if len(p)]
-    frames = pd.concat(parts) if parts else pd.DataFrame()
+        held = [(int(w[0]), int(w[1]), float(w[2]), float(w[3])) for w in waiting or []]
+    now = state.getCurrentWatermarkMs()
+    for p in pdfs:
+        if len(p):
+            now = max(now, int(p["event_ts"].max().timestamp() * 1000))
+        held += zip(p["frame_id"].astype(int), p["det_id"].astype(int), p["cx"].astype(float), p["cy"].astype(float))
+    frames = {}
+    for fid, det_id, cx, cy in sorted(set(held)):
+        if fid > closed:
+            frames.setdefault(int(fid), []).append((int(det_id), float(cx), float(cy)))
+    newest = max(frames, default=closed)
     out = []
-    if len(frames):
-        frames = frames.sort_values(["frame_id", "det_id"])
-        for fid, g in frames.groupby("frame_id", sort=True):
-            dets = list(zip(g["det_id"].astype(int), g["cx"].astype(float), g["cy"].astype(float)))
-            rows, next_id = step(tracks, next_id, int(fid), dets)
+    for fid in sorted(frames):
+        if fid < newest or state.hasTimedOut:
+            rows, next_id = step(tracks, next_id, fid, frames[fid])
             out += [(int(camera), *r) for r in rows]
-    state.update((next_id, [(tid, v[0], v[1], v[2], v[3]) for tid, v in tracks.items()]))
+            closed = fid
+    if state.hasTimedOut:
+        state.remove()
+    else:
+        open_ = [(newest, *d) for d in frames.get(newest, [])]
+        state.update((next_id, [(tid, v[0], v[1], v[2], v[3]) for tid, v in tracks.items()], closed, open_))
+        state.setTimeoutTimestamp(now + IDLE_MS)
     yield pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
 
 
-def track_stream(detections: DataFrame) -> DataFrame:
-    """J7 on a stream of valid detections (camera_id, frame_id, det_id, cx, cy)."""
-    d = detections.select("camera_id", "frame_id", "det_id", "cx", "cy")
+def track_stream(detections: DataFrame, watermark: str = "1 minute") -> DataFrame:
+    """J7 on a stream of valid detections (camera_id, frame_id, det_id, cx, cy, event_ts)."""
+    d = detections.select("camera_id", "frame_id", "det_id", "cx", "cy", "event_ts").withWatermark("event_ts", watermark)
     return d.groupBy("camera_id").applyInPandasWithState(
-        _track, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        _track, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
