@@ -196,6 +196,8 @@ def recommendation_summary(situations: DataFrame) -> DataFrame:
         "congestion_level": level_from_speed("predicted_speed"),
         "flow_improvement_pct": F.when(d > 0.7, "15-25").when(d > 0.5, "10-20").otherwise("5-10"),
         "congestion_reduction_pct": F.when(d > 0.7, "20-40").when(d > 0.5, "15-30").otherwise("10-15"),
+        "safety_outcome": F.when(d > 0.7, "significant_risk_reduction").when(d > 0.5, "moderate_improvement")
+        .otherwise("high_standards_kept"),
     })
 
 
@@ -296,16 +298,24 @@ def adaptive_timing(readings: DataFrame, key: str = "location") -> DataFrame:
                F.least(F.lit(1.5), F.greatest(F.lit(0.7), F.try_divide(F.lit(50.0), F.col("avg_speed"))))
                ).otherwise(F.lit(1.0))
     g, y, r = BASE_TIMING
-    return a.withColumns({"count_multiplier": c, "speed_multiplier": s}).withColumns({
+    out = a.withColumns({"count_multiplier": c, "speed_multiplier": s}).withColumns({
         "green": (F.lit(float(g)) * F.col("count_multiplier") * F.col("speed_multiplier")).cast("int"),
         "yellow": F.lit(y),
         "red": F.greatest(F.lit(15), (F.lit(float(r)) * (2 - F.col("count_multiplier"))).cast("int"))})
+    # without readings: one row with the base timing
+    kind = readings.schema[key].dataType.simpleString()
+    base = readings.sparkSession.createDataFrame(
+        [(None, None, None, None, None, g, y, r)],
+        f"{key} {kind}, avg_vehicle_count double, avg_speed double, count_multiplier double, speed_multiplier double, "
+        "green int, yellow int, red int")
+    return out.unionByName(base.where(readings.select(F.count(F.lit(1))).scalar() == 0))
 
 
 def format_timestamp(text: str | Column) -> Column:
     """K1: numeric text of Unix seconds -> 'yyyy-MM-dd HH:mm:ss' (UTC);
     'Invalid timestamp' when it does not parse."""
     x = F.expr(f"try_cast({text} as double)") if isinstance(text, str) else text.try_cast("double")
-    secs = F.floor(x)
+    # years 1 to 9999; also rules out NaN and infinity, which no cast survives
+    secs = F.when(x.between(-62135596800.0, 253402300799.0), F.floor(x))
     return F.coalesce(F.date_format(F.timestamp_seconds(secs), "yyyy-MM-dd HH:mm:ss"), F.lit("Invalid timestamp"))
 

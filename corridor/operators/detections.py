@@ -8,6 +8,8 @@ frame's grid cells, whose count is bounded by the image size.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,33 +65,37 @@ def density_grid(valid: DataFrame) -> DataFrame:
              .groupBy(*FRAME_KEYS, "gx", "gy")
              .agg(F.sum(F.col("area") / (IMAGE_W * IMAGE_H) * 100).alias("weight")))
     frame = Window.partitionBy(*FRAME_KEYS)   # bounded: at most gw * gh cells per frame
-    return cells.withColumn("density", F.col("weight") / F.max("weight").over(frame))
-
-
-def gaussian_kernel(sigma: float | None = None, size: int = 5) -> list[float]:
-    """Normalised 1-D Gaussian weights; sigma defaults to the usual rule for
-    the kernel size, 0.3 * ((size - 1) / 2 - 1) + 0.8."""
-    import math
-    s = sigma if sigma else 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    half = size // 2
-    k = [math.exp(-(i * i) / (2 * s * s)) for i in range(-half, half + 1)]
-    tot = sum(k)
-    return [v / tot for v in k]
-
-
-def smoothed_grid(grid: DataFrame, sigma: float | None = None) -> DataFrame:
-    """D31 (smoothed): 5x5 Gaussian spread of each non-empty cell (explode of
-    25 neighbour weights, zero outside the image), then re-normalised."""
-    k1 = gaussian_kernel(sigma)
-    offs = [F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(k1[dx + 2] * k1[dy + 2]).alias("k"))
-            for dx in range(-2, 3) for dy in range(-2, 3)]
+    return cells.withColumn("density", F.coalesce(F.try_divide(F.col("weight"), F.max("weight").over(frame)), F.lit(0.0)))
+
+
+# The 5-tap smoothing weights (binomial, sum 1).
+SMOOTHING = (1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16)
+
+
+def _spread(cell: str, size: int) -> Column:
+    """Where a cell's weight goes along one axis, as structs (at, k): to its
+    neighbours and, near a border, also to where its mirror images (the border
+    cell itself is not repeated) reach."""
+    x = F.col(cell)
+    images = F.array(F.struct(x.alias("at"), F.lit(True).alias("ok")), F.struct((-x).alias("at"), (x >= 1).alias("ok")),
+                     F.struct((2 * (size - 1) - x).alias("at"), (x <= size - 2).alias("ok")))
+    taps = F.array(*[F.struct(F.lit(d - 2).alias("d"), F.lit(k).alias("k")) for d, k in enumerate(SMOOTHING)])
+    to = F.flatten(F.transform(F.filter(images, lambda i: i["ok"]), lambda i: F.transform(
+        taps, lambda t: F.struct((i["at"] + t["d"]).alias("at"), t["k"].alias("k")))))
+    return F.filter(to, lambda t: t["at"].between(0, size - 1))
+
+
+def smoothed_grid(grid: DataFrame) -> DataFrame:
+    """D31 (smoothed): the 5x5 kernel applied to each frame's grid with
+    mirrored borders, then re-normalised.  Only non-empty cells send weight,
+    at most 25 copies each away from the border."""
     gw, gh = IMAGE_W // GRID_CELL, IMAGE_H // GRID_CELL
-    sp = (grid.select(*FRAME_KEYS, "gx", "gy", "weight", F.explode(F.array(*offs)).alias("o"))
-          .select(*FRAME_KEYS, (F.col("gx") + F.col("o.dx")).alias("gx"), (F.col("gy") + F.col("o.dy")).alias("gy"),
-                  (F.col("weight") * F.col("o.k")).alias("w"))
-          .where(F.col("gx").between(0, gw - 1) & F.col("gy").between(0, gh - 1))
-          .groupBy(*FRAME_KEYS, "gx", "gy").agg(F.sum("w").alias("weight")))
-    return sp.withColumn("density", F.col("weight") / F.max("weight").over(Window.partitionBy(*FRAME_KEYS)))
+    sp = (grid.select(*FRAME_KEYS, "gy", "weight", F.explode(_spread("gx", gw)).alias("x"))
+          .select(*FRAME_KEYS, "weight", "x", F.explode(_spread("gy", gh)).alias("y"))
+          .groupBy(*FRAME_KEYS, F.col("x.at").alias("gx"), F.col("y.at").alias("gy"))
+          .agg(F.sum(F.col("weight") * (F.col("x.k") * F.col("y.k"))).alias("weight")))
+    top = F.max("weight").over(Window.partitionBy(*FRAME_KEYS))
+    return sp.withColumn("density", F.coalesce(F.try_divide(F.col("weight"), top), F.lit(0.0)))
 
 
 def grid_stats(grid: DataFrame) -> DataFrame:
@@ -102,6 +108,19 @@ def grid_stats(grid: DataFrame) -> DataFrame:
         (F.count_if(F.col("density") > 0) / n_cells).alias("nonzero_share"))
 
 
+def density_histogram(grid: DataFrame, bins: int = 30) -> DataFrame:
+    """Per frame the cells in each of ``bins`` equal bins of the density,
+    which lies in [0, 1]; cells without weight are in the first bin."""
+    n_cells = (IMAGE_W // GRID_CELL) * (IMAGE_H // GRID_CELL)
+    at = F.least(F.floor(F.col("density") * bins), F.lit(bins - 1)).cast("int")
+    held = grid.where("density > 0").withColumn("bin", at)
+    counts = held.groupBy(*FRAME_KEYS).agg(F.count(F.lit(1)).alias("n"), *[
+        F.count_if(F.col("bin") == i).alias(f"_{i}") for i in range(bins)])
+    rows = F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(i / bins).alias("bin_lo"), F.lit((i + 1) / bins).alias("bin_hi"),
+                              (F.col(f"_{i}") + (F.lit(n_cells) - F.col("n") if i == 0 else 0)).alias("count")) for i in range(bins)])
+    return counts.select(*FRAME_KEYS, F.explode(rows).alias("b")).select(*FRAME_KEYS, "b.*")
+
+
 def in_out_counts(valid: DataFrame) -> DataFrame:
     """incoming = centre y < 100; outgoing = centre y > (y2 of the
     frame's first detection) - 100."""
@@ -129,7 +148,7 @@ def track_matches(valid: DataFrame, gate: float = TRACK_GATE_PX) -> DataFrame:
     detections are copied to the 3 x 3 neighbouring cells and joined on
     (camera, frame, cell), so only nearby pairs are ever formed.
     """
-    g = int(gate)
+    g = max(1, math.ceil(gate))  # cells no smaller than the gate
     cur = valid.select(*FRAME_KEYS, "det_id", "cx", "cy",
                        F.floor(F.col("cx") / g).alias("kx"), F.floor(F.col("cy") / g).alias("ky"))
     offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
@@ -141,9 +160,10 @@ def track_matches(valid: DataFrame, gate: float = TRACK_GATE_PX) -> DataFrame:
     pairs = (cur.join(prev, [*FRAME_KEYS, "kx", "ky"])
              .withColumn("distance", F.sqrt((F.col("cx") - F.col("pcx")) ** 2 + (F.col("cy") - F.col("pcy")) ** 2))
              .where(F.col("distance") < gate))
-    best = Window.partitionBy("det_id").orderBy("distance", "prev_det_id")
-    return (pairs.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") == 1)
-            .select(*FRAME_KEYS, "det_id", "prev_det_id", "prev_track_id", "distance"))
+    # the nearest as a minimum, which is taken map-side before the shuffle
+    nearest = F.min(F.struct("distance", "prev_det_id", "prev_track_id")).alias("m")
+    return (pairs.groupBy(*FRAME_KEYS, "det_id").agg(nearest)
+            .select(*FRAME_KEYS, "det_id", "m.prev_det_id", "m.prev_track_id", "m.distance"))
 
 
 def track_motion(valid: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:

@@ -70,7 +70,7 @@ def demand_matrix(readings: DataFrame) -> DataFrame:
     cell, so demand lies in (0, 1] (the max is a scalar subquery)."""
     a = (readings.withColumn("hour", F.hour(event_time("timestamp"))).groupBy("location", "hour")
          .agg(F.avg("vehicle_count").alias("mean_vehicle_count")))
-    return a.withColumn("demand", F.col("mean_vehicle_count") / a.select(F.max("mean_vehicle_count")).scalar())
+    return a.withColumn("demand", F.try_divide(F.col("mean_vehicle_count"), a.select(F.max("mean_vehicle_count")).scalar()))
 
 
 def rows_of_type(typed: DataFrame, kind: str) -> DataFrame:

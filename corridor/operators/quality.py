@@ -58,7 +58,7 @@ def missing_values(readings: DataFrame, columns: Sequence[str] = READING_COLUMNS
     one = readings.agg(*aggs)
     for c in columns:
         one = one.withColumn(f"pct_missing__{c}",
-                             round_half_up(F.col(f"n_missing__{c}") / F.col("_n") * 100, 2))
+                             round_half_up(F.try_divide(F.col(f"n_missing__{c}"), F.col("_n")) * 100, 2))
     return _unpivot_row(one, columns, ("n_missing", "pct_missing"))
 
 

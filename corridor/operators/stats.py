@@ -111,7 +111,8 @@ def location_performance(readings: DataFrame) -> DataFrame:
     max_speed = a.select(F.max("speed_avg")).scalar()      # scalar subqueries over the aggregate
     max_vehicles = a.select(F.max("vehicle_avg")).scalar()
     a = a.withColumn("performance_score",
-                     (F.col("speed_avg") / max_speed * 0.6 + (1 - F.col("vehicle_avg") / max_vehicles) * 0.4) * 100)
+                     (F.try_divide(F.col("speed_avg"), max_speed) * 0.6
+                      + (1 - F.try_divide(F.col("vehicle_avg"), max_vehicles)) * 0.4) * 100)
     return _rank(a.withColumn("_neg", -F.col("performance_score")), ["_neg", "location"]).drop("_neg")
 
 

@@ -141,12 +141,14 @@ select situation_id,
   case when weather in ('Rainy', 'Snowy', 'Foggy') then 'significant' else 'minimal' end as weather_effect,
   case when predicted_speed < 40 then 'High' when predicted_speed < 70 then 'Medium' else 'Low' end as congestion_level,
   case when density > 0.7 then '15-25' when density > 0.5 then '10-20' else '5-10' end as flow_improvement_pct,
-  case when density > 0.7 then '20-40' when density > 0.5 then '15-30' else '10-15' end as congestion_reduction_pct
+  case when density > 0.7 then '20-40' when density > 0.5 then '15-30' else '10-15' end as congestion_reduction_pct,
+  case when density > 0.7 then 'significant_risk_reduction' when density > 0.5 then 'moderate_improvement'
+    else 'high_standards_kept' end as safety_outcome
 from sit""")
 def b15_recommendation_summary(spark, sf_dir):
     return D.recommendation_summary(situations(spark, sf_dir)).select(
         "situation_id", "situation", "urgency", "goal", "weather_effect", "congestion_level",
-        "flow_improvement_pct", "congestion_reduction_pct")
+        "flow_improvement_pct", "congestion_reduction_pct", "safety_outcome")
 
 
 _EST = (f"(50.0::double * {_sql_map(D.SPEED_WEATHER, 'weather', 1.0)} * (case when vehicle_count > 100 then 0.7::double "

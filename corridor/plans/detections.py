@@ -58,18 +58,24 @@ def d31_density_grid(spark, sf_dir):
     return DT.density_grid(_valid(spark, sf_dir))
 
 
-def _kernel_values():
-    k = DT.gaussian_kernel()
-    return ", ".join(f"({dx}, {dy}, {k[dx + 2] * k[dy + 2]!r}::double)" for dx in range(-2, 3) for dy in range(-2, 3))
+def _axis_sql(cell, size):
+    """The 5-tap sum with mirrored borders along one axis, written out as images x taps."""
+    return f"""(select i.im, t.d, t.w, case i.im when 0 then {cell} when 1 then -{cell} else {2 * (size - 1)} - {cell} end + t.d as at
+     from (values (0), (1), (2)) i(im), (values (-2, 1.0::double / 16), (-1, 4.0::double / 16), (0, 6.0::double / 16),
+       (1, 4.0::double / 16), (2, 1.0::double / 16)) t(d, w)
+     where i.im = 0 or (i.im = 1 and {cell} >= 1) or (i.im = 2 and {cell} <= {size - 2}))"""
+
+
+_SMOOTH = f"""
+sp as (select g.camera_id, g.frame_id, x.at as gx, y.at as gy, sum(g.weight * (x.w * y.w)) as weight
+       from g, lateral {_axis_sql("g.gx", 128)} x, lateral {_axis_sql("g.gy", 72)} y
+       where x.at between 0 and 127 and y.at between 0 and 71 group by 1, 2, 3, 4),
+sd as (select *, weight / max(weight) over (partition by camera_id, frame_id) as density from sp)"""
 
 
 @query("d31_density_grid_smoothed", views=_V, sql=f"""
-with {_VALID}, {_GRID},
-k(dx, dy, w) as (values {_kernel_values()}),
-sp as (select g.camera_id, g.frame_id, g.gx + k.dx as gx, g.gy + k.dy as gy, sum(g.weight * k.w) as weight
-       from g, k where g.gx + k.dx between 0 and 127 and g.gy + k.dy between 0 and 71 group by 1, 2, 3, 4)
-select camera_id, frame_id, gx::bigint as gx, gy::bigint as gy, R6(weight) as weight,
-  R6(weight / max(weight) over (partition by camera_id, frame_id)) as density from sp""")
+with {_VALID}, {_GRID}, {_SMOOTH}
+select camera_id, frame_id, gx::bigint as gx, gy::bigint as gy, R6(weight) as weight, R6(density) as density from sd""")
 def d31_density_grid_smoothed(spark, sf_dir):
     """5x5 Gaussian-smoothed grid: 25 weighted neighbour copies per
     non-empty cell, re-summed and normalised per frame."""
@@ -85,6 +91,29 @@ def d32_grid_stats(spark, sf_dir):
     return DT.grid_stats(DT.density_grid(_valid(spark, sf_dir)))
 
 
+@query("d32_grid_stats_smoothed", views=_V, sql=f"""
+with {_VALID}, {_GRID}, {_SMOOTH}
+select camera_id, frame_id, R6(max(density)) as max_density, R6(sum(density) / 9216) as mean_density,
+  R6(count_if(density > 0) / 9216) as nonzero_share
+from sd group by 1, 2""")
+def d32_grid_stats_smoothed(spark, sf_dir):
+    """The statistics of the smoothed grid, which is the one on display."""
+    return DT.grid_stats(DT.smoothed_grid(DT.density_grid(_valid(spark, sf_dir))))
+
+
+@query("d28_density_histogram", views=_V, sql=f"""
+with {_VALID}, {_GRID}, {_SMOOTH},
+b as (select camera_id, frame_id, least(floor(density * 30), 29)::bigint as bin from sd where density > 0),
+n as (select camera_id, frame_id, count(*) as n from b group by 1, 2),
+c as (select camera_id, frame_id, bin, count(*) as c from b group by 1, 2, 3)
+select n.camera_id, n.frame_id, r.bin::bigint as bin, R6(r.bin / 30.0::double) as bin_lo, R6((r.bin + 1) / 30.0::double) as bin_hi,
+  (coalesce(c.c, 0) + case when r.bin = 0 then 9216 - n.n else 0 end)::bigint as count
+from n cross join range(30) r(bin) left join c on c.camera_id = n.camera_id and c.frame_id = n.frame_id and c.bin = r.bin""")
+def d28_density_histogram(spark, sf_dir):
+    """30 bins over each frame's smoothed density, empty cells in the first."""
+    return DT.density_histogram(DT.smoothed_grid(DT.density_grid(_valid(spark, sf_dir))))
+
+
 @query("d35_in_out_counts", views=_V, sql=f"""
 with {_VALID},
 fy as (select camera_id, frame_id, arg_min(y2, det_id) as first_y2 from v group by 1, 2)

@@ -453,14 +453,10 @@ def f1_sorted_by_time(spark, sf_dir):
 
 @query("a2_data_preview", sql="""
 select reading_id, strftime(make_timestamp(timestamp * 1000000), '%Y-%m-%d %H:%M:%S') as datetime,
-  location, weather, vehicle_count::bigint as vehicle_count, R6(average_speed_kmph) as average_speed_kmph
+  location, weather, vehicle_count::bigint as vehicle_count, format('{:,.1f}', average_speed_kmph) as average_speed
 from readings order by timestamp, reading_id limit 10""")
 def a2_data_preview(spark, sf_dir):
-    r = R(spark, sf_dir)
-    top = r.orderBy("timestamp", "reading_id").limit(10)
-    return top.select("reading_id",
-                      F.date_format(F.timestamp_seconds("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("datetime"),
-                      "location", "weather", "vehicle_count", "average_speed_kmph")
+    return S.preview(R(spark, sf_dir))
 
 
 @query("f4_top_demand_locations", sql="""
