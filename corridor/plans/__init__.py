@@ -1,6 +1,6 @@
 """Registered queries (``queries()``) and their DuckDB oracles (``oracle_sql()``)."""
 
-from . import (anomaly, decisions, detections, forecast, models, readings, security, sensors,  # noqa: F401
+from . import (anomaly, decisions, detections, forecast, invariants, models, readings, security, sensors,  # noqa: F401
                timeseries)
 from ._registry import ORACLE, QUERIES
 
