@@ -44,6 +44,15 @@ HEADLINE = [
     "d34_congestion_hotspots",
     "b15_recommendations",
     "g12_isolation_forest_scores",
+    "d42_model_comparison",
+    "d43_model_evaluation",
+    "d44_proposed_vs_existing",
+    "h1_model_result_union",
+    "h3_latest_results",
+    "b29_proposed_rows",
+    "b25_payload_roundtrip",
+    "g3_random_forest_predictions",
+    "g10_forest_uncertainty",
 ]
 
 

@@ -32,7 +32,7 @@ def with_hour(readings: DataFrame, seconds: str = "timestamp") -> DataFrame:
 
 def hourly_baseline(readings: DataFrame, seconds: str = "timestamp") -> DataFrame:
     """Mean and sample std of speed and volume per hour of day."""
-    return (with_hour(readings, seconds)
+    return (with_hour(readings, seconds).where(F.col("hour").isNotNull())
             .groupBy("hour")
             .agg(F.avg("average_speed_kmph").alias("speed_mean"),
                  F.stddev_samp("average_speed_kmph").alias("speed_std"),

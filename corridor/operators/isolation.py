@@ -174,16 +174,11 @@ def detect(df: DataFrame, features: Sequence[str], id_col: str, contamination: f
            **kw) -> DataFrame:
     """Fit, score and flag the top ``contamination`` share as
     ``ml_pattern_anomaly``."""
-    from pyspark import StorageLevel
-    # The input is read three times (scaling stats, tree sample, scoring):
-    # keep it (memory, then disk) for the duration of the fit.
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    model = fit(df, features, id_col, **kw)
-    # Scores feed both the threshold and the output: keep them instead of
-    # walking the forest twice; a lost block is recomputed deterministically
-    # from the broadcast forest.
-    s = score(df, model).persist(StorageLevel.MEMORY_AND_DISK)
+    from ..session import stored
+    # The input is read twice for the fit and once for the scores, which feed
+    # both the threshold and the output: each is written once.
+    df = stored(df, "forest-input")
+    s = stored(score(df, fit(df, features, id_col, **kw)), "forest-scores")
     thr = exact_quantiles(s.select(id_col, "if_score"), [], "if_score", [1.0 - contamination], tie_break=id_col)
-    threshold = thr.select("quantile").first()[0]   # a single number; the scores are now cached
-    df.unpersist()
+    threshold = thr.select("quantile").first()[0]   # a single number
     return s.withColumn("is_ml_anomaly", F.col("if_score") > F.lit(threshold))

@@ -69,13 +69,18 @@ def daily_hour_trend(readings: DataFrame) -> DataFrame:
 
 def location_mean_speed(readings: DataFrame) -> DataFrame:
     """Mean speed per location, ranked ascending."""
-    a = readings.groupBy("location").agg(F.avg("average_speed_kmph").alias("mean_speed"))
+    a = _keyed(readings, "location").groupBy("location").agg(F.avg("average_speed_kmph").alias("mean_speed"))
     return _rank(a, ["mean_speed", "location"])
 
 
+def _keyed(readings: DataFrame, key: str) -> DataFrame:
+    """Rows without the key belong to no group."""
+    return readings.where(F.col(key).isNotNull())
+
+
 def _group_stats(readings: DataFrame, key: str) -> DataFrame:
     s, v = "average_speed_kmph", "vehicle_count"
-    return readings.groupBy(key).agg(
+    return _keyed(readings, key).groupBy(key).agg(
         F.avg(s).alias("speed_mean"), F.stddev_samp(s).alias("speed_std"),
         F.min(s).alias("speed_min"), F.max(s).alias("speed_max"),
         F.avg(v).alias("vehicle_mean"), F.stddev_samp(v).alias("vehicle_std"),
@@ -179,7 +184,7 @@ def hour_volume_vs_mean(readings: DataFrame) -> DataFrame:
 
 def weather_impact(readings: DataFrame) -> DataFrame:
     """Mean speed per weather ranked ascending."""
-    a = readings.groupBy("weather").agg(F.avg("average_speed_kmph").alias("mean_speed"))
+    a = _keyed(readings, "weather").groupBy("weather").agg(F.avg("average_speed_kmph").alias("mean_speed"))
     return a.withColumn("rank", F.row_number().over(Window.orderBy("mean_speed", "weather")))
 
 

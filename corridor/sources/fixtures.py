@@ -103,7 +103,8 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     uy = (F.col("user_id") * 5) % 640
     return b.select(
         F.col("event_id").alias("det_id"),
-        (F.col("user_id") % 2).alias("camera_id"),
+        # 64 users a camera: more users make more cameras, not fuller frames
+        F.expr("user_id div 64").alias("camera_id"),
         "frame_id",
         F.expr("case event_type when 'click' then 2 when 'view' then 7 when 'signup' then 5 "
                "when 'purchase' then 3 else case when k % 2 = 0 then 1 else 0 end end").alias("class_id"),
@@ -117,7 +118,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DETECTIONS_SQL = """
-select event_id as det_id, user_id % 2 as camera_id, frame_id,
+select event_id as det_id, user_id // 64 as camera_id, frame_id,
   case event_type when 'click' then 2 when 'view' then 7 when 'signup' then 5
     when 'purchase' then 3 else case when k % 2 = 0 then 1 else 0 end end as class_id,
   (k + 1)::double / 100 as confidence,

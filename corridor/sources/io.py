@@ -58,18 +58,27 @@ def export_results_csv(results: DataFrame, path: str) -> None:
     results.select(*flat).write.mode("overwrite").option("header", "true").csv(path)
 
 
-def append_history(df: DataFrame, path: str, partition_col: str = "run_date") -> None:
-    """A9 (batch): append a run's alerts / results, partitioned by date."""
+def append_history(df: DataFrame, path: str, partition_col: str = "run_date", run_id: str | None = None) -> None:
+    """A9 (batch): add a run's alerts / results, partitioned by date.  With a
+    ``run_id`` the run has a folder of its own below its dates, so replaying
+    it replaces its rows instead of adding them again."""
     if partition_col not in df.columns:
         df = df.withColumn(partition_col, F.current_date())
-    df.write.mode("append").partitionBy(partition_col).parquet(path)
+    w = df.repartition(partition_col)  # a file per date, not one per task and date
+    if run_id is None:
+        w.write.mode("append").partitionBy(partition_col).parquet(path)
+    else:
+        (w.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("run_id", partition_col).parquet(path))
 
 
-def write_readings_by_date(readings: DataFrame, path: str, seconds: str = "timestamp") -> None:
+def write_readings_by_date(readings: DataFrame, path: str, seconds: str = "timestamp", files_per_date: int = 8) -> None:
     """Write readings partitioned by UTC date, so date filters prune whole
-    directories (partition pruning) before any file is opened."""
-    (readings.withColumn("date", F.to_date(F.timestamp_seconds(seconds)))
-     .write.mode("overwrite").partitionBy("date").parquet(path))
+    directories (partition pruning) before any file is opened.  A date's rows
+    are spread over at most ``files_per_date`` tasks, each with one file."""
+    part = F.pmod(F.xxhash64(seconds), F.lit(files_per_date))
+    dated = readings.withColumn("date", F.to_date(F.timestamp_seconds(seconds)))
+    dated.repartition("date", part).write.mode("overwrite").partitionBy("date").parquet(path)
 
 
 def read_readings_by_date(spark: SparkSession, path: str, start: str | None = None,

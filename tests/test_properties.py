@@ -164,6 +164,10 @@ def test_column_types_and_history_append(spark):
     IO.append_history(part, d)
     IO.append_history(part, d)
     assert spark.read.parquet(d).count() == 10
+    d = tempfile.mkdtemp(prefix="corridor-hist-")
+    for run in ("a", "b", "b"):  # run b is replayed
+        IO.append_history(part, d, run_id=run)
+    assert spark.read.parquet(d).count() == 10
 
 
 def test_approx_quantiles_close_to_exact(spark, skewed):
