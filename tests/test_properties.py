@@ -228,10 +228,19 @@ def test_incidents_independent_of_chunk_size(spark, chunk):
     small = TS.incidents(r, chunk_rows=chunk).select(key)
     whole = TS.incidents(r, chunk_rows=100_000).select(key)
     assert small.exceptAll(whole).count() == 0 and whole.exceptAll(small).count() == 0
-    a = TS.trend_slopes(r, chunk_rows=chunk).orderBy("location").collect()
-    b = TS.trend_slopes(r, chunk_rows=100_000).orderBy("location").collect()
-    assert [(x.location, round(x.speed_slope, 9), x.n_points) for x in a] == \
-           [(x.location, round(x.speed_slope, 9), x.n_points) for x in b]
+
+
+@pytest.mark.parametrize("points", [3, 10, 100])
+def test_trend_slopes_match_least_squares(spark, points):
+    r = V.readings(spark, SF)
+    got = {x.location: (x.speed_slope, x.volume_slope, x.n_points) for x in TS.trend_slopes(r, points).collect()}
+    pdf = r.select("location", "timestamp", "reading_id", "average_speed_kmph", "vehicle_count").toPandas()
+    for loc, g in pdf.sort_values(["timestamp", "reading_id"]).groupby("location"):
+        g = g.tail(points)
+        x = np.arange(len(g))
+        assert got[loc][2] == len(g)
+        assert got[loc][0] == pytest.approx(np.polyfit(x, g.average_speed_kmph, 1)[0])
+        assert got[loc][1] == pytest.approx(np.polyfit(x, g.vehicle_count, 1)[0])
 
 
 def test_saved_baseline_scores_like_fresh(spark):
