@@ -72,7 +72,9 @@ def test_low_speed_runs(spark):
     ch = TS.speed_changes(readings(spark, rows), chunk_rows=4)
     got = sorted(r.reading_id for r in TS.persistent_congestion(ch).collect())
     assert got == [5]
-    assert TS.persistent_congestion(ch, last_only=True).count() == 0
+    assert TS.persistent_congestion_latest(readings(spark, rows)).count() == 0
+    assert [r.reading_id for r in TS.persistent_congestion_latest(readings(spark, rows[:6])).collect()] == [5]
+    assert TS.persistent_congestion_latest(readings(spark, rows[:2])).count() == 0
 
 
 def test_peak_hours_islands(spark):
