@@ -47,6 +47,7 @@ CELLS, CLASS, TAILS = 256, 16, 128
 ROWS, ROWS2 = 1 << 14, 1 << 12  # rows of the class and the cell table
 N_FEATURES = 3
 BLOCK = 8 << 20
+FAN = 256  # groups in which the weights of the tasks are first added up
 CHUNK = 1 << 19  # bytes of text whose arrays stay in the processor's cache
 
 
@@ -260,20 +261,26 @@ class LanguageModel:
                         model.learn(x[a:a + batch], cell[a:a + batch], power, rate)
                     n += len(h)
                 if n:
-                    parts = [s.astype(np.float64).ravel() * n for w in (model.w1, model.w2) for s in np.array_split(w, slices // 2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices, dtype=np.int32)), pa.array([float(n)] * slices),
-                                                      pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], ["slice", "n", "w"])
+                    parts = [p.astype(np.float64).ravel() * n for w in (model.w1, model.w2) for p in np.array_split(w, slices // 2)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.arange(slices, dtype=np.int32)), pa.array([TaskContext.get().partitionId() % FAN] * slices, pa.int32()),
+                         pa.array([float(n)] * slices), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())],
+                        ["slice", "part", "n", "w"])
 
-            def mean(g: pa.Table) -> pa.Table:
+            def add(g: pa.Table) -> pa.Table:
                 total = np.zeros(len(g["w"][0].as_py()) // 4)
                 for w in g["w"]:
                     total += np.frombuffer(w.as_py(), np.float32)
-                return pa.table({"slice": g["slice"][:1], "w": pa.array([(total / np.sum(g["n"].to_numpy())).astype(np.float32).tobytes()], pa.binary())})
+                return pa.table({"slice": g["slice"][:1], "part": g["part"][:1], "n": pa.array([float(np.sum(g["n"].to_numpy()))]),
+                                 "w": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
             share = self.docs.where(F.col("trains") & (F.pmod(F.xxhash64("k", F.lit(self.seed)), F.lit(self.rounds)) == r)).select("text")
-            got = (share.mapInArrow(steps, "slice int, n double, w binary").groupBy("slice").applyInArrow(mean, "slice int, w binary").collect())
+            kind = "slice int, part int, n double, w binary"
+            # added up in two steps, so that no group grows with the number of tasks alone
+            got = (share.mapInArrow(steps, kind).groupBy("slice", "part").applyInArrow(add, kind)
+                   .groupBy("slice").applyInArrow(add, kind).collect())
             if got:  # slices of tables of fixed size
-                flat = [np.frombuffer(x["w"], np.float32) for x in sorted(got, key=lambda x: x["slice"])]
+                flat = [np.frombuffer(x["w"], np.float32) / np.float32(x["n"]) for x in sorted(got, key=lambda x: x["slice"])]
                 new = Model(model.heads, self.cell_n)
                 new.w1 = np.concatenate(flat[:slices // 2]).reshape(model.w1.shape)
                 new.w2 = np.concatenate(flat[slices // 2:]).reshape(model.w2.shape)
