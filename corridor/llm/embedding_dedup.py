@@ -148,3 +148,19 @@ def links(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", labe
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+# compares every pair of a label, so it is for small tables
+SQL = """
+with recursive v as (
+  select row_number() over () r, vec_id, label, embedding::double[] x,
+    coalesce(label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0
+      and len(list_filter(embedding, lambda e: e <> 0)) > 0, false) sound from embeddings),
+links as (
+  select a.r a, b.r b from v a join v b on a.label = b.label and len(a.x) = len(b.x) and a.r <> b.r
+  where a.sound and b.sound and list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x)) / sqrt(list_dot_product(b.x, b.x)) >= 0.93),
+reach(r, t) as (select r, r from v union select reach.r, links.b from reach join links on reach.t = links.a),
+comp as (select reach.r, min(v.vec_id) component_id from reach join v on v.r = reach.t group by 1)
+select v.vec_id, (select count(*) from links where links.a = v.r) n_links, component_id, v.vec_id = component_id kept
+from v join comp using (r)
+"""

@@ -22,5 +22,6 @@ QUERIES = {
 
 # Only what SQL can express; the others are tested against brute force.
 ORACLE = {
+    "op7_embedding_dedup": embedding_dedup.SQL,
     "op5_quality_rules": quality_rules.SQL,
 }
