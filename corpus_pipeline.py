@@ -19,13 +19,22 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_LEFT = 0.2
 
 
-def _documents(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("text", F.coalesce(F.col(text), F.lit(""))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+def _documents(df: DataFrame) -> DataFrame:
+    return df.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def _only(df: DataFrame, keep, text: str = "clean_text") -> DataFrame:
+    """Rows where ``keep`` holds, with ``text`` as their text.  The two travel
+    as one exploded struct, so that what they are computed from is computed
+    once; a plain filter would repeat it below the projection."""
+    rest = [c for c in COLUMNS if c != "text"]
+    one = F.filter(F.array(F.struct(keep.alias("keep"), F.col(text).alias("text"))), lambda x: x["keep"])
+    return _documents(df.select(*rest, F.explode(one).alias("one")).select(*rest, F.col("one.text").alias("text")))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without their failing lines."""
-    return _documents(quality_rules.quality_rules(docs).where("kept"), "clean_text")
+    return _only(quality_rules.quality_rules(docs), F.col("kept"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +42,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     which next to nothing is left go."""
     d = line_dedup.line_dedup(docs)
     left = F.length(F.regexp_replace("clean_text", r"\s+", "")) >= F.length(F.regexp_replace("text", r"\s+", "")) * LEAST_LEFT
-    return _documents(d.where((F.col("n_deleted") == 0) | left), "clean_text")
+    return _only(d, (F.col("n_deleted") == 0) | F.coalesce(left, F.lit(True)))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
