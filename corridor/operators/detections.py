@@ -261,6 +261,9 @@ def congestion_hotspots(valid: DataFrame) -> DataFrame:
     image can hold."""
     from ..session import cpu_partitions
     v = valid.select("camera_id", "frame_id", "det_id", "cx", "cy")
-    # k-means is CPU work: spread frames over all cores explicitly
+    # k-means is CPU work: spread frames over all cores explicitly; frames too
+    # small for hotspots go before Python sees them, on the same partitioning
     v = v.repartition(cpu_partitions(valid.sparkSession), *FRAME_KEYS)
+    n = F.count(F.lit(1)).over(Window.partitionBy(*FRAME_KEYS))
+    v = v.withColumn("_n", n).where(F.col("_n") > HOTSPOT_MIN_DETECTIONS).drop("_n")
     return v.groupBy(*FRAME_KEYS).applyInPandas(_frame_hotspots, HOTSPOT_SCHEMA)

@@ -174,10 +174,11 @@ def detect(df: DataFrame, features: Sequence[str], id_col: str, contamination: f
            **kw) -> DataFrame:
     """Fit, score and flag the top ``contamination`` share as
     ``ml_pattern_anomaly``."""
-    from ..session import stored
+    from ..session import cpu_partitions, stored
     # The input is read twice for the fit and once for the scores, which feed
-    # both the threshold and the output: each is written once.
-    df = stored(df, "forest-input")
+    # both the threshold and the output: each is written once.  Scoring is CPU
+    # work, so rows are dealt over the cores whatever files they come in.
+    df = stored(df.repartition(cpu_partitions(df.sparkSession), id_col), "forest-input")
     s = stored(score(df, fit(df, features, id_col, **kw)), "forest-scores")
     thr = exact_quantiles(s.select(id_col, "if_score"), [], "if_score", [1.0 - contamination], tie_break=id_col)
     threshold = thr.select("quantile").first()[0]   # a single number
