@@ -1,29 +1,26 @@
-"""Operator 2: repeated runs of lines by winnowing, in DataFrame functions only.
+"""Operator 2: repeated runs of lines, in DataFrame functions only.
 
 A line here ends at a newline or, inside a physical line, after a sentence
 (one of ``.!?`` and a space), so that a passage pasted into the middle of a
 paragraph still consists of whole lines.  Lines are compared by the hash of
-their text without trailing white space.
-
-Two neighbouring lines of ``min_pair`` characters or more make a gram; from
-every ``window`` successive grams the one with the smallest hash is a
-fingerprint, so any run of ``window + 1`` lines that two places share has a
-fingerprint in common.  A line of ``min_chars`` characters is one by itself.
-Fingerprints are joined with their first place in the corpus (by doc_id, then
-position); each match names a document, an earlier place and the shift
-between them, and on that shift equal lines are extended both ways to whole
-runs.  Runs of ``min_chars`` characters or more are deleted from the later
-place; the first place of a passage always stays.
-
-Scale: only fingerprints (about half of the lines) are shuffled by hash, and
-first places are found by a pre-aggregated minimum, so a line that is in
-every document costs one row a document, never a pair of documents.  Matches
-collapse to one row per (document, source, shift) before any array is
-fetched.
+their text without trailing white space; blank ones are left out.
+
+From every line on, the shortest run of lines that holds ``min_chars``
+characters is a gram, and so is the shortest one up to every line.  Two places
+share a run of ``min_chars`` characters or more if and only if they share
+grams, and these grams cover it; so a gram that an earlier place has (by
+doc_id, then position) is deleted, whichever place that is.  The first place
+of a passage always stays.
+
+Scale: a gram is one row of fixed size, shuffled by hash to be counted and to
+be met again; only repeated ones go further.  First places are found by a
+pre-aggregated minimum, so a line that is in every document costs one row a
+document, never a pair of documents.
 
 Defined results: a null text stays null and has no lines; rows that repeat
 both doc_id and text are one document; exact copies under other doc_ids lose
-their text; an empty table gives an empty result; further columns pass
+their text where it has ``min_chars`` characters; blank lines go where they
+stand inside a run; an empty table gives an empty result; further columns pass
 through, except that the operator's own column names are replaced.
 """
 
@@ -48,58 +45,69 @@ def bare(line: Column) -> Column:
     return F.rtrim(line, F.lit(" \n\t\r"))
 
 
-def fingerprints(h: Column, n: Column, window: int, min_pair: int, min_chars: int) -> Column:
-    """Array of (h, p): the winnowed grams and the long lines."""
-    last = F.size(h) - 1
+def grams(units: Column, min_chars: int) -> Column:
+    """Array of (f, b, e): from each unit (h, n, p) on, and up to each, the
+    fewest units of ``min_chars`` characters; from place b to place e."""
+
+    def taken(some: Column, seed: int) -> Column:
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("c"), F.lit(seed).cast("long").alias("f"))
+        return F.aggregate(some, start, lambda r, x: F.when(r["n"] >= min_chars, r).otherwise(
+            F.struct((r["n"] + x["n"]).alias("n"), (r["c"] + 1).alias("c"), F.xxhash64(r["f"], x["h"]).alias("f"))))
+
+    def shortest(some, seed: int) -> Column:
+        """``some(m)``: the next m units.  No unit is empty, so min_chars of them will do."""
+
+        def of(m: int, *more: int) -> Column:
+            few = taken(some(m), seed)
+            return let(few, lambda r: F.when((r["n"] >= min_chars) | (F.size(some(m)) < m), r).otherwise(of(*more))) if more else few
 
-    def gram(i: Column) -> Column:
-        return F.when(n[i] + n[i + 1] >= min_pair, F.struct(F.xxhash64(h[i], h[i + 1]).alias("h"), i.alias("p")))
+        return of(4, 24, min_chars)
 
-    grams = F.when(last >= 1, F.transform(F.sequence(F.lit(0), last - 1), gram))
-    least = let(grams, lambda g: F.transform(F.sequence(F.lit(0), F.greatest(F.size(g) - window, F.lit(0))),
-                                             lambda j: F.least(*[F.get(g, j + i) for i in range(window)], F.get(g, j))))
-    long = F.filter(F.transform(h, lambda x, i: F.when(n[i] >= min_chars, F.struct(F.xxhash64(x, F.lit(1)).alias("h"), i.alias("p")))),
-                    lambda x: x.isNotNull())
-    return F.array_distinct(F.concat(F.coalesce(F.filter(least, lambda x: x.isNotNull()), F.array().cast("array<struct<h:bigint,p:int>>")), long))
+    def gram(f: Column, b: Column, e: Column) -> Column:
+        return F.struct(f.alias("f"), units[b]["p"].alias("b"), units[e]["p"].alias("e"))
 
+    def onward(i: Column) -> Column:
+        return let(shortest(lambda m: F.slice(units, i + 1, m), 0), lambda r: F.when(r["n"] >= min_chars, gram(r["f"], i, i + r["c"] - 1)))
 
-def runs(mine: Column, n: Column, other: Column, shift: Column, min_chars: int) -> Column:
-    """Array of (b, e): runs of lines, from b to e, that equal the other's at ``shift``."""
-    low, high = F.greatest(shift, F.lit(0)), F.least(F.size(mine), F.size(other) + shift) - 1
-    equal = F.when(high >= low, F.filter(F.sequence(low, high), lambda p: mine[p] == other[p - shift]))
+    def back(i: Column) -> Column:
+        # without its last unit it is too short, or else the first unit's gram ends sooner
+        return let(shortest(lambda m: F.reverse(F.slice(units, F.greatest(i - m + 2, F.lit(1)), F.least(i + 1, F.lit(m)))), 1),
+                   lambda r: F.when(r["n"] - units[i]["n"] >= min_chars, gram(r["f"], i - r["c"] + 1, i)))
+
+    each = F.transform(units, lambda x, i: F.array(onward(i), back(i)))
+    return F.filter(F.flatten(each), lambda g: g.isNotNull())
+
+
+def merged(runs: Column) -> Column:
+    """Sorted runs (b, e) without overlaps that hold the same places."""
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["b"], r["e"])))))
 
     def ends(e: Column) -> Column:
         begin = F.filter(e, lambda p, i: F.coalesce(F.get(e, i - 1) != p - 1, F.lit(True)))
         end = F.filter(e, lambda p, i: F.coalesce(F.get(e, i + 1) != p + 1, F.lit(True)))
         return F.arrays_zip(begin.alias("b"), end.alias("e"))
 
-    def size(r: Column) -> Column:
-        return F.aggregate(F.slice(n, r["b"] + 1, r["e"] - r["b"] + 1), F.lit(0), lambda a, x: a + x)
+    return let(places, ends)
+
 
-    return F.filter(let(equal, ends), lambda r: size(r) >= min_chars)
+def later(marks: DataFrame, name: str) -> DataFrame:
+    """(k, runs): of grams (id, k, f, b, e), those that an earlier place has."""
+    twice = stored(marks.groupBy("f").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("f"), f"{name}-twice")
+    again = stored(marks.join(twice, "f", "left_semi"), f"{name}-again")
+    first = stored(again.groupBy("f").agg(F.min(F.struct("id", "k", "b")).alias("at")).select("f", F.col("at.k").alias("fk"), F.col("at.b").alias("fb")), f"{name}-first")
+    gone = again.join(first, "f").where((F.col("k") != F.col("fk")) | (F.col("b") != F.col("fb")))
+    return gone.groupBy("k").agg(merged(F.collect_list(F.struct("b", "e"))).alias("runs"))
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 3, min_pair: int = 40,
-               min_chars: int = 120) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 120) -> DataFrame:
     """``df`` with n_lines, n_deleted, deleted_chars and clean_text."""
     df = df.drop(*[c for c in OWN if c not in (id_col, text)])
     key = F.xxhash64(F.col(id_col), F.col(text))
     d = df.where(F.col(text).isNotNull()).select(key.alias("k"), F.col(id_col).alias("id"), lines(F.col(text)).alias("l"))
-    hashed = F.transform(F.col("l"), lambda x: let(bare(x), lambda y: F.struct(F.xxhash64(y).alias("h"), F.length(y).alias("n"))))
-    d = d.select("k", "id", let(hashed, lambda a: F.struct(F.transform(a, lambda x: x["h"]).alias("h"), F.transform(a, lambda x: x["n"]).alias("n"))).alias("a"))
-    d = d.select("k", "id", "a.h", "a.n", let(F.col("a"), lambda a: fingerprints(a["h"], a["n"], window, min_pair, min_chars)).alias("f"))
-    hashes = stored(d.dropDuplicates(["k"]), "op2-lines")
-
-    marks = hashes.select("k", "id", F.explode("f").alias("f")).select("k", "id", F.col("f.h").alias("f"), F.col("f.p").alias("p"))
-    place = F.struct("id", "k", "p")
-    first = (marks.groupBy("f").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("times"))
-             .where("times > 1").select("f", F.col("at.k").alias("sk"), F.col("at.p").alias("sp")))
-    shifts = (marks.select("k", "f", "p").join(first, "f").where((F.col("k") != F.col("sk")) | (F.col("p") != F.col("sp")))
-              .select("k", "sk", (F.col("p") - F.col("sp")).alias("shift")).distinct())
-    found = (shifts.join(hashes.select("k", "h", "n"), "k")
-             .join(hashes.select(F.col("k").alias("sk"), F.col("h").alias("sh")), "sk")
-             .select("k", runs(F.col("h"), F.col("n"), F.col("sh"), F.col("shift"), min_chars).alias("r")).where(F.size("r") > 0))
-    gone = found.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("r"))).alias("_dedup_runs"))
+    unit = F.transform(F.col("l"), lambda x, i: let(bare(x), lambda y: F.struct(F.xxhash64(y).alias("h"), F.length(y).alias("n"), i.alias("p"))))
+    d = d.select("k", "id", let(F.filter(unit, lambda x: x["n"] > 0), lambda u: grams(u, min_chars)).alias("g"))
+    marks = stored(d.dropDuplicates(["k"]), "op2-lines").select("id", "k", F.explode("g").alias("g")).select("id", "k", "g.f", "g.b", "g.e")
+    gone = later(marks, "op2").withColumnRenamed("runs", "_dedup_runs")
 
     marked = df.withColumn("_dedup_k", F.when(F.col(text).isNotNull(), key)).join(gone.withColumnRenamed("k", "_dedup_k"), "_dedup_k", "left")
 

@@ -149,6 +149,25 @@ def test_line_dedup(spark):
     assert got[20]["clean_text"] == "" and got[0]["clean_text"] == rows[0][1] and got[3]["clean_text"] == rows[3][1]
 
 
+@pytest.mark.parametrize("case", ["verse", "two lines", "next place", "tail"])
+def test_line_dedup_meets_every_run(spark, case):
+    """Equals brute force where lines are short, runs have two lines, and the first place has a short run."""
+    rng = random.Random(8)
+    line = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n - 1)) + "."
+    own = lambda: [line(rng.randint(30, 60)) for _ in range(3)]
+    a, b, c, d = (line(n) for n in (75, 70, 65, 60))
+    shared = {"verse": [[line(15) for _ in range(12)]] * 3, "two lines": [[a, b]] * 3 + [[b, c, d]] * 2,
+              "next place": [[a], [b], [c], [d], [a, b, c, d], [a, b, c, d], [b, c]],
+              "tail": [[line(150), a[:9] + ".", b[:9] + "."]] * 2 + [[c, d[:50]], [c, d[:50], "x."], [c, d[:50], "x."]]}[case]
+    rows = [(i, "\n".join(own() + s + own())) for i, s in enumerate(shared)]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    _, gone = brute_line_dedup(rows, 3, 40, 120)
+    assert any(gone.values())
+    for i, t in rows:
+        assert got[i]["clean_text"] == "".join(x for p, x in enumerate(re.split(line_dedup.CUT, t)) if p not in gone[i])
+        assert got[i]["n_deleted"] == len(gone[i])
+
+
 # --- operator 3 -----------------------------------------------------------
 
 @settings(max_examples=100, deadline=None)
