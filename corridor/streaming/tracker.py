@@ -7,10 +7,11 @@ the stream runs.  Matching is greedy on the total order (distance, track id,
 detection id) inside the 50-px gate; unmatched detections open new tracks
 with increasing ids starting at 0.
 
-A camera's newest frame waits in state until a later frame (or a timer) closes
-it, so a frame split over Arrow chunks or micro-batches is tracked as a whole.
-Detections of a frame that is already closed come too late and are dropped.
-A camera that sends nothing for ``IDLE_MS`` of event time is flushed and forgotten.
+Frames wait in state until the watermark has passed their event time and are
+then closed in frame order, so a frame split over Arrow chunks or micro-batches
+is tracked as a whole, and frames within the watermark's delay may arrive in
+any order.  Detections of a frame that is already closed come too late and are
+dropped.  A camera that sends nothing for ``IDLE_MS`` of event time is forgotten.
 """
 
 from __future__ import annotations
@@ -42,7 +43,9 @@ STATE_SCHEMA = T.StructType([
     T.StructField("closed", T.LongType()),
     T.StructField("open", T.ArrayType(T.StructType([
         T.StructField("frame_id", T.LongType()), T.StructField("det_id", T.LongType()),
-        T.StructField("cx", T.DoubleType()), T.StructField("cy", T.DoubleType())]))),
+        T.StructField("cx", T.DoubleType()), T.StructField("cy", T.DoubleType()),
+        T.StructField("ms", T.LongType())]))),
+    T.StructField("last_ms", T.LongType()),
 ])
 
 
@@ -81,35 +84,40 @@ def step(tracks: dict, next_id: int, frame_id: int, dets: list):
 
 def _track(key, pdfs, state: GroupState):
     camera = key[0]
-    tracks, next_id, closed, held = {}, 0, -1, []
+    tracks, next_id, closed, held, last = {}, 0, -1, [], 0
     if state.exists:
-        nid, saved, closed, waiting = state.get
-        next_id, closed = int(nid), int(closed)
+        nid, saved, closed, waiting, last = state.get
+        next_id, closed, last = int(nid), int(closed), int(last)
         for t in saved or []:
             tracks[int(t[0])] = [float(t[1]), float(t[2]), int(t[3]), [list(p) for p in t[4]]]
-        held = [(int(w[0]), int(w[1]), float(w[2]), float(w[3])) for w in waiting or []]
-    now = state.getCurrentWatermarkMs()
+        held = list(waiting or [])
     for p in pdfs:
-        if len(p):
-            now = max(now, int(p["event_ts"].max().timestamp() * 1000))
-        held += zip(p["frame_id"].astype(int), p["det_id"].astype(int), p["cx"].astype(float), p["cy"].astype(float))
-    frames = {}
-    for fid, det_id, cx, cy in sorted(set(held)):
+        ms = p["event_ts"].astype("datetime64[ms]").astype("int64")
+        held += zip(p["frame_id"].astype(int), p["det_id"].astype(int), p["cx"].astype(float), p["cy"].astype(float), ms)
+    frames, time = {}, {}
+    for fid, det_id, cx, cy, ms in held:
         if fid > closed:
-            frames.setdefault(int(fid), []).append((int(det_id), float(cx), float(cy)))
-    newest = max(frames, default=closed)
+            frames.setdefault(int(fid), set()).add((int(det_id), float(cx), float(cy)))
+            time[int(fid)] = max(time.get(int(fid), int(ms)), int(ms))
+    last = max([last, *time.values()])
+    passed = state.getCurrentWatermarkMs()
+    # a timer set for a frame finds it passed; the one for an idle camera finds none
+    idle = state.hasTimedOut and not any(t < passed for t in time.values())
     out = []
     for fid in sorted(frames):
-        if fid < newest or state.hasTimedOut:
-            rows, next_id = step(tracks, next_id, fid, frames[fid])
-            out += [(int(camera), *r) for r in rows]
-            closed = fid
-    if state.hasTimedOut:
+        if time[fid] >= passed and not idle:
+            break
+        rows, next_id = step(tracks, next_id, fid, sorted(frames.pop(fid)))
+        out += [(int(camera), *r) for r in rows]
+        closed = fid
+    if idle:
         state.remove()
     else:
-        open_ = [(newest, *d) for d in frames.get(newest, [])]
-        state.update((next_id, [(tid, v[0], v[1], v[2], v[3]) for tid, v in tracks.items()], closed, open_))
-        state.setTimeoutTimestamp(now + IDLE_MS)
+        open_ = [(fid, *d, time[fid]) for fid in sorted(frames) for d in sorted(frames[fid])]
+        state.update((next_id, [(tid, v[0], v[1], v[2], v[3]) for tid, v in tracks.items()], closed, open_, last))
+        # held back by an earlier frame, a passed one waits for that frame's time
+        wake = time[min(frames)] if frames else last + IDLE_MS
+        state.setTimeoutTimestamp(max(wake, passed) + 1)
     yield pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
 
 

@@ -321,3 +321,52 @@ def test_tracker_split_frames():
     whole = run([dets])
     assert len(whole) == len(dets)
     assert run([dets[:4], dets[4:5], dets[5:11], dets[11:]]) == whole
+
+
+def test_tracker_waits_for_the_watermark():
+    """Frames that arrive in any order within the delay give the same tracks."""
+    import pandas as pd
+    from corridor.streaming import tracker as TR
+
+    class State:
+        exists, value, hasTimedOut, watermark, timer = False, None, False, 0, None
+        get = property(lambda self: self.value)
+
+        def update(self, v):
+            self.exists, self.value = True, v
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutTimestamp(self, ms):
+            assert ms > self.watermark
+            self.timer = ms
+
+        def getCurrentWatermarkMs(self):
+            return self.watermark
+
+    def run(batches):
+        s, out, newest = State(), [], 0
+
+        def call(b, timed_out):
+            s.hasTimedOut = timed_out
+            pdf = pd.DataFrame(b, columns=["frame_id", "det_id", "cx", "cy"])
+            pdf["event_ts"] = pd.to_datetime(pdf["frame_id"] * 10 + 10 ** 9, unit="s")
+            out.extend(tuple(r) for f in TR._track((1,), iter([] if timed_out else [pdf]), s) for r in f.itertuples(index=False))
+
+        for b in batches:
+            call(b, False)
+            newest = max([newest, *(r[0] * 10 + 10 ** 9 for r in b)])
+            s.watermark = (newest - 60) * 1000
+        early = len(out)
+        for s.watermark in (s.watermark + 100_000, s.watermark + 10 * TR.IDLE_MS):
+            if s.exists and s.timer < s.watermark:
+                call([], True)
+        assert not s.exists and early < len(out)
+        return out
+
+    frames = [[(f, 10 * f + k, 100.0 * k + 5 * f, 50.0) for k in range(3)] for f in range(14)]
+    whole = run(frames)
+    assert len(whole) == 42 and [r[1] for r in whole] == sorted(r[1] for r in whole)
+    assert run([*frames[:10], frames[11] + frames[12], frames[10], frames[13]]) == whole
+    assert run([sum(frames[5:9], []), frames[4][:1], frames[4][1:] + frames[3], *frames[:3], *frames[9:]]) == whole
