@@ -15,9 +15,6 @@ from corridor.llm._store import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: A document of which line dedup leaves less than this share is a later copy.
-LEAST_LEFT = 0.2
-
 
 def _documents(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -39,10 +36,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the runs of lines that an earlier one has; those of
-    which next to nothing is left go."""
+    which no word is left go, near copies are left to the next stage."""
     d = line_dedup.line_dedup(docs)
-    left = F.length(F.regexp_replace("clean_text", r"\s+", "")) >= F.length(F.regexp_replace("text", r"\s+", "")) * LEAST_LEFT
-    return _only(d, (F.col("n_deleted") == 0) | F.coalesce(left, F.lit(True)))
+    return _only(d, (F.col("n_deleted") == 0) | F.coalesce(F.col("clean_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -443,6 +443,16 @@ def test_pack(spark, texts, sf_small):
 
 # --- pipeline -------------------------------------------------------------
 
+def test_pipeline_keeps_what_line_dedup_leaves(spark, sf_small):
+    """A document that is mostly quotation keeps its own words; one without any goes."""
+    rng = random.Random(9)
+    quoted, own = prose(rng, 900, None) + ".\n", prose(rng, 100, None) + ".\n"
+    rows = [(1, quoted), (2, own + quoted), (3, quoted), (4, quoted + "One word.")]
+    docs = corpus_pipeline._documents(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'a' source"))
+    left = {r["doc_id"]: r["text"].strip() for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, sf_small).collect()}
+    assert left == {1: quoted.strip(), 2: own.strip(), 4: "One word."}
+
+
 def test_pipeline(spark, docs, texts, sf_small):
     """Each stage on its own input, and run() as a whole."""
     stages = dict(corpus_pipeline.STAGES)
