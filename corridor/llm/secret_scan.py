@@ -7,7 +7,7 @@ prefixes), its neighbouring words (a key word before it, assignment and quote
 marks around it) and its file (assignments per line, size); transitions join
 the tags of neighbours.  The field is fitted by gradient steps on windows
 around tokens that the fixed patterns mark and others that look alike, from a
-sample of at most ``fit_docs`` documents and ``fit_windows`` windows chosen by
+sample of about ``fit_docs`` distinct texts and ``fit_windows`` distinct windows chosen by
 hash; every text is then scanned whole.
 
 Decoding is exact Viterbi.  Where tag O's emission beats the others by more
@@ -233,9 +233,10 @@ def _tagged(data: np.ndarray, offs: np.ndarray):
 
 
 def fit(df: DataFrame, text: str = "text", fit_docs: int = 20000, fit_windows: int = 8000, seed: int = 3) -> Field | None:
-    """A field fitted on a bounded sample: documents by the hash of their text,
-    then the windows with the smallest hashes."""
-    n = df.count()
+    """A field fitted on a bounded sample: about ``fit_docs`` distinct texts by
+    their hash, then ``fit_windows`` distinct windows by theirs, half of them
+    with secrets.  A window weighs as often as it occurs in the sample."""
+    n = df.agg(F.approx_count_distinct(F.xxhash64(F.col(text)))).first()[0]
     if not n:
         return None
     share = F.pmod(F.xxhash64(F.col(text), F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, fit_docs / n) * (1 << 30))
@@ -254,6 +255,9 @@ def fit(df: DataFrame, text: str = "text", fit_docs: int = 20000, fit_windows: i
                         tags[inside[:1]] = 1
                 like = (tags > 0) | ((x[:, 0] >= 2) & (x[:, 1] > 0)) | (x[:, 6] > 0) | (x[:, 7] > 0) | (x[:, 8] > 0)
                 h = B.mix(B.hashes(d, start, end) + np.uint64(seed))
+                place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+                doc = np.repeat(B.hashes(d, o[:-1], o[1:]), np.diff(first))
+                h = B.mix(h ^ B.mix(doc + place.astype(np.uint64)))
                 pick = np.flatnonzero(like | (h % np.uint64(200) == 0))
                 at = pick[:, None] + np.arange(-REACH, REACH + 1)
                 text_of = np.searchsorted(first, pick, side="right")
@@ -261,16 +265,19 @@ def fit(df: DataFrame, text: str = "text", fit_docs: int = 20000, fit_windows: i
                 pick, at = pick[ok], at[ok]
                 rows = np.concatenate([x[at], tags[at][..., None]], axis=2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((h[pick] >> np.uint64(1)).astype(np.int64)), pa.array((tags[pick] > 0).astype(np.int32)),
-                     pa.array([r.tobytes() for r in rows], pa.binary())], ["h", "y", "v"])
+                    [pa.array((tags[pick] > 0).astype(np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], ["y", "v"])
 
-    windows = df.where(share).select(text).mapInArrow(run, "h long, y int, v binary")
-    got = [r for y in (0, 1) for r in windows.where(F.col("y") == y).orderBy("h", "v").limit(fit_windows // 2).collect()]
+    windows = (df.where(share).select(text).distinct().mapInArrow(run, "y int, v binary")
+               .groupBy("y", "v").agg(F.count(F.lit(1)).alias("n")))
+    got = [r for y in (0, 1) for r in windows.where(F.col("y") == y).orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(fit_windows // 2).collect()]
     if not any(r["y"] for r in got):
         return None
     w = np.stack([np.frombuffer(r["v"], np.int8).reshape(2 * REACH + 1, -1) for r in got])
     field = Field()
-    field.fit(w[..., :-1], w[..., -1].astype(np.int64), np.ones(len(w)))
+    y, times = np.array([r["y"] for r in got]), np.array([r["n"] for r in got], float)
+    for c in (0, 1):  # a class weighs as much as it has windows
+        times[y == c] *= (y == c).sum() / max(times[y == c].sum(), 1.0)
+    field.fit(w[..., :-1], w[..., -1].astype(np.int64), times)
     return field
 
 

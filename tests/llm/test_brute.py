@@ -412,6 +412,23 @@ def test_field_finds_what_patterns_do_not(spark):
     assert all("crf" not in k for i, k in got.items() if i != 999)
 
 
+def test_field_learns_from_distinct_windows(spark, monkeypatch):
+    """Copies of one text do not fill the quota of windows."""
+    rng = random.Random(4)
+    secrets = [f"{rng.randrange(16 ** 40):040x}" for _ in range(40)]
+    data, offs = B.flat(pa.array([f'"{s}"' for s in secrets]))
+    hot = int(np.argmin(B.mix(B.hashes(data, offs[:-1], offs[1:]) + np.uint64(3))))
+    texts = [prose(rng, 20, 300) + f' token = "{s}" ' + prose(rng, 20, 300) for s in secrets]
+    df = spark.createDataFrame(list(enumerate(texts + [texts[hot]] * 200)), "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(secret_scan.Field, "fit", lambda self, x, tags, weight: seen.append((x, tags, weight)))
+    assert secret_scan.fit(df, fit_windows=40) is not None
+    (x, tags, weight), = seen
+    with_secret = x[tags[:, secret_scan.REACH] > 0]
+    assert len(with_secret) == len(np.unique(with_secret, axis=0)) >= 15
+    assert abs(weight.sum() - len(x)) < 1e-6 and (weight > 0).all()
+
+
 # --- operator 10 ----------------------------------------------------------
 
 @settings(max_examples=60, deadline=None)
