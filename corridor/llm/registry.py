@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import embedding_dedup, license_scan, line_dedup, maxent_lm, minhash, mixing, packing, quality_classifier, quality_rules, secret_scan
+from . import conversation_repair, decontamination, embedding_dedup, license_scan, line_dedup, maxent_lm, minhash, mixing, packing, quality_classifier, quality_rules, secret_scan, spelling
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_secret_scan": secret_scan.query,
     "op10_packing": packing.query,
+    "op11_spelling": spelling.query,
+    "op12_conversation_repair": conversation_repair.query,
+    "op13_decontamination": decontamination.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +27,6 @@ QUERIES = {
 ORACLE = {
     "op7_embedding_dedup": embedding_dedup.SQL,
     "op5_quality_rules": quality_rules.SQL,
+    "op11_spelling": spelling.SQL,
+    "op13_decontamination": decontamination.SQL,
 }
