@@ -4,20 +4,23 @@ Each source's documents, in an order drawn by hash, make one stream of words,
 cut into blocks of ``block`` words.  A source's target is its weight's share
 of ``share`` of all words, at most ``most`` times its size, the excess being
 shared out again by weight.  The target fixes how many slots a source has in
-the mix; a pseudorandom permutation of all slots deals them to output shards,
-so the counts of sources in a shard are multinomial draws without
-replacement, and over all shards they meet the targets.  A second permutation
-per source and pass over it maps its slots to block indices, and slots are
-joined with documents by (source, block).  The last slot of a source is cut
-to its target.
+the mix.  Each output shard draws the source of each of its slots with the
+sources' shares as probabilities, so its counts are multinomial; running sums
+over the shards number a source's slots.  From the shard on that would give a
+source more than its slots, the last shards even out what the targets lack:
+the slots that are left are dealt to them in random order.  A pseudorandom
+permutation per source and pass over it maps its slots to block indices, and
+slots are joined with documents by (source, block).  The last slot of a source
+is cut to its target.
 
 Permutations are swap-or-not shuffles: a bijection of 0..n-1 for any n,
 computed per row, so no table is sorted at random and reruns agree.
 
 Scale: prefix sums are taken in two levels (documents in chunks of about
-``chunk``, then chunks in a source), so the largest source is never in one
-task; sources and chunks are small tables; slots are generated in parallel
-and joined on (source, block), which is even however large a source is.
+``chunk``, then chunks in a source; shards and sources likewise), so neither
+the largest source nor the table of sources is ever in one task; shards are
+generated in parallel, and slots are joined on (source, block), which is even
+however large a source is.
 
 Defined results: a null or empty text has size 0 and takes nothing; the null
 source is one source, last in order; repeated rows are documents of their
@@ -30,6 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import with_group_rank
 from ._native import let, words
 from ._store import stored, table
 
@@ -63,24 +67,36 @@ def sized(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
 
 
 def targets(docs: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
-    """(_s, n_docs, source_size, target) for (_s, size).  The sources are put in
-    order and their capped shares found by a running sum over the sources
-    sorted by size per weight: those below the water level are capped."""
+    """(_s, _i, n_docs, source_size, target) for (_s, size); _i numbers the
+    sources in order.  Sources are capped until the water level, the words per
+    weight that the others share, lifts none above its cap."""
     s = docs.groupBy("_s").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
-    everyone = Window.partitionBy()  # the table of sources
-    s = s.withColumn("_i", F.row_number().over(Window.orderBy("_s")) - 1)
+    s = with_group_rank(s, [], ["_s"], "_i")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_i") % len(weights) + 1).cast("int"))
-    s = s.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(float(most)))
-    s = s.withColumn("_all", F.sum("source_size").over(everyone) * F.lit(float(share)))
-    by = Window.orderBy(F.col("_cap") / F.col("_w"), "_i")
-    s = s.withColumn("_before_cap", F.coalesce(F.sum("_cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    s = s.withColumn("_weight_left", F.sum("_w").over(by.rowsBetween(0, Window.unboundedFollowing)))
-    # a source is capped if, with all smaller ones capped, its share would exceed its cap
-    s = s.withColumn("_level", (F.col("_all") - F.col("_before_cap")) / F.col("_weight_left"))
-    s = s.withColumn("_capped", F.col("_level") * F.col("_w") >= F.col("_cap"))
-    s = s.withColumn("_rank", F.row_number().over(by))
-    s = s.withColumn("_final", F.min(F.when(~F.col("_capped"), F.struct("_rank", "_level"))).over(everyone)["_level"])
-    return s.select("_s", "n_docs", "source_size", F.when(F.col("_capped"), F.col("_cap")).otherwise(F.col("_final") * F.col("_w")).alias("target"))
+    s = stored(s.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * F.lit(float(most))), "op8-weights")
+    level, capped = 0.0, F.lit(False)
+    everything = float(s.agg(F.sum("source_size")).first()[0] or 0) * share
+    while True:
+        free = s.where(~capped).agg(F.sum("_w")).first()[0]
+        if not free:
+            break
+        held = s.where(capped).agg(F.sum("_cap")).first()[0] or 0.0
+        level, before = (everything - held) / free, level
+        if level == before:
+            break
+        capped = F.lit(level) * F.col("_w") >= F.col("_cap")
+    return s.select("_s", "_i", "n_docs", "source_size", F.when(capped, F.col("_cap")).otherwise(F.lit(level) * F.col("_w")).alias("target"))
+
+
+def running(df: DataFrame, by: list[str], place: str, value: str, out: str, step: int = 1024) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before, by ``place``,
+    within ``by``: inside steps of ``step`` places, then over the steps."""
+    df = df.withColumn("_step", F.floor(F.col(place) / step))
+    steps = df.groupBy(*by, "_step").agg(F.sum(value).alias("_sum"))
+    upto = Window.unboundedPreceding, -1
+    steps = steps.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_step").rowsBetween(*upto)), F.lit(0))).drop("_sum")
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy(*by, "_step").orderBy(place).rowsBetween(*upto)), F.lit(0))
+    return df.withColumn("_in", inside).join(steps, [*by, "_step"]).withColumn(out, F.col("_base") + F.col("_in")).drop("_step", "_base", "_in")
 
 
 def streams(docs: DataFrame, sources: DataFrame, chunk: int) -> DataFrame:
@@ -93,9 +109,9 @@ def streams(docs: DataFrame, sources: DataFrame, chunk: int) -> DataFrame:
     return d.withColumn("_o", inside).join(begin, ["_s", "_c"]).select("_id", "_k", "_s", "size", (F.col("_b") + F.col("_o")).alias("offset"))
 
 
-def slots(sources: DataFrame, block: int, shard_slots: int, seed: int, step: int = 4096) -> DataFrame:
-    """(shard, slot, _s, block, length): the mix, slot by slot; ``length`` words
-    are taken from the block's beginning."""
+def _wanted(sources: DataFrame, block: int, seed: int) -> DataFrame:
+    """``sources`` that the mix takes from, with their blocks and slots: whole
+    passes over a source, then as many blocks as hold the rest."""
     n_blocks = F.ceil(F.col("source_size") / block).cast("long")
     last = F.col("source_size") - (F.col("_blocks") - 1) * block  # words of the last block
     s = (sources.where("source_size > 0 and target >= 0.5").withColumn("_blocks", n_blocks).withColumn("_last", last)
@@ -110,15 +126,53 @@ def slots(sources: DataFrame, block: int, shard_slots: int, seed: int, step: int
     s = s.withColumn("_more", F.when(F.col("_rest") == 0, F.lit(0)).otherwise(F.col("_more")))
     s = s.withColumn("_slots", F.col("_pass") * F.col("_blocks") + F.col("_more"))
     # words of the last pass before its last slot
-    s = s.withColumn("_got", (F.col("_more") - 1) * block - F.when(F.col("_more") - 1 > F.col("_at"), short).otherwise(F.lit(0)))
-    s = s.withColumn("_first", F.coalesce(F.sum("_slots").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    s = s.withColumn("_total", F.sum("_slots").over(Window.partitionBy()))
-    run = s.withColumn("_k0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slots") - 1, F.lit(step).cast("long"))))
-    parts = s.sparkSession.sparkContext.defaultParallelism * 4
-    k = run.repartition(parts, "_s", "_k0").withColumn("k", F.explode(F.sequence("_k0", F.least(F.col("_k0") + step, F.col("_slots")) - 1)))
+    return s.withColumn("_got", (F.col("_more") - 1) * block - F.when(F.col("_more") - 1 > F.col("_at"), short).otherwise(F.lit(0)))
+
+
+def draws(sources: DataFrame, total: int, shard_slots: int, seed: int, cells: int = 4096) -> DataFrame:
+    """(shard, _s, n): the multinomial counts of each whole shard.  A slot
+    draws a number below ``total``; the source whose range of as many numbers
+    as it has slots holds it is found through cells of equal width, so no
+    slot looks at all sources."""
+    width = max(1, -(-total // cells))
+    ranges = running(sources.select(F.lit(0).alias("_all"), "_s", "_i", "_slots"), ["_all"], "_i", "_slots", "_from")
+    spread = ranges.where("_slots > 0").select("_s", "_from", (F.col("_from") + F.col("_slots")).alias("_to"))
+    spread = stored(spread.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor((F.col("_to") - 1) / width)))), "op8-cells")
+    spark = sources.sparkSession
+    parts = max(1, min(total // shard_slots, spark.sparkContext.defaultParallelism * 4))
+    slot = spark.range(0, total // shard_slots, 1, parts).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(shard_slots - 1))).alias("j"))
+    drawn = slot.select("shard", F.pmod(F.xxhash64(F.lit("draw"), F.lit(seed), "shard", "j"), F.lit(total)).alias("u")).withColumn("_cell", F.floor(F.col("u") / width))
+    return drawn.join(spread, "_cell").where("u >= _from and u < _to").groupBy("shard", "_s").agg(F.count(F.lit(1)).alias("n"))
+
+
+def slots(sources: DataFrame, block: int, shard_slots: int, seed: int, step: int = 4096) -> DataFrame:
+    """(shard, slot, _s, block, length): the mix, slot by slot; ``length`` words
+    are taken from the block's beginning."""
+    s = stored(_wanted(sources, block, seed), "op8-wanted")
+    total = s.agg(F.sum("_slots")).first()[0] or 0
+    counts = stored(running(draws(s, total, shard_slots, seed), ["_s"], "shard", "n", "_k"), "op8-draws")
+    over = counts.join(s.select("_s", "_slots"), "_s").where("_k + n > _slots").agg(F.min("shard")).first()[0]
+    whole = total // shard_slots if over is None else over  # shards from here on even out
+    own = counts.where(F.col("shard") < whole)
+    first = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = own.select("_s", "_k", F.col("n").alias("_n"), "shard", first.alias("_slot"))
+    # what the targets lack, in steps
+    given = own.groupBy("_s").agg(F.sum("_n").alias("_given"))
+    lack = s.join(given, "_s", "left").select("_s", "_i", F.coalesce("_given", F.lit(0)).alias("_given"), "_slots", F.lit(0).alias("_all"))
+    lack = running(lack.withColumn("_lack", F.col("_slots") - F.col("_given")), ["_all"], "_i", "_lack", "_before").where("_lack > 0")
+    for size in (step * step, step):
+        start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lack") - 1, F.lit(size).cast("long")))
+        lack = lack.withColumn("_o", start).select("_s", (F.col("_given") + F.col("_o")).alias("_given"), (F.col("_before") + F.col("_o")).alias("_before"),
+                                                   F.least(F.lit(size).cast("long"), F.col("_lack") - F.col("_o")).alias("_lack"))
+    rest = total - whole * shard_slots
+    lack = lack.select("_s", F.col("_given").alias("_k"), F.col("_lack").alias("_n"), F.lit(None).cast("long").alias("shard"), F.col("_before").alias("_slot"))
+    runs = own.unionByName(lack).join(s, "_s")
+    k = runs.repartition(s.sparkSession.sparkContext.defaultParallelism * 4, "_s", "_k").withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    k = k.withColumn("k", F.col("_k") + F.col("_j")).withColumn("_slot", F.col("_slot") + F.col("_j"))
+    dealt = F.lit(whole * shard_slots) + permuted(F.col("_slot"), F.lit(max(1, rest)), F.lit("rest"), F.lit(seed))
+    g = F.when(F.col("shard").isNull(), dealt).otherwise(F.col("shard") * shard_slots + F.col("_slot"))
     pass_ = F.floor(F.col("k") / F.col("_blocks"))
-    k = k.withColumn("block", permuted(F.col("k") % F.col("_blocks"), F.col("_blocks"), F.col("_s"), pass_, F.lit(seed)))
-    k = k.withColumn("_g", permuted(F.col("_first") + F.col("k"), F.col("_total"), F.lit("shards"), F.lit(seed)))
+    k = k.withColumn("_g", g).withColumn("block", permuted(F.col("k") % F.col("_blocks"), F.col("_blocks"), F.col("_s"), pass_, F.lit(seed)))
     full = F.when(F.col("block") == F.col("_blocks") - 1, F.col("_last")).otherwise(F.lit(block))
     length = F.when((F.col("k") == F.col("_slots") - 1) & (F.col("_more") > 0), F.least(full, F.col("_rest") - F.col("_got"))).otherwise(full)
     return k.select(F.floor(F.col("_g") / shard_slots).alias("shard"), (F.col("_g") % shard_slots).alias("slot"), "_s", "block", length.cast("long").alias("length"))
@@ -138,17 +192,19 @@ class Mix:
         self.streams = streams(docs, self.sources, chunk)
 
     def uses(self) -> DataFrame:
-        """(_s, block, times, cut): how often a block is taken whole, and the
-        words that a cut slot takes of it besides."""
+        """(_s, block, times, cut, shard): how often a block is taken whole,
+        the words that a cut slot takes of it besides, and the first shard
+        that has it."""
         whole = F.when(F.col("block") == F.ceil(F.col("source_size") / self.block) - 1,
                        F.col("source_size") - F.col("block") * self.block).otherwise(F.lit(self.block))
         s = self.slots.join(self.sources.select("_s", "source_size"), "_s").withColumn("_full", F.col("length") == whole)
         return s.groupBy("_s", "block").agg(F.sum(F.col("_full").cast("long")).alias("times"),
-                                            F.max(F.when(~F.col("_full"), F.col("length"))).alias("cut"))
+                                            F.max(F.when(~F.col("_full"), F.col("length"))).alias("cut"), F.min("shard").alias("shard"))
 
     def parts(self) -> DataFrame:
-        """(_id, _k, _s, size, offset, begin, end, times): stretches of documents
-        (word positions inside the document) and how often the mix has them."""
+        """(_id, _k, _s, size, offset, begin, end, times, shard): stretches of
+        documents (word positions inside the document), how often the mix has
+        them and in which shard first."""
         d = self.streams.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / self.block), F.floor((F.col("offset") + F.col("size") - 1) / self.block))))
         d = d.join(self.uses(), ["_s", "block"])
         begin = F.greatest(F.lit(0).cast("long"), F.col("block") * self.block - F.col("offset"))
@@ -156,18 +212,18 @@ class Mix:
         middle = F.least(end, F.greatest(begin, F.col("block") * self.block + F.coalesce("cut", F.lit(0)) - F.col("offset")))
         d = d.withColumn("_p", F.array(F.struct(begin.alias("begin"), middle.alias("end"), (F.col("times") + 1).alias("times")),
                                        F.struct(middle.alias("begin"), end.alias("end"), F.col("times").alias("times"))))
-        return (d.select("_id", "_k", "_s", "size", "offset", F.explode("_p").alias("p")).select("_id", "_k", "_s", "size", "offset", "p.*")
+        return (d.select("_id", "_k", "_s", "size", "offset", "shard", F.explode("_p").alias("p")).select("_id", "_k", "_s", "size", "offset", "shard", "p.*")
                 .where("begin < end and times > 0"))
 
     def taken(self) -> DataFrame:
-        """(id, source, size, source_size, target, taken) for each document."""
+        """(id, size, source_size, target, taken, first_shard) for each document;
+        first_shard is null where the mix takes nothing of it."""
         key = ["_id", "_k", "_s", "size", "offset"]
-        got = self.parts().groupBy(*key).agg(F.sum((F.col("end") - F.col("begin")) * F.col("times")).alias("taken"))
+        got = self.parts().groupBy(*key).agg(F.sum((F.col("end") - F.col("begin")) * F.col("times")).alias("taken"), F.min("shard").alias("first_shard"))
         same = [F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}")) for c in key]
-        d = self.streams.alias("d").join(got.alias("g"), same, "left").select("d.*", "g.taken")
+        d = self.streams.alias("d").join(got.alias("g"), same, "left").select("d.*", "g.taken", "g.first_shard")
         return d.join(self.sources, "_s").select(F.col("_id").alias(self.id_col), "size", "source_size", "target",
-                                                 F.coalesce("taken", F.lit(0)).alias("taken"))
-
+                                                 F.coalesce("taken", F.lit(0)).alias("taken"), "first_shard")
 
     def documents(self, df: DataFrame, text: str = "text") -> DataFrame:
         """The mix as documents: rows of ``df`` with the words that the mix has
