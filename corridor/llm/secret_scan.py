@@ -2,13 +2,21 @@
 
 A text's tokens (runs of ``[A-Za-z0-9+/_.=-]`` and non-ASCII bytes) get the
 tags outside, begin or inside.  A token's emission is a sum of table entries
-for its shape (length, digits, capitals, changes of character class, known
-prefixes), its neighbouring words (a key word before it, assignment and quote
-marks around it) and its file (assignments per line, size); transitions join
-the tags of neighbours.  The field is fitted by gradient steps on windows
-around tokens that the fixed patterns mark and others that look alike, from a
-sample of about ``fit_docs`` distinct texts and ``fit_windows`` distinct windows chosen by
-hash; every text is then scanned whole.
+for its shape (length, digits, capitals, changes of character class, entropy,
+known prefixes), its neighbouring words (a key word shortly before it,
+assignment and quote marks around it) and its file (assignments per line,
+size); transitions join the tags of neighbours.  The field is fitted by
+gradient steps on windows around tokens that the fixed patterns mark and
+others that look alike, from a sample of about ``fit_docs`` distinct texts and
+``fit_windows`` distinct windows chosen by hash; every text is then scanned
+whole.  Windows reach over a text's borders, with outside tags there, so short
+texts teach as well.
+
+A field that sees the patterns' evidence learns the patterns.  So each window
+with a secret is learned again with evidence hidden in turn: the key word, the
+hexadecimal shape, the prefix, the marks around it, its length and letters.
+What is left, a long random string among words, is what secrets share that no
+pattern covers.
 
 Decoding is exact Viterbi.  Where tag O's emission beats the others by more
 than any transitions could return, O is certain, so only the stretches
@@ -18,8 +26,9 @@ The patterns' own spans always stay; the field adds spans that none of them
 covers.  Everything is local to a row: no shuffle but the bounded sample.
 
 Defined results: a null or empty text has no spans; repeated rows get the
-same spans; an empty table gives an empty result (and no fit); extra columns
-are ignored.
+same spans; where no text has a span of the patterns there is nothing to learn
+from, and the field adds none; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,8 +54,16 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey",
 PREFIXES = (b"AKIA", b"ghp_", b"sk-", b"xox", b"eyJ", b"AIza")
 
 #: The number of values of each feature, in the order of ``features``.
-SIZES = (8, 5, 4, 5, 2, 2, 2, 2, 2, 2, 2, 2, 3, 3)
+SIZES = (8, 5, 4, 5, 2, 2, 2, 2, 2, 2, 2, 2, 3, 3, 6, 2)
 REACH = 3  # tokens on either side of a window's middle
+HEXES, KEY, PREFIX, KEY_BEFORE, ASSIGNED, QUOTE, KEY_NEAR = 4, 6, 7, 8, 9, 10, 15
+LENGTH, DIGITS, UPPER, CHANGES, ENTROPY = 0, 1, 2, 3, 14
+_AROUND = {KEY: 0, KEY_BEFORE: 0, KEY_NEAR: 0, ASSIGNED: 0, QUOTE: 0}
+#: Evidence that is hidden in turn: the features and what they read instead.
+#: The last ones are random strings of other lengths and letters.
+HIDDEN = ({KEY: 0, KEY_BEFORE: 0, KEY_NEAR: 0}, {HEXES: 0}, {PREFIX: 0}, {ASSIGNED: 0, QUOTE: 0}, _AROUND | {HEXES: 0, PREFIX: 0}) + tuple(
+    {HEXES: 0, PREFIX: 0, LENGTH: n, DIGITS: d, UPPER: 2, CHANGES: 4, ENTROPY: 5 if n > 4 else 4} | around
+    for n in (4, 5, 6, 7) for d in (1, 2, 3) for around in ({}, _AROUND))
 
 
 def _classes() -> np.ndarray:
@@ -57,6 +74,21 @@ def _classes() -> np.ndarray:
     return c
 
 
+def _entropy(data: np.ndarray, start: np.ndarray, length: np.ndarray, least: int = 12) -> np.ndarray:
+    """A class for the entropy of a token's bytes; 0 for tokens under ``least`` bytes."""
+    out = np.zeros(len(start), np.int8)
+    long = np.flatnonzero(length >= least)
+    if len(long):
+        n = length[long]
+        who = np.repeat(np.arange(len(long)), n)
+        byte = data[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[long], n)]
+        pair, times = np.unique(who * 256 + byte, return_counts=True)
+        share = times / n[pair >> 8]
+        bits = np.bincount(pair >> 8, -share * np.log2(share), len(long))
+        out[long] = 1 + np.searchsorted((2.8, 3.25, 3.6, 4.0), bits, side="right")
+    return out
+
+
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, first token of each text, and a row of feature values per token."""
     kind = _classes()[data]
@@ -125,7 +157,9 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         quote,
         after(length, -1) >= 16,
         np.searchsorted((0.002, 0.02), codelike, side="right")[text_of],
-        np.searchsorted((500, 5000), np.diff(offs), side="right")[text_of]], axis=1).astype(np.int8)
+        np.searchsorted((500, 5000), np.diff(offs), side="right")[text_of],
+        _entropy(data, start, length),
+        after(key, 1) | after(key, 2) | after(key, 3) | after(key, 4)], axis=1).astype(np.int8)
     return start, end, first, out
 
 
@@ -150,32 +184,52 @@ class Field:
             out += self.emit[at:at + SIZES[f]][x[:, f]]
         return out
 
-    def fit(self, x: np.ndarray, tags: np.ndarray, weight: np.ndarray, steps: int = 100, rate: float = 0.1,
+    def fit(self, x: np.ndarray, tags: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.1,
             decay: float = 1e-3) -> None:
-        """Adam on the mean log-likelihood of windows (windows, tokens, features)."""
+        """Adam on the mean log-likelihood of windows (windows, tokens,
+        features), with evidence hidden in turn.  Places beyond a text's
+        borders have features -1; their tag is outside and teaches nothing."""
+        secret = (tags > 0).any(axis=1)
+        copies = [(x, tags, np.where(secret, weight, weight * (1 + len(HIDDEN))))]
+        for hide in HIDDEN:
+            y = x[secret].copy()
+            for f, value in hide.items():
+                at = (y[..., f] >= 0) & ((tags[secret] > 0) | (f in _AROUND))
+                y[..., f][at] = value
+            copies.append((y, tags[secret], weight[secret]))
+        x, tags, weight = (np.concatenate(c) for c in zip(*copies))
+        # hiding makes many windows equal: each is one, with their weight together
+        rows = np.ascontiguousarray(np.concatenate([x, tags[..., None]], axis=2).astype(np.int8)).reshape(len(x), -1)
+        _, one, of = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        x, tags, weight = x[one], tags[one], np.bincount(of.ravel(), weight, len(one))
         n, t, k = x.shape
-        at = x.astype(np.int64) + self.base
+        there = x[..., 0] >= 0
+        at = np.where(there[..., None], x.astype(np.int64), 0) + self.base
+        hard = np.where(there[..., None], 0.0, np.array([0.0, -1e9, -1e9]))
         seen_e, seen_m = np.zeros_like(self.emit), np.zeros_like(self.move)
-        one = np.eye(3)[tags] * weight[:, None, None]
-        np.add.at(seen_e, at.reshape(-1), np.repeat(one.reshape(-1, 3), k, axis=0))
+        live = weight[:, None] * there
+        one = np.eye(3)[tags]
+        np.add.at(seen_e, at.reshape(-1), np.repeat((one * live[..., None]).reshape(-1, 3), k, axis=0))
+        both = [weight * there[:, i] * there[:, i + 1] for i in range(t - 1)]
         for i in range(t - 1):
-            seen_m += one[:, i].T @ np.eye(3)[tags[:, i + 1]]
+            seen_m += (one[:, i] * both[i][:, None]).T @ one[:, i + 1]
         moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.emit, self.move)]
         for step in range(1, steps + 1):
-            e = self.emit[at].sum(axis=2)
+            e = self.emit[at].sum(axis=2) * there[..., None] + hard
+            move = [np.where((there[:, i] & there[:, i + 1])[:, None, None], self.move, 0.0) for i in range(t - 1)]
             fwd, bwd = np.empty((n, t, 3)), np.zeros((n, t, 3))
             fwd[:, 0] = e[:, 0]
             for i in range(1, t):
-                fwd[:, i] = e[:, i] + np.logaddexp.reduce(fwd[:, i - 1, :, None] + self.move, axis=1)
+                fwd[:, i] = e[:, i] + np.logaddexp.reduce(fwd[:, i - 1, :, None] + move[i - 1], axis=1)
             for i in range(t - 2, -1, -1):
-                bwd[:, i] = np.logaddexp.reduce(self.move + (e[:, i + 1] + bwd[:, i + 1])[:, None, :], axis=2)
+                bwd[:, i] = np.logaddexp.reduce(move[i] + (e[:, i + 1] + bwd[:, i + 1])[:, None, :], axis=2)
             z = np.logaddexp.reduce(fwd[:, -1], axis=1)
-            mean = np.exp(fwd + bwd - z[:, None, None]) * weight[:, None, None]
+            mean = np.exp(fwd + bwd - z[:, None, None]) * live[..., None]
             got_e = np.stack([np.bincount(at.reshape(-1), np.repeat(mean[..., c].reshape(-1), k), len(self.emit)) for c in range(3)], axis=1)
             got_m = np.zeros((3, 3))
             for i in range(t - 1):
-                pair = fwd[:, i, :, None] + self.move + (e[:, i + 1] + bwd[:, i + 1])[:, None, :] - z[:, None, None]
-                got_m += (np.exp(pair) * weight[:, None, None]).sum(axis=0)
+                pair = fwd[:, i, :, None] + move[i] + (e[:, i + 1] + bwd[:, i + 1])[:, None, :] - z[:, None, None]
+                got_m += (np.exp(pair) * both[i][:, None, None]).sum(axis=0)
             for p, g, m in ((self.emit, seen_e - got_e, moments[0]), (self.move, seen_m - got_m, moments[1])):
                 g = g / weight.sum() - decay * p
                 m[0] = 0.9 * m[0] + 0.1 * g
@@ -260,10 +314,10 @@ def fit(df: DataFrame, text: str = "text", fit_docs: int = 20000, fit_windows: i
                 h = B.mix(h ^ B.mix(doc + place.astype(np.uint64)))
                 pick = np.flatnonzero(like | (h % np.uint64(200) == 0))
                 at = pick[:, None] + np.arange(-REACH, REACH + 1)
-                text_of = np.searchsorted(first, pick, side="right")
-                ok = (at[:, 0] >= first[text_of - 1]) & (at[:, -1] < first[text_of])
-                pick, at = pick[ok], at[ok]
-                rows = np.concatenate([x[at], tags[at][..., None]], axis=2)
+                text_of = np.searchsorted(first, pick, side="right")[:, None]
+                ok = (at >= first[text_of - 1]) & (at < first[text_of])
+                at = np.where(ok, at, 0)
+                rows = np.concatenate([np.where(ok[..., None], x[at], -1), np.where(ok, tags[at], 0)[..., None]], axis=2).astype(np.int8)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((tags[pick] > 0).astype(np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], ["y", "v"])
 
