@@ -2,7 +2,7 @@
 
 Documents are tokenised inside tasks, one pass over the texts; only piece
 lengths and checksums leave them.  Pieces are dealt to groups of about
-``group_pieces`` by a hash, and each group is packed on its own: bins are
+``group_pieces`` by a hash of their number, and each group is packed on its own: bins are
 filled greedily with the longest piece that fits; then the bin's smallest
 piece is given back if two unpacked pieces fit the widened gap more tightly.
 A group of n pieces of any lengths costs about n steps, and at most a few of
@@ -12,13 +12,15 @@ sequences; more documents make more groups, not larger ones.
 Only documents longer than ``capacity`` are cut, into whole sequences, the
 remainder first.
 
-Defined results: a null or empty text is its end token alone; repeated rows
-are packed each on its own; an empty table gives an empty result; extra
+Defined results: a null or empty text is its end token alone; white space of
+any length gives the ids of the tokenizer's own file; repeated rows are packed
+each on its own and spread over the groups; an empty table gives an empty result; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -53,6 +55,23 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+# The characters that the pattern above takes as white space.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
+
+def encoded(enc, text: str) -> Iterator[np.ndarray]:
+    """The text's ids, in parts.  Long white space is too much for the
+    pattern's look-ahead, so it is cut by hand as the pattern would: all of it
+    at the text's end, else all but its last character, which goes on with the
+    word behind it."""
+    at = 0
+    for m in BLANKS.finditer(text):
+        yield enc.encode_to_numpy(text[at:m.start()], allowed_special="all")
+        at = m.end() if m.end() == len(text) else m.end() - 1
+        yield np.array(enc._encode_single_piece(text[m.start():at]), np.uint32)
+    yield enc.encode_to_numpy(text[at:], allowed_special="all")
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -67,7 +86,7 @@ def tokenised(df: DataFrame, capacity: int, vocabulary: str, end_id: int, id_col
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for k, t in enumerate(batch.column(1)):
-                ids = enc.encode_to_numpy(t.as_py() or "", allowed_special="all").astype("<u4").tobytes() + end
+                ids = np.concatenate(list(encoded(enc, t.as_py() or ""))).astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 at, i = 0, 0
                 while at < n:
@@ -149,10 +168,11 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 def pack(df: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0,
          id_col: str = "doc_id", text: str = "text", group_pieces: int = 16384) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = stored(tokenised(df, capacity, vocabulary or default_vocabulary(), end_id, id_col, text), "op10-pieces")
+    pieces = tokenised(df, capacity, vocabulary or default_vocabulary(), end_id, id_col, text)
+    pieces = stored(pieces.withColumn("_r", F.monotonically_increasing_id()), "op10-pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    # a repeated row falls into its twin's group; a long text's pieces are dealt out one by one
-    group = F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups)).cast("int")
+    # by number, so that repeated rows and a long text's pieces are dealt out one by one
+    group = F.pmod(F.xxhash64("_r"), F.lit(groups)).cast("int")
 
     def run(g: pa.Table) -> pa.Table:
         g = g.take(pa.array(np.argsort(g["length"].to_numpy(), kind="stable")))
@@ -169,7 +189,7 @@ def pack(df: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end
         return g.drop_columns(["_g"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
 
     kind = df.schema[id_col].dataType.simpleString()
-    return pieces.withColumn("_g", group).groupBy("_g").applyInArrow(
+    return pieces.withColumn("_g", group).drop("_r").groupBy("_g").applyInArrow(
         run, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
