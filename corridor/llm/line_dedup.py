@@ -10,7 +10,12 @@ characters is a gram, and so is the shortest one up to every line.  Two places
 share a run of ``min_chars`` characters or more if and only if they share
 grams, and these grams cover it; so a gram that an earlier place has (by
 doc_id, then position) is deleted, whichever place that is.  The first place
-of a passage always stays.
+of a passage always stays: inside its own text, places that overlap it are not
+repeats of it.
+
+Every gram is a fingerprint.  Window minima alone, joined with the first place
+of each, miss runs whose first place is part of a shorter one, and short lines
+and runs of a few lines have no minimum of their own (see the README).
 
 Scale: a gram is one row of fixed size, shuffled by hash to be counted and to
 be met again; only repeated ones go further.  First places are found by a
@@ -94,8 +99,8 @@ def later(marks: DataFrame, name: str) -> DataFrame:
     """(k, runs): of grams (id, k, f, b, e), those that an earlier place has."""
     twice = stored(marks.groupBy("f").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("f"), f"{name}-twice")
     again = stored(marks.join(twice, "f", "left_semi"), f"{name}-again")
-    first = stored(again.groupBy("f").agg(F.min(F.struct("id", "k", "b")).alias("at")).select("f", F.col("at.k").alias("fk"), F.col("at.b").alias("fb")), f"{name}-first")
-    gone = again.join(first, "f").where((F.col("k") != F.col("fk")) | (F.col("b") != F.col("fb")))
+    first = stored(again.groupBy("f").agg(F.min(F.struct("id", "k", "b", "e")).alias("at")).select("f", F.col("at.k").alias("fk"), F.col("at.e").alias("fe")), f"{name}-first")
+    gone = again.join(first, "f").where((F.col("k") != F.col("fk")) | (F.col("b") > F.col("fe")))
     return gone.groupBy("k").agg(merged(F.collect_list(F.struct("b", "e"))).alias("runs"))
 
 
