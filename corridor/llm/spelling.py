@@ -19,7 +19,8 @@ What keeps the frontier small:
   letter, and where one of several equal letters goes the last of them does,
   so each pair comes up once;
 * an edge carries a bit for each number of letters that words have left
-  there, and only states with such a number take it.
+  there, and bits for the letters that follow it; only states with such a
+  number and next letter take it.
 
 Letters are few, so a node has a bounded number of edges; no list of a node's
 words is made.  Tries end at ``longest`` letters, which bounds the levels.
@@ -81,13 +82,15 @@ def _sided(words: DataFrame) -> DataFrame:
 
 
 def _edges(sided: DataFrame) -> DataFrame:
-    """(side, depth, node, letter, left, n): ``left`` has bit r set if a word
-    has r letters from the node on; n counts the word that ends with the edge.
-    The edge without a letter ends a word at the node itself."""
+    """(side, depth, node, letter, left, next, n): ``left`` has bit r set if a
+    word has r letters from the node on, ``next`` that of each letter behind
+    the edge; n counts the word that ends with the edge.  The edge without a
+    letter ends a word at the node itself."""
     at = sided.select("side", "w", "n", "m", F.explode(F.sequence("half", "m")).alias("depth"))
     rest = F.col("m") - F.col("depth")
     return (at.groupBy("side", "depth", F.col("w").substr(F.lit(1), F.col("depth")).alias("node"), _letter(F.col("w"), F.col("depth")).alias("letter"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, m - depth)")).alias("left"), F.max(F.when(rest <= 1, F.col("n"))).alias("n")))
+            .agg(F.bit_or(F.expr("shiftleft(1L, m - depth)")).alias("left"),
+                 F.bit_or(F.expr("shiftleft(1L, ascii(substr(w, depth + 2, 1)) % 63)")).alias("next"), F.max(F.when(rest <= 1, F.col("n"))).alias("n")))
 
 
 def _level(states: DataFrame, edges: DataFrame, d: int) -> DataFrame:
@@ -98,20 +101,21 @@ def _level(states: DataFrame, edges: DataFrame, d: int) -> DataFrame:
     m = F.length("a")
     own, then = _letter(w, d), _letter(w, d + 1)
 
-    def has(rest: Column) -> Column:
-        return F.when((rest >= 0) & (rest < 63), F.getbit(left, F.greatest(rest, F.lit(0)))).otherwise(0) == 1
+    def has(rest: Column, behind: Column) -> Column:
+        fits = F.when((rest >= 0) & (rest < 63), F.getbit(left, F.greatest(rest, F.lit(0)))).otherwise(0) == 1
+        return fits & (F.getbit(F.col("next"), F.ascii(behind) % 63) == 1)
 
-    replaced = b.isNull() & (letter > own) & has(m - d)
+    replaced = b.isNull() & (letter > own) & has(m - d, then)
     # the run of equal letters that ends here must not reach into the half of the other side
     crossing = (F.col("side") == 1) & (w.substr(F.col("half"), F.lit(d + 2) - F.col("half")) == F.repeat(own, F.lit(d + 2) - F.col("half")))
-    deleted = b.isNull() & (letter == then) & (then != own) & ~crossing & has(m - d - 1)
-    follows = b.isNotNull() & (letter == _letter(b, d)) & has(F.length("b") - d)
+    deleted = b.isNull() & (letter == then) & (then != own) & ~crossing & has(m - d - 1, _letter(w, d + 2))
+    follows = b.isNotNull() & (letter == _letter(b, d)) & has(F.length("b") - d, _letter(b, d + 1))
     head = w.substr(F.lit(1), F.lit(d))
     made = F.filter(F.array(F.struct(replaced.alias("ok"), F.concat(head, letter, w.substr(F.lit(d + 2), m)).alias("b")),
                             F.struct(deleted.alias("ok"), F.concat(head, w.substr(F.lit(d + 2), m)).alias("b")),
                             F.struct(follows.alias("ok"), b.alias("b"))), lambda x: F.coalesce(x["ok"], F.lit(False)))
     met = (states.withColumn("node", F.coalesce("b", "a").substr(F.lit(1), F.lit(d)))
-           .join(edges.select(F.col("side").alias("_side"), F.col("node").alias("_node"), "letter", "left", F.col("n").alias("_n")),
+           .join(edges.select(F.col("side").alias("_side"), F.col("node").alias("_node"), "letter", "left", "next", F.col("n").alias("_n")),
                  (F.col("side") == F.col("_side")) & (F.col("node") == F.col("_node")) & (replaced | deleted | follows)))
     out = met.select("side", "a", "n", "_n", F.explode(F.transform(made, lambda x: x["b"])).alias("b"))
     return out.select("side", "a", "n", "b", F.when(F.length("b") <= d + 1, F.col("_n")).alias("n_b"))
