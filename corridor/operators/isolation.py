@@ -22,7 +22,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,16 +170,45 @@ def score(df: DataFrame, model: dict, out: str = "if_score") -> DataFrame:
     return df.withColumn(out, _score(*[c for c in cols]))
 
 
-def detect(df: DataFrame, features: Sequence[str], id_col: str, contamination: float = CONTAMINATION,
-           **kw) -> DataFrame:
-    """Fit, score and flag the top ``contamination`` share as
-    ``ml_pattern_anomaly``."""
+def fit_detector(df: DataFrame, features: Sequence[str], id_col: str, contamination: float = CONTAMINATION, **kw) -> tuple[dict, DataFrame]:
+    """(forest with its ``threshold``, the scored training rows).  The
+    threshold is the exact (1 - contamination) quantile of their scores."""
     from ..session import cpu_partitions, stored
     # The input is read twice for the fit and once for the scores, which feed
     # both the threshold and the output: each is written once.  Scoring is CPU
     # work, so rows are dealt over the cores whatever files they come in.
     df = stored(df.repartition(cpu_partitions(df.sparkSession), id_col), "forest-input")
-    s = stored(score(df, fit(df, features, id_col, **kw)), "forest-scores")
-    thr = exact_quantiles(s.select(id_col, "if_score"), [], "if_score", [1.0 - contamination], tie_break=id_col)
-    threshold = thr.select("quantile").first()[0]   # a single number
-    return s.withColumn("is_ml_anomaly", F.col("if_score") > F.lit(threshold))
+    model = fit(df, features, id_col, **kw)
+    s = stored(score(df, model), "forest-scores")
+    thr = exact_quantiles(s.select("if_score"), [], "if_score", [1.0 - contamination])
+    return model | {"threshold": float(thr.select("quantile").first()[0])}, s   # a single number
+
+
+def flag(df: DataFrame, model: dict) -> DataFrame:
+    """Score and flag rows of a table or stream with a fitted detector."""
+    return score(df, model).withColumn("is_ml_anomaly", F.col("if_score") > F.lit(model["threshold"]))
+
+
+def detect(df: DataFrame, features: Sequence[str], id_col: str, contamination: float = CONTAMINATION,
+           **kw) -> DataFrame:
+    """Fit, score and flag the top ``contamination`` share as
+    ``ml_pattern_anomaly``."""
+    model, s = fit_detector(df, features, id_col, contamination, **kw)
+    return s.withColumn("is_ml_anomaly", F.col("if_score") > F.lit(model["threshold"]))
+
+
+def save_detector(spark: SparkSession, model: dict, path: str, version: int) -> None:
+    """A5: a detector as two tables, its nodes and one row of the rest, in the
+    folder of its version; a version that is written again is replaced."""
+    at = f"{path}/version={version}"
+    spark.createDataFrame(model["nodes"], NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{at}/nodes")
+    rest = [(model["features"], [float(x) for x in model["stats"]], float(model["threshold"]))]
+    spark.createDataFrame(rest, "features array<string>, stats array<double>, threshold double").coalesce(1).write.mode("overwrite").parquet(f"{at}/model")
+
+
+def load_detector(spark: SparkSession, path: str, version: int) -> dict:
+    """A saved detector (its nodes are bounded by the fit's parameters)."""
+    at = f"{path}/version={version}"
+    nodes, rest = spark.read.parquet(f"{at}/nodes").toPandas(), spark.read.parquet(f"{at}/model").first()
+    sizes = nodes[nodes["node_id"] == 0].set_index("tree_id")["size"].to_dict()
+    return {"features": list(rest["features"]), "stats": list(rest["stats"]), "nodes": nodes, "sizes": sizes, "threshold": rest["threshold"]}

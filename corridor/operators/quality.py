@@ -89,9 +89,8 @@ def iqr_bounds(readings: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS,
                id_col: str | None = "reading_id", approx_accuracy: int | None = None) -> DataFrame:
     """Q1, Q3 and the 1.5 IQR fences per column (exact and distributed by
     default; ``approx_accuracy`` switches to one-pass sketches)."""
-    long = _long_numeric(readings, columns, id_col)
-    q = exact_quantiles(long, ["column_name"], "value", [0.25, 0.75],
-                        tie_break=id_col, approx_accuracy=approx_accuracy)
+    long = _long_numeric(readings, columns, None)
+    q = exact_quantiles(long, ["column_name"], "value", [0.25, 0.75], approx_accuracy=approx_accuracy)
     return (q.groupBy("column_name")
              .agg(F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
                   F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"))

@@ -224,8 +224,8 @@ def choose_edge_node(df: DataFrame, size_col: str = "payload_bytes") -> DataFram
     """C4: score each edge node ``min(1, capacity / size) * .6 + 1 / (latency + 1) * .4``
     and keep the best (ties: first node).  The node table is a fixed
     three-row constant, so it is evaluated as expressions, not joined."""
-    size = F.col(size_col)
-    scores = [F.struct((F.least(F.lit(1.0), F.lit(float(cap)) / size) * 0.6 + F.lit(1.0 / (lat + 1)) * 0.4)
+    size = F.col(size_col)  # a message of no bytes fits any node
+    scores = [F.struct((F.least(F.lit(1.0), F.try_divide(F.lit(float(cap)), size)) * 0.6 + F.lit(1.0 / (lat + 1)) * 0.4)
                        .alias("score"), F.lit(-i).alias("order"), F.lit(nid).alias("node_id"))
               for i, (nid, cap, lat) in enumerate(EDGE_NODES)]
     best = F.array_max(F.array(*scores))

@@ -225,7 +225,7 @@ def histogram(readings: DataFrame, columns: Sequence[str] = ("average_speed_kmph
 def box_stats(readings: DataFrame, group: str = "weather", value: str = "average_speed_kmph",
               id_col: str | None = "reading_id") -> DataFrame:
     """Min, quartiles and max per group (exact, distributed)."""
-    q = exact_quantiles(readings, [group], value, [0.0, 0.25, 0.5, 0.75, 1.0], tie_break=id_col)
+    q = exact_quantiles(readings, [group], value, [0.0, 0.25, 0.5, 0.75, 1.0])
     names = {0.0: "min", 0.25: "q1", 0.5: "median", 0.75: "q3", 1.0: "max"}
     return q.groupBy(group).agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
                                   for p, n in names.items()])
@@ -233,7 +233,8 @@ def box_stats(readings: DataFrame, group: str = "weather", value: str = "average
 
 def sorted_by_time(readings: DataFrame) -> DataFrame:
     """global time order as an explicit 0-based ``time_rank`` (computed by a
-    range-partitioned sort, not a single-task window)."""
+    range-partitioned sort, not a single-task window).  The sorted rows are
+    stored with all their columns, so select what is needed before."""
     return with_group_rank(readings, [], ["timestamp", "reading_id"], "time_rank")
 
 

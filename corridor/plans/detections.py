@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import detections as DT
+from ..operators import hotspots as HS
+from ..operators import tracking as TK
 from ..sources import fixtures as V
 from ._registry import query
 
@@ -192,6 +194,18 @@ def d34_congestion_hotspots(spark, sf_dir):
     return DT.congestion_hotspots(_valid(spark, sf_dir))
 
 
+@query("d34_camera_hotspots", views=_V)
+def d34_camera_hotspots(spark, sf_dir):
+    """Per-camera k-means hotspots (``d34_camera_invariants`` checks them)."""
+    return HS.camera_hotspots(_valid(spark, sf_dir))
+
+
+@query("j7_track_batch", views=_V)
+def j7_track_batch(spark, sf_dir):
+    """Tracks of all detections (``j7_track_invariants`` and ``j7_ids_kept`` check them)."""
+    return TK.track_detections(_valid(spark, sf_dir))
+
+
 @query("d47_frame_truck_share", views=_V, sql=f"""
 with {_VALID}, {_FRAMES}
 select camera_id, frame_id, total_vehicles, truck, R6(truck / total_vehicles) as truck_share,

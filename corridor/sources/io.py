@@ -58,13 +58,16 @@ def export_results_csv(results: DataFrame, path: str) -> None:
     results.select(*flat).write.mode("overwrite").option("header", "true").csv(path)
 
 
-def append_history(df: DataFrame, path: str, partition_col: str = "run_date", run_id: str | None = None) -> None:
-    """A9 (batch): add a run's alerts / results, partitioned by date.  With a
-    ``run_id`` the run has a folder of its own below its dates, so replaying
-    it replaces its rows instead of adding them again."""
+def append_history(df: DataFrame, path: str, partition_col: str = "run_date", run_id: str | None = None, files_per_date: int = 8) -> None:
+    """A9 (batch): add a run's alerts / results, partitioned by date.  A date's
+    rows are spread over at most ``files_per_date`` tasks, each with one file.
+    With a ``run_id`` the run has a folder of its own below its dates, so
+    replaying it replaces its rows instead of adding them again."""
     if partition_col not in df.columns:
         df = df.withColumn(partition_col, F.current_date())
-    w = df.repartition(partition_col)  # a file per date, not one per task and date
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    part = F.pmod(F.xxhash64(*hashed), F.lit(files_per_date))
+    w = df.repartition(partition_col, part)
     if run_id is None:
         w.write.mode("append").partitionBy(partition_col).parquet(path)
     else:

@@ -1,4 +1,6 @@
-"""Structured Streaming forms of the batch operators.
+"""Structured Streaming forms of the batch operators.
+
+J5 and the routing of late rows (J8) hold keyed state: ``streaming.stateful``.
 
 Event time is ``event_ts`` = TIMESTAMP of the Unix-second ``timestamp``
 column; the default watermark is one hour (the reference's staleness rule).
@@ -10,15 +12,15 @@ from __future__ import annotations
 
 import os
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import anomaly as A
 from ..operators import decisions as D
+from ..operators import isolation as IF
 from ..operators import sensors as SN
+from .latest_table import latest_version, upsert_latest  # noqa: F401  (J10)
 
 WATERMARK = "1 hour"
 READING_SCHEMA = T.StructType([
@@ -87,77 +89,10 @@ def scored(stream: DataFrame, baseline: DataFrame, z_threshold: float = A.Z_THRE
     return A.score_anomalies(stream, baseline, z_threshold=z_threshold)
 
 
-# J5 [E4, E5]: keyed state per location = last speeds (3) and reading count.
-_INCIDENT_SCHEMA = T.StructType([
-    T.StructField("type", T.StringType()), T.StructField("severity", T.StringType()),
-    T.StructField("location", T.StringType()), T.StructField("reading_id", T.LongType()),
-    T.StructField("timestamp", T.LongType()), T.StructField("drop_kmph", T.DoubleType()),
-])
-_STATE_SCHEMA = T.StructType([
-    T.StructField("speeds", T.ArrayType(T.DoubleType())), T.StructField("n_seen", T.LongType()),
-    T.StructField("waiting_ts", T.ArrayType(T.LongType())), T.StructField("waiting_id", T.ArrayType(T.LongType())),
-    T.StructField("waiting_speed", T.ArrayType(T.DoubleType())),
-    T.StructField("early_ts", T.ArrayType(T.LongType())), T.StructField("early_id", T.ArrayType(T.LongType())),
-    T.StructField("early_drop", T.ArrayType(T.DoubleType())), T.StructField("last_ts", T.LongType())])
-MIN_READINGS = 5
-IDLE_SECONDS = 30 * 24 * 3600
-
-
-def _detect(key, pdfs, state: GroupState):
-    """One location: readings wait in state until the watermark passes them,
-    then they are taken in order of time, however they arrived."""
-    speeds, n_seen, waiting, early, last_ts = [], 0, [], [], 0
-    if state.exists:
-        s = state.get
-        speeds, n_seen, last_ts = list(s[0]), int(s[1]), int(s[8])
-        waiting = list(zip(s[2], s[3], s[4]))
-        early = list(zip(s[5], s[6], s[7]))
-    for pdf in pdfs:  # chunks of one group; order counts only over all of them
-        waiting += zip(pdf["timestamp"].astype(int), pdf["reading_id"].astype(int), pdf["average_speed_kmph"].astype(float))
-    waiting.sort()
-    passed = state.getCurrentWatermarkMs() // 1000
-    ready = [w for w in waiting if w[0] < passed]
-    waiting = waiting[len(ready):]
-    out = []
-
-    def slowdown(ts, rid, drop):
-        out.append(("sudden_slowdown", "high" if drop > 40 else "medium", key[0], int(rid), int(ts), float(drop)))
-
-    for ts, rid, speed in ready:
-        if speeds and speed - speeds[-1] < -20:
-            if n_seen + 1 >= MIN_READINGS:
-                slowdown(ts, rid, speeds[-1] - speed)
-            else:
-                early.append((ts, rid, speeds[-1] - speed))
-        speeds = (speeds + [float(speed)])[-3:]
-        n_seen += 1
-        last_ts = max(last_ts, int(ts))
-        if n_seen >= MIN_READINGS and early:
-            for e in early:
-                slowdown(*e)
-            early = []
-        if len(speeds) == 3 and max(speeds) < 15:
-            out.append(("persistent_congestion", "medium", key[0], int(rid), int(ts), None))
-    if not waiting and passed > last_ts + IDLE_SECONDS:
-        state.remove()
-    else:
-        state.update((speeds, n_seen, [int(w[0]) for w in waiting], [int(w[1]) for w in waiting], [float(w[2]) for w in waiting],
-                      [int(e[0]) for e in early], [int(e[1]) for e in early], [float(e[2]) for e in early], last_ts))
-        wake = waiting[0][0] if waiting else last_ts + IDLE_SECONDS
-        state.setTimeoutTimestamp(max(int(wake) * 1000, state.getCurrentWatermarkMs()) + 1000)
-    yield pd.DataFrame(out, columns=[f.name for f in _INCIDENT_SCHEMA.fields])
-
-
-def stateful_incidents(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Slowdown and low-run detection with per-location state: the last
-    three speeds, a count, and the readings of the watermark's delay, so state
-    is bounded by time.  Readings that arrive within the delay are taken in
-    order of time whatever the micro-batches; a location's slowdowns are held
-    until it has five readings; a location idle for ``IDLE_SECONDS`` of event
-    time is forgotten."""
-    s = stream.withWatermark("event_ts", watermark)
-    return s.groupBy("location").applyInPandasWithState(
-        _detect, _INCIDENT_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+def scored_by_forest(stream: DataFrame, detector: dict) -> DataFrame:
+    """J6 [G12]: a stream scored by a fitted or loaded isolation forest; a row
+    gets the score and flag that it gets in a table."""
+    return IF.flag(stream, detector)
 
 
 def split_quarantine(batch: DataFrame, now, good_path: str, bad_path: str, batch_id: int) -> None:
@@ -196,29 +131,3 @@ def idempotent_sink(path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
     return write
-
-
-def upsert_latest(spark: SparkSession, path: str, key: str = "location", order=("timestamp", "reading_id")):
-    """``foreachBatch`` writer that keeps one row per key, the latest.
-    Each batch writes a new version, the version before it merged with the
-    batch, into the folder of its batch id; a replay rewrites the same version
-    from the same predecessor."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        old = latest_version(spark, path, before=batch_id)
-        rows = batch if old is None else old.select(*batch.columns).unionByName(batch)
-        top = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("r")).select("r.*")
-        top.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
-    return write
-
-
-def latest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version under ``path`` (older than batch ``before``)."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    ids = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root)
-           if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))]
-    ids = [i for i in ids if before is None or i < before]
-    return spark.read.parquet(os.path.join(path, f"batch_id={max(ids)}")) if ids else None

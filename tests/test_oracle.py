@@ -26,7 +26,8 @@ def test_query_matches_oracle(spark, con, name):
 INVARIANTS = {
     "a8_payload_size": "a8_message_size", "b25_payload_roundtrip": "b25_roundtrip_rows",
     "c1_anomaly_scores_with_forest": "c1_forest_invariants", "c4_edge_node_choice": "c4_edge_node_of_message",
-    "d34_congestion_hotspots": "d34_hotspot_invariants", "g10_forest_uncertainty": "g10_uncertainty_invariants",
+    "d34_congestion_hotspots": "d34_hotspot_invariants", "d34_camera_hotspots": "d34_camera_invariants",
+    "j7_track_batch": "j7_track_invariants", "g10_forest_uncertainty": "g10_uncertainty_invariants",
     "g11_feature_importance": "g11_importance_invariants", "g12_isolation_forest_scores": "g12_isolation_forest_invariants",
     "g3_random_forest_predictions": "g3_learns_planted_signal", "g4_gradient_boosting_evaluation": "g4_learns_planted_signal",
     "g5_polynomial_regression_evaluation": "g5_learns_planted_signal", "g9_model_scoring": "g9_learns_planted_signal",

@@ -263,3 +263,66 @@ def test_grouping_sets_match_separate_aggregates(spark):
     for x in S.location_stats(r).collect():
         n, avg = g[("location", x.location)]
         assert n == x.n_readings and avg == pytest.approx(x.speed_mean)
+
+
+# --- D34 per camera ----------------------------------------------------------
+
+def test_camera_hotspots_against_a_local_fit(spark):
+    """Inertia within 5 % of the best of ten local fits, for every camera."""
+    import numpy as np
+    from corridor.operators import detections as DT
+    from corridor.operators import hotspots as HS
+    rng = np.random.default_rng(3)
+    rows, pts = [], {}
+    for cam in range(6):
+        at = [rng.uniform(0, 1200, 2) for _ in range(cam + 2)]
+        pts[cam] = np.array([np.round(at[rng.integers(len(at))] + rng.normal(0, 40, 2)) for _ in range(40 * (cam + 1))])
+        rows += [(cam, float(x), float(y)) for x, y in pts[cam]]
+    pts[7] = np.array([[5.0, 5.0]] * 8)                       # one place
+    rows += [(7, 5.0, 5.0)] * 8 + [(8, 1.0, 1.0)] * 5 + [(None, 1.0, 1.0), (1, None, 2.0)]   # too few; nulls
+    df = spark.createDataFrame(rows, "camera_id long, cx double, cy double")
+    got = {}
+    for r in HS.camera_clusters(df).collect():
+        got.setdefault(r.camera_id, []).append(r)
+    assert set(got) == set(pts)
+    for cam, p in pts.items():
+        labels, centres = DT._kmeans(p, min(max(2, len(p) // 5), 10))
+        assert sum(r.inertia for r in got[cam]) <= 1.05 * ((p - centres[labels]) ** 2).sum() + 1e-9
+        assert sum(r.vehicle_count for r in got[cam]) == len(p)
+        assert len({r.cluster for r in got[cam]}) == len(got[cam])
+    spots = HS.camera_hotspots(df.repartition(7, "cx")).collect()
+    assert sorted(map(tuple, spots)) == sorted(map(tuple, HS.camera_hotspots(df).collect()))
+    one = [r for r in spots if r.camera_id == 7]
+    assert [(r.vehicle_count, r.density_score) for r in one] == [(8, 8.0)]
+    assert HS.camera_clusters(df.limit(0)).collect() == []
+
+
+# --- radix selection ---------------------------------------------------------
+
+def test_quantiles_of_awkward_doubles(spark):
+    """Signs, zeros, powers of two, subnormals, infinities and ties."""
+    import numpy as np
+    rng = np.random.default_rng(8)
+    inf = float("inf")
+    special = [0.0, -0.0, 1.0, 2.0, 4.0, 0.5, 1 - 2 ** -53, 1 + 2 ** -52, 5e-324, -5e-324, 1e-310, 2.2250738585072014e-308, 1.7976931348623157e308, -1.5, -2.0]
+    groups = {"special": special, "ties": [3.25] * 50 + [7.0] * 3, "one": [4.5], "negative": (-np.exp(rng.normal(0, 30, 500))).tolist(),
+              "close": (1e6 + rng.integers(0, 40, 700) * 2.0 ** -33).tolist(), "wide": np.exp(rng.normal(0, 100, 600)).tolist(),
+              "infinite": [-inf, -inf, -1.0, 2.0, inf, inf, inf], None: rng.normal(0, 1, 300).tolist()}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("ties", None), ("void", None)]
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {(r.g, r.prob): r.quantile for r in exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", probs).collect()}
+    assert len(got) == len(groups) * len(probs)
+    for g, vs in groups.items():
+        s = sorted(vs)
+        for p in probs:
+            at = p * (len(s) - 1)
+            lo, hi = s[int(np.floor(at))], s[int(np.ceil(at))]
+            want = lo if lo == hi else lo + (hi - lo) * (at - np.floor(at))
+            assert got[(g, p)] == want or (np.isnan(want) and np.isnan(got[(g, p)])), (g, p)
+
+
+def test_quantiles_sort_nothing(spark):
+    """No exchange of the values: only counts per bin are shuffled."""
+    df = spark.range(200000).select((F.col("id") % 3).alias("k"), F.sin(F.col("id").cast("double")).alias("v"))
+    plan = exact_quantiles(df, ["k"], "v", [0.25, 0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan

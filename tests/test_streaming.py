@@ -11,6 +11,7 @@ from corridor.operators import anomaly as A
 from corridor.operators import timeseries as TS
 from corridor.sources import fixtures as V
 from corridor.streaming import readings_stream as RS
+from corridor.streaming import stateful as SF_
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,7 +74,7 @@ def test_stateful_incidents_match_batch(spark, files, rows):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     name = f"j5_out_{files}"
     s = RS.read_readings(spark, os.path.join(d, "in"), max_files_per_trigger=1)
-    _run(RS.stateful_incidents(s, watermark="90 days"), name, mode="append")
+    _run(SF_.stateful_incidents(s, watermark="90 days"), name, mode="append")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
     got = spark.table(name).where("reading_id >= 0")
     exp = TS.incidents(V.readings(spark, SF), chunk_rows=64)
@@ -82,34 +83,131 @@ def test_stateful_incidents_match_batch(spark, files, rows):
     assert exp.select(key).exceptAll(got.select(key)).count() == 0
 
 
-def test_incidents_wait_for_five_readings():
-    import pandas as pd
+class Variables:
+    """State variables of one key in memory, with its timers."""
+
+    class Value:
+        def __init__(self):
+            self.v = None
 
-    class State:
-        exists, value, hasTimedOut = False, None, False
-        get = property(lambda self: self.value)
+        def exists(self):
+            return self.v is not None
 
-        def getCurrentWatermarkMs(self):
-            return self.mark
+        def get(self):
+            return self.v
 
         def update(self, v):
-            self.exists, self.value = True, v
+            self.v = tuple(v)
+
+        def clear(self):
+            self.v = None
+
+    class List(Value):
+        def get(self):
+            return iter(self.v or [])
+
+        def put(self, v):
+            self.v = [tuple(x) for x in v]
+
+        def appendList(self, v):
+            self.v = [*(self.v or []), *map(tuple, v)]
+
+    class Map(Value):
+        def iterator(self):
+            return iter((self.v or {}).items())
+
+        def updateValue(self, k, v):
+            self.v = {**(self.v or {}), tuple(k): tuple(v)}
+
+        def removeKey(self, k):
+            del self.v[tuple(k)]
+
+    def __init__(self):
+        self.made, self.timers = {}, set()
+        self.getValueState = lambda name, schema: self.made.setdefault(name, self.Value())
+        self.getListState = lambda name, schema: self.made.setdefault(name, self.List())
+        self.getMapState = lambda name, key, schema: self.made.setdefault(name, self.Map())
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
 
-        def remove(self):
-            self.exists = False
+    def empty(self):
+        return not any(v.v for v in self.made.values()) and not self.timers
 
-        def setTimeoutTimestamp(self, ms):
-            assert ms > self.mark
 
-    s, out = State(), []
+def _advance(p, handle, key, pdfs, mark):
+    """One micro-batch at a watermark: rows, then the timers that are due."""
+    class At:
+        def getCurrentWatermarkInMs(self):
+            return mark
+
+    out = [tuple(r) for f in p.handleInputRows(key, iter(pdfs), At()) for r in f.itertuples(index=False)] if pdfs else []
+    for t in [t for t in handle.timers if t <= mark]:
+        handle.timers.discard(t)
+        out += [tuple(r) for f in p.handleExpiredTimer(key, At(), None) for r in f.itertuples(index=False)]
+    assert all(t > mark for t in handle.timers) and len(handle.timers) <= 1
+    return out
+
+
+def test_incidents_wait_for_five_readings():
+    import pandas as pd
+    p, h, out = SF_.Incidents(), Variables(), []
+    p.init(h)
     for i, speed in enumerate([80.0, 50.0, 55.0, 56.0, 57.0]):
-        s.mark = (i + 1) * 1000
         pdf = pd.DataFrame({"timestamp": [i], "reading_id": [i], "average_speed_kmph": [speed]})
-        out.append(sum(len(f) for f in RS._detect(("x",), iter([pdf]), s)))
+        out.append(len(_advance(p, h, ("x",), [pdf], (i + 1) * 1000)))
     assert out == [0, 0, 0, 0, 1]
-    s.mark = (RS.IDLE_SECONDS + 100) * 1000
-    list(RS._detect(("x",), iter([]), s))
-    assert not s.exists
+    _advance(p, h, ("x",), [], (SF_.IDLE_SECONDS + 100) * 1000)
+    assert h.empty()
+
+
+def test_incidents_without_key_id_or_time(spark, stream_dir):
+    """Such readings go to quarantine; the others give what they give alone."""
+    d = os.path.join(tempfile.mkdtemp(prefix="corridor-nulls-"), "in")
+    good = [(i, 10 ** 9 + 60 * i, "A", "Sunny", 1, s) for i, s in enumerate([80.0, 82.0, None, 81.0, 83.0, 50.0, 14.0, 13.0, 12.0])]
+    bad = [(None, 10 ** 9 + 30, "A", "Sunny", 1, 1.0), (70, None, "A", "Sunny", 1, 1.0), (71, 10 ** 9 + 31, None, "Sunny", 1, 1.0)]
+    spark.createDataFrame(good + bad, RS.READING_SCHEMA).coalesce(1).write.parquet(d)
+    spark.createDataFrame([(99, 2 * 10 ** 9, "Z", "Sunny", 1, 50.0)], RS.READING_SCHEMA).coalesce(1).write.mode("append").parquet(d)
+    s = RS.read_readings(spark, d, max_files_per_trigger=1)
+    _run(SF_.stateful_incidents(s), "j5_nulls", mode="append")
+    assert sorted((r.type, r.reading_id) for r in spark.table("j5_nulls").collect()) == [
+        ("persistent_congestion", 8), ("sudden_slowdown", 5), ("sudden_slowdown", 6)]
+    sound, rest = SF_.whole(RS.with_event_time(spark.read.schema(RS.READING_SCHEMA).parquet(d)), *SF_.READING_KEYS)
+    assert rest.count() == 3 and sound.count() == len(good) + 1
+
+
+@pytest.mark.parametrize("order", [0, 1, 2])
+def test_every_row_takes_one_route(spark, order):
+    """Clean, late and quarantine hold each row once, in any order of files;
+    late are those that lie more than the delay behind an earlier file."""
+    import random
+    rng = random.Random(order)
+    t0 = 1_700_000_000
+    files = [[(100 * f + k, t0 + 1200 * f + rng.randrange(1200), rng.choice("AB"), "Sunny", 5, 40.0) for k in range(20)] for f in range(6)]
+    for f in files:
+        f[0] = (None, *f[0][1:])
+        f[1] = (f[1][0], None, *f[1][2:])
+        f[2] = (*f[2][:2], None, *f[2][3:])
+        f[3] = (*f[3][:5], 900.0)
+    rng.shuffle(files)
+    top = tempfile.mkdtemp(prefix="corridor-routes-")
+    src, out = os.path.join(top, "in"), os.path.join(top, "out")
+    import time
+    for f in files:
+        spark.createDataFrame(f, RS.READING_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # the source takes files by their time
+    s = RS.read_readings(spark, src, max_files_per_trigger=1)
+    (SF_.routed(s, t0 + 3600, delay_seconds=1800).writeStream.foreachBatch(SF_.write_routes(out))
+     .option("checkpointLocation", os.path.join(top, "cp")).trigger(availableNow=True).start().awaitTermination())
+    got = {r: sorted(map(str, SF_.read_route(spark, out, r).drop("event_ts").collect())) for r in SF_.ROUTES}
+    everything = spark.createDataFrame(sum(files, []), RS.READING_SCHEMA)
+    assert sorted(sum(got.values(), [])) == sorted(map(str, everything.collect()))
+    late, seen = set(), {}
+    for f in files:
+        sound = [r for r in f if None not in r and r[5] <= 200 and abs(r[1] - t0 - 3600) <= 3600]
+        late |= {r[0] for r in sound if r[2] in seen and r[1] < seen[r[2]] - 1800}
+        for r in sound:
+            seen[r[2]] = max(seen.get(r[2], 0), r[1])
+    quarantined = {r.reading_id for r in SF_.read_route(spark, out, "quarantine").collect()}
+    assert {r.reading_id for r in SF_.read_route(spark, out, "late").collect()} == late and not late & quarantined
 
 
 def test_stream_static_scoring(spark, stream_dir):
@@ -285,37 +383,25 @@ def test_sliding_metrics_match_batch(spark, stream_dir):
     assert j.where((F.col("n") != F.col("n2")) | (F.abs(F.col("mean_speed") - F.col("m2")) > 1e-9)).count() == 0
 
 
-def test_tracker_split_frames():
-    """A frame in two micro-batches gives the same tracks as in one."""
+def _frames(rows):
     import pandas as pd
-    from corridor.streaming import tracker as TR
+    pdf = pd.DataFrame(rows, columns=["frame_id", "det_id", "cx", "cy"]).assign(detector=0)
+    return pdf.assign(event_ts=pd.to_datetime(pdf["frame_id"] * 10 + 10 ** 9, unit="s"))
 
-    class State:
-        exists, value, hasTimedOut = False, None, False
-        get = property(lambda self: self.value)
-
-        def update(self, v):
-            self.exists, self.value = True, v
-
-        def remove(self):
-            self.exists = False
-
-        def setTimeoutTimestamp(self, ms):
-            pass
-
-        def getCurrentWatermarkMs(self):
-            return 0
 
+def test_tracker_split_frames():
+    """A frame in two micro-batches gives the same tracks as in one."""
+    from corridor.streaming import tracker as TR
     dets = [(f, 10 * f + k, 100.0 * k + 5 * f, 50.0) for f in range(6) for k in range(3)]
 
     def run(batches):
-        s, out = State(), []
+        p, h, out = TR.Tracker(), Variables(), []
+        p.init(h)
         for b in batches:
-            pdf = pd.DataFrame(b, columns=["frame_id", "det_id", "cx", "cy"]).assign(event_ts=pd.Timestamp("2024-01-01"))
-            out += [tuple(r) for f in TR._track((1,), iter([pdf[::2], pdf[1::2]]), s) for r in f.itertuples(index=False)]
-        s.hasTimedOut = True
-        out += [tuple(r) for f in TR._track((1,), iter([]), s) for r in f.itertuples(index=False)]
-        assert not s.exists
+            out += _advance(p, h, (1,), [_frames(b)[::2], _frames(b)[1::2]], 0)
+        out += _advance(p, h, (1,), [], (10 ** 9 + 10 ** 6) * 1000)
+        out += _advance(p, h, (1,), [], (10 ** 9 + 10 ** 7) * 1000)
+        assert h.empty()
         return sorted(out)
 
     whole = run([dets])
@@ -325,44 +411,19 @@ def test_tracker_split_frames():
 
 def test_tracker_waits_for_the_watermark():
     """Frames that arrive in any order within the delay give the same tracks."""
-    import pandas as pd
     from corridor.streaming import tracker as TR
 
-    class State:
-        exists, value, hasTimedOut, watermark, timer = False, None, False, 0, None
-        get = property(lambda self: self.value)
-
-        def update(self, v):
-            self.exists, self.value = True, v
-
-        def remove(self):
-            self.exists = False
-
-        def setTimeoutTimestamp(self, ms):
-            assert ms > self.watermark
-            self.timer = ms
-
-        def getCurrentWatermarkMs(self):
-            return self.watermark
-
     def run(batches):
-        s, out, newest = State(), [], 0
-
-        def call(b, timed_out):
-            s.hasTimedOut = timed_out
-            pdf = pd.DataFrame(b, columns=["frame_id", "det_id", "cx", "cy"])
-            pdf["event_ts"] = pd.to_datetime(pdf["frame_id"] * 10 + 10 ** 9, unit="s")
-            out.extend(tuple(r) for f in TR._track((1,), iter([] if timed_out else [pdf]), s) for r in f.itertuples(index=False))
-
+        p, h, out, newest, mark = TR.Tracker(), Variables(), [], 0, 0
+        p.init(h)
         for b in batches:
-            call(b, False)
+            out += _advance(p, h, (1,), [_frames(b)], mark)
             newest = max([newest, *(r[0] * 10 + 10 ** 9 for r in b)])
-            s.watermark = (newest - 60) * 1000
+            mark = (newest - 60) * 1000
         early = len(out)
-        for s.watermark in (s.watermark + 100_000, s.watermark + 10 * TR.IDLE_MS):
-            if s.exists and s.timer < s.watermark:
-                call([], True)
-        assert not s.exists and early < len(out)
+        for mark in (mark + 100_000, mark + 10 * TR.IDLE_MS):
+            out += _advance(p, h, (1,), [], mark)
+        assert h.empty() and early < len(out)
         return out
 
     frames = [[(f, 10 * f + k, 100.0 * k + 5 * f, 50.0) for k in range(3)] for f in range(14)]
@@ -370,3 +431,141 @@ def test_tracker_waits_for_the_watermark():
     assert len(whole) == 42 and [r[1] for r in whole] == sorted(r[1] for r in whole)
     assert run([*frames[:10], frames[11] + frames[12], frames[10], frames[13]]) == whole
     assert run([sum(frames[5:9], []), frames[4][:1], frames[4][1:] + frames[3], *frames[:3], *frames[9:]]) == whole
+
+
+def test_tracker_state_and_quarantine(spark):
+    """State variables are read back from the checkpoint; detections that
+    cannot be placed go to the quarantine and hurt no track."""
+    from corridor.streaming import tracker as TR
+    d = tempfile.mkdtemp(prefix="corridor-state-")
+    schema = "camera_id long, frame_id long, det_id long, cx double, cy double, track_id long, ts long"
+    rows = [(1, f, f, 10.0 * f, 0.0, 7, 10 ** 9 + f) for f in range(30)]
+    bad = [(None, 1, 100, 0.0, 0.0, 7, 10 ** 9), (1, None, 101, 0.0, 0.0, 7, 10 ** 9), (1, 2, None, 0.0, 0.0, 7, 10 ** 9),
+           (1, 2, 102, None, 0.0, 7, 10 ** 9), (1, 2, 103, float("nan"), 0.0, 7, 10 ** 9), (1, 2, 104, 0.0, 0.0, 7, None)]
+    spark.createDataFrame(rows + bad, schema).coalesce(1).write.parquet(os.path.join(d, "in"))
+    spark.createDataFrame([(1, 200, 200, 0.0, 900.0, 0, 10 ** 9 + 200)], schema).coalesce(1).write.mode("append").parquet(os.path.join(d, "in"))
+    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "in"))
+         .withColumn("event_ts", F.timestamp_seconds("ts")))
+    q = (TR.track_stream(s).writeStream.format("memory").queryName("j7_state").outputMode("append")
+         .option("checkpointLocation", os.path.join(d, "cp")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.table("j7_state").collect()
+    assert sorted(r.det_id for r in out) == list(range(30)) and {r.assigned_track for r in out} == {0}
+    assert max(r.path_len for r in out) == 20
+    held = SF_.read_state(spark, os.path.join(d, "cp"), "tracks").select("key.*", "user_map_key.*", "user_map_value.*").collect()
+    assert [(r.camera_id, r.track_id, r.cx, r.detector, len(r.xs)) for r in held] == [(1, 0, 290.0, 7, 20)]
+    table = spark.createDataFrame(rows + bad, schema).withColumn("event_ts", F.timestamp_seconds("ts"))
+    assert TR.untracked(table).count() == len(bad)
+
+
+# --- J7 matching and its batch form ----------------------------------------
+
+def _scene(rng, cameras=3, frames=90, n=8, gap=0.15):
+    """Vehicles on crossing ways, seen with gaps and with ids that sometimes fail."""
+    rows = []
+    for cam in range(cameras):
+        cars = [[rng.uniform(0, 400), rng.uniform(0, 400), rng.uniform(-15, 15), rng.uniform(-15, 15), k + 1] for k in range(n)]
+        det = 0
+        for f in range(frames):
+            if rng.random() < 0.05:
+                continue
+            for c in cars:
+                c[0], c[1] = c[0] + c[2], c[1] + c[3]
+                for k in (0, 1):
+                    if not 0 <= c[k] <= 400:
+                        c[k + 2] *= -1
+                if rng.random() >= gap:
+                    rows.append((cam, f, det, round(c[0], 1), round(c[1], 1), rng.choice([c[4], c[4], 0, rng.randint(1, n)])))
+                    det += 1
+    return rows
+
+
+DETECTIONS = "camera_id long, frame_id long, det_id long, cx double, cy double, track_id long"
+
+
+def _walk(rows):
+    """All frames of a camera one after another."""
+    from corridor.operators import tracking as K
+    out = {}
+    for cam in {r[0] for r in rows}:
+        tracks, n = [], iter(range(10 ** 9))
+        for f in sorted({r[1] for r in rows if r[0] == cam}):
+            dets = sorted({(r[2], r[3], r[4], max(r[5] or 0, 0)) for r in rows if r[:2] == (cam, f)})
+            for d, (t, old) in zip(dets, K.step(tracks, f, dets, lambda: next(n))):
+                out[(cam, f, d[0])] = (t.label, old, min(t.seen, K.PATH_LEN))
+    return out
+
+
+def test_assignment_is_the_best_one():
+    """As many pairs as possible, of least total distance, by trying all."""
+    import itertools
+    import random
+    from corridor.operators import tracking as K
+    rng = random.Random(4)
+    for _ in range(300):
+        n, m = rng.randint(0, 5), rng.randint(0, 5)
+        tracks = [K.Track(j, rng.uniform(0, 120), rng.uniform(0, 60), 0, 0, 1) for j in range(m)]
+        dets = [(i, rng.uniform(0, 120), rng.uniform(0, 60), 0) for i in range(n)]
+
+        def dist(i, j):
+            return ((dets[i][1] - tracks[j].cx) ** 2 + (dets[i][2] - tracks[j].cy) ** 2) ** 0.5
+
+        best = (0, 0.0)
+        for js in itertools.product([-1, *range(m)], repeat=n):
+            used = [j for j in js if j >= 0]
+            if len(set(used)) == len(used) and all(dist(i, j) < K.GATE_PX for i, j in enumerate(js) if j >= 0):
+                best = min(best, (-len(used), sum(dist(i, j) for i, j in enumerate(js) if j >= 0)))
+        got = K.match(tracks, dets)
+        used = [j for j in got if j >= 0]
+        assert len(set(used)) == len(used)
+        assert (-len(used), pytest.approx(sum(dist(i, j) for i, j in enumerate(got) if j >= 0))) == best
+
+
+def test_crossing_vehicles_keep_their_ids():
+    from corridor.operators import tracking as K
+    rows = []
+    for f in range(20):
+        rows += [(0, f, 2 * f, 10.0 * f, 100.0, 5), (0, f, 2 * f + 1, 190.0 - 10.0 * f, 104.0, 9)]
+    out = _walk(rows)
+    assert {out[(0, f, 2 * f)][0] for f in range(20)} == {0} and {out[(0, f, 2 * f + 1)][0] for f in range(20)} == {1}
+    # without ids the nearest pairs win, and they swap at the crossing
+    out = _walk([(*r[:5], 0) for r in rows])
+    assert {out[(0, f, 2 * f)][0] for f in range(20)} == {0, 1}
+    # an id that fails the gate does not name a track
+    far = _walk([(0, 0, 0, 0.0, 0.0, 5), (0, 1, 1, 300.0, 0.0, 5), (0, 2, 2, 10.0, 0.0, 5)])
+    assert [far[(0, f, f)][:2] for f in range(3)] == [(0, False), (1, False), (0, True)]
+
+
+@pytest.mark.parametrize("size", [7, 16, 1000])
+def test_batch_tracks_equal_one_walk(spark, size):
+    import random
+    from corridor.operators import tracking as K
+    rows = _scene(random.Random(size))
+    rows += [(9, f, f, 5.0, 5.0, 0) for f in range(0, 400)]           # a vehicle that stays
+    rows += [(8, f, f, 5.0, 5.0, 3) for f in (0, 3, 90, 91, 300)]     # gaps longer than a range
+    df = spark.createDataFrame(rows + rows[:5] + [(None, 1, 1, 1.0, 1.0, 1), (1, 2, 3, None, 1.0, 1)], DETECTIONS)
+    got = {(r.camera_id, r.frame_id, r.det_id): (r.assigned_track, r.matched, r.path_len) for r in K.track_detections(df, size).collect()}
+    assert got == _walk(rows)
+
+
+def test_batch_tracks_equal_the_stream(spark):
+    import random
+    from corridor.operators import tracking as K
+    from corridor.streaming import tracker as TR
+    rows = _scene(random.Random(77), cameras=2, frames=40)
+    d = os.path.join(tempfile.mkdtemp(prefix="corridor-both-"), "in")
+    table = spark.createDataFrame(rows + [(c, 10 ** 6, 10 ** 6, 0.0, 0.0, 0) for c in (0, 1)], DETECTIONS)
+    table.repartition(3, "det_id").write.parquet(d)
+    s = (spark.readStream.schema(DETECTIONS).option("maxFilesPerTrigger", 1).parquet(d)
+         .withColumn("event_ts", F.timestamp_seconds(F.col("frame_id") + 10 ** 9)))
+    _run(TR.track_stream(s, watermark="1000 days"), "j7_both", mode="append")
+    _run(TR.track_stream(spark.readStream.schema(DETECTIONS).parquet(d).withColumn("event_ts", F.timestamp_seconds(F.col("frame_id") + 10 ** 9))), "j7_once", mode="append")
+    want = {tuple(r) for r in spark.table("j7_once").where("frame_id < 1000000").collect()}
+    assert len(want) == len(rows)
+    for size in (5, 11, 64):
+        assert {tuple(r) for r in K.track_detections(table, size).where("frame_id < 1000000").collect()} == want
+
+
+def test_tracking_of_nothing(spark):
+    from corridor.operators import tracking as K
+    assert K.track_detections(spark.createDataFrame([], DETECTIONS)).collect() == []
