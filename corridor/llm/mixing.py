@@ -129,7 +129,7 @@ def _wanted(sources: DataFrame, block: int, seed: int) -> DataFrame:
     return s.withColumn("_got", (F.col("_more") - 1) * block - F.when(F.col("_more") - 1 > F.col("_at"), short).otherwise(F.lit(0)))
 
 
-def draws(sources: DataFrame, total: int, shard_slots: int, seed: int, cells: int = 4096) -> DataFrame:
+def draws(sources: DataFrame, total: int, shard_slots: int, seed: int, cells: int = 4096, few: int = 100_000) -> DataFrame:
     """(shard, _s, n): the multinomial counts of each whole shard.  A slot
     draws a number below ``total``; the source whose range of as many numbers
     as it has slots holds it is found through cells of equal width, so no
@@ -142,6 +142,8 @@ def draws(sources: DataFrame, total: int, shard_slots: int, seed: int, cells: in
     parts = max(1, min(total // shard_slots, spark.sparkContext.defaultParallelism * 4))
     slot = spark.range(0, total // shard_slots, 1, parts).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(shard_slots - 1))).alias("j"))
     drawn = slot.select("shard", F.pmod(F.xxhash64(F.lit("draw"), F.lit(seed), "shard", "j"), F.lit(total)).alias("u")).withColumn("_cell", F.floor(F.col("u") / width))
+    # one row per cell and source border; a table of many sources is joined by cell instead
+    spread = F.broadcast(spread) if spread.count() <= few else spread.hint("merge")
     return drawn.join(spread, "_cell").where("u >= _from and u < _to").groupBy("shard", "_s").agg(F.count(F.lit(1)).alias("n"))
 
 
