@@ -184,11 +184,12 @@ class Field:
             out += self.emit[at:at + SIZES[f]][x[:, f]]
         return out
 
-    def fit(self, x: np.ndarray, tags: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.1,
-            decay: float = 1e-3) -> None:
+    def fit(self, x: np.ndarray, tags: np.ndarray, weight: np.ndarray, steps: int = 200, rate: float = 0.1,
+            decay: float = 1e-3, batch: int = 2048, seed: int = 1) -> None:
         """Adam on the mean log-likelihood of windows (windows, tokens,
-        features), with evidence hidden in turn.  Places beyond a text's
-        borders have features -1; their tag is outside and teaches nothing."""
+        features), with evidence hidden in turn; a step takes ``batch`` windows,
+        drawn by weight.  Places beyond a text's borders have features -1;
+        their tag is outside and teaches nothing."""
         secret = (tags > 0).any(axis=1)
         copies = [(x, tags, np.where(secret, weight, weight * (1 + len(HIDDEN))))]
         for hide in HIDDEN:
@@ -202,42 +203,45 @@ class Field:
         rows = np.ascontiguousarray(np.concatenate([x, tags[..., None]], axis=2).astype(np.int8)).reshape(len(x), -1)
         _, one, of = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
         x, tags, weight = x[one], tags[one], np.bincount(of.ravel(), weight, len(one))
-        n, t, k = x.shape
-        there = x[..., 0] >= 0
-        at = np.where(there[..., None], x.astype(np.int64), 0) + self.base
-        hard = np.where(there[..., None], 0.0, np.array([0.0, -1e9, -1e9]))
-        seen_e, seen_m = np.zeros_like(self.emit), np.zeros_like(self.move)
-        live = weight[:, None] * there
-        one = np.eye(3)[tags]
-        np.add.at(seen_e, at.reshape(-1), np.repeat((one * live[..., None]).reshape(-1, 3), k, axis=0))
-        both = [weight * there[:, i] * there[:, i + 1] for i in range(t - 1)]
-        for i in range(t - 1):
-            seen_m += (one[:, i] * both[i][:, None]).T @ one[:, i + 1]
         moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.emit, self.move)]
+        rng, share = np.random.default_rng(seed), weight / weight.sum()
         for step in range(1, steps + 1):
-            e = self.emit[at].sum(axis=2) * there[..., None] + hard
-            move = [np.where((there[:, i] & there[:, i + 1])[:, None, None], self.move, 0.0) for i in range(t - 1)]
-            fwd, bwd = np.empty((n, t, 3)), np.zeros((n, t, 3))
-            fwd[:, 0] = e[:, 0]
-            for i in range(1, t):
-                fwd[:, i] = e[:, i] + np.logaddexp.reduce(fwd[:, i - 1, :, None] + move[i - 1], axis=1)
-            for i in range(t - 2, -1, -1):
-                bwd[:, i] = np.logaddexp.reduce(move[i] + (e[:, i + 1] + bwd[:, i + 1])[:, None, :], axis=2)
-            z = np.logaddexp.reduce(fwd[:, -1], axis=1)
-            mean = np.exp(fwd + bwd - z[:, None, None]) * live[..., None]
-            got_e = np.stack([np.bincount(at.reshape(-1), np.repeat(mean[..., c].reshape(-1), k), len(self.emit)) for c in range(3)], axis=1)
-            got_m = np.zeros((3, 3))
-            for i in range(t - 1):
-                pair = fwd[:, i, :, None] + move[i] + (e[:, i + 1] + bwd[:, i + 1])[:, None, :] - z[:, None, None]
-                got_m += (np.exp(pair) * both[i][:, None, None]).sum(axis=0)
-            for p, g, m in ((self.emit, seen_e - got_e, moments[0]), (self.move, seen_m - got_m, moments[1])):
-                g = g / weight.sum() - decay * p
+            some = np.arange(len(x)) if len(x) <= batch else rng.choice(len(x), batch, p=share)
+            w = weight if len(x) <= batch else np.ones(batch)
+            for p, g, m in zip((self.emit, self.move), self.gradient(x[some], tags[some], w), moments):
+                g = g / w.sum() - decay * p
                 m[0] = 0.9 * m[0] + 0.1 * g
                 m[1] = 0.99 * m[1] + 0.01 * g * g
-                p += rate * (m[0] / (1 - 0.9 ** step)) / (np.sqrt(m[1] / (1 - 0.99 ** step)) + 1e-9)
+                p += rate * (1.1 - step / steps) * (m[0] / (1 - 0.9 ** step)) / (np.sqrt(m[1] / (1 - 0.99 ** step)) + 1e-9)
         # inside only follows begin or inside
         self.move[0, 2] = min(self.move[0, 2], self.move.min()) - 5.0
 
+    def gradient(self, x: np.ndarray, tags: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows' weighted log-likelihood: seen less expected counts."""
+        n, t, k = x.shape
+        there = x[..., 0] >= 0
+        at = np.where(there[..., None], x.astype(np.int64), 0) + self.base
+        hard = np.where(there[..., None], 0.0, np.array([0.0, -1e9, -1e9]))
+        both = there[:, :-1] & there[:, 1:]
+        e = self.emit[at].sum(axis=2) * there[..., None] + hard
+        move = [np.where(both[:, i, None, None], self.move, 0.0) for i in range(t - 1)]
+        fwd, bwd = np.empty((n, t, 3)), np.zeros((n, t, 3))
+        fwd[:, 0] = e[:, 0]
+        for i in range(1, t):
+            fwd[:, i] = e[:, i] + np.logaddexp.reduce(fwd[:, i - 1, :, None] + move[i - 1], axis=1)
+        for i in range(t - 2, -1, -1):
+            bwd[:, i] = np.logaddexp.reduce(move[i] + (e[:, i + 1] + bwd[:, i + 1])[:, None, :], axis=2)
+        z = np.logaddexp.reduce(fwd[:, -1], axis=1)
+        one = np.eye(3)[tags]
+        over = (one - np.exp(fwd + bwd - z[:, None, None])) * (weight[:, None] * there)[..., None]
+        emit = np.stack([np.bincount(at.reshape(-1), np.repeat(over[..., c].reshape(-1), k), len(self.emit)) for c in range(3)], axis=1)
+        moves = np.zeros((3, 3))
+        for i in range(t - 1):
+            w = (weight * both[:, i])[:, None, None]
+            pair = fwd[:, i, :, None] + move[i] + (e[:, i + 1] + bwd[:, i + 1])[:, None, :] - z[:, None, None]
+            moves += ((one[:, i, :, None] * one[:, i + 1, None, :] - np.exp(pair)) * w).sum(axis=0)
+        return emit, moves
+
     def viterbi(self, e: np.ndarray, first: bool, last: bool) -> np.ndarray:
         """Tags of a stretch whose neighbours, where it has any, are O."""
         score = e[0] + (self.move[0] if not first else np.array([0, 0, -1e9]))

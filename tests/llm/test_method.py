@@ -140,6 +140,38 @@ def test_short_texts_teach(spark):
     assert got == {1: ["crf"], 2: []}
 
 
+def test_gradient_of_the_field():
+    """Against finite differences of the likelihood by trying all tags; places
+    beyond a text's borders take no part."""
+    import itertools
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.integers(0, s, (5, 5)) for s in secret_scan.SIZES], axis=2).astype(np.int8)
+    tags, w, f = rng.integers(0, 3, (5, 5)), rng.random(5), secret_scan.Field()
+    x[0, :2], tags[0, :2], x[1, 3:], tags[1, 3:] = -1, 0, -1, 0
+    f.emit, f.move = rng.normal(size=f.emit.shape) * 0.3, rng.normal(size=(3, 3)) * 0.3
+
+    def likelihood():
+        total = 0.0
+        for k in range(5):
+            at = [i for i in range(5) if x[k, i, 0] >= 0]
+            e = f.emissions(x[k, at])
+
+            def score(ts):
+                return sum(e[i, c] for i, c in enumerate(ts)) + sum(f.move[a, b] for a, b in zip(ts, ts[1:]))
+
+            total += w[k] * (score(tags[k, at].tolist()) - np.logaddexp.reduce([score(c) for c in itertools.product(range(3), repeat=len(at))]))
+        return total
+
+    emit, move = f.gradient(x, tags, w)
+    for table, g, at in ((f.move, move, (0, 1)), (f.move, move, (2, 2)), (f.emit, emit, (int(x[2, 3, 0]), 1)), (f.emit, emit, (8 + int(x[3, 2, 1]), 0))):
+        table[at] += 1e-5
+        up = likelihood()
+        table[at] -= 2e-5
+        down = likelihood()
+        table[at] += 1e-5
+        assert (up - down) / 2e-5 == pytest.approx(g[at], abs=1e-6)
+
+
 # --- 10 ----------------------------------------------------------------------
 
 @pytest.mark.parametrize("text", [" " * 300_000 + "a", "\n" * 300_000, "x" + " " * 100_001, "a " + "\n" * 9999 + "b" + " " * 5000 + "!" + "　" * 6000 + "'s",
