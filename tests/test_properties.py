@@ -297,6 +297,23 @@ def test_camera_hotspots_against_a_local_fit(spark):
     assert HS.camera_clusters(df.limit(0)).collect() == []
 
 
+def test_camera_hotspots_in_groups_and_blocks(spark, monkeypatch):
+    """A camera's fit takes few jobs however many steps it needs, and a camera
+    in blocks gets the centres that it gets as one group."""
+    import numpy as np
+    from corridor.operators import hotspots as HS
+    rng = np.random.default_rng(5)
+    rows = [(cam, float(x), float(y)) for cam in range(3) for x, y in rng.integers(0, 900, (300, 2))]
+    df = spark.createDataFrame(rows + rows[:40] + [(9, 1.0, 2.0)] * 7, "camera_id long, cx double, cy double")
+    spark.sparkContext.setJobGroup("hotspot-jobs", "")
+    one = sorted(map(tuple, HS.camera_clusters(df, starts=3).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("hotspot-jobs"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs < 40
+    monkeypatch.setattr(HS, "BLOCK_POINTS", 100)   # three cameras in six blocks each, one still a group
+    assert [r[:5] for r in sorted(map(tuple, HS.camera_clusters(df, starts=3).collect()))] == [r[:5] for r in one]
+
+
 # --- radix selection ---------------------------------------------------------
 
 def test_quantiles_of_awkward_doubles(spark):
