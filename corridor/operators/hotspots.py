@@ -29,7 +29,7 @@ from .detections import HOTSPOT_MIN_DETECTIONS, HOTSPOT_MIN_MEMBERS
 # Clusters per camera, min(max(2, n // 5), 10).
 MOST_CLUSTERS = 10
 # Most points that one task fits as a group, and aim for a block of a camera with more.
-BLOCK_POINTS = 1 << 16
+BLOCK_POINTS = 1 << 18
 
 _PLACE = ("x", "y", "w", "h")
 
@@ -193,7 +193,7 @@ def _fit_blocks(points: DataFrame, starts: int, max_iter: int, seed: int) -> Dat
     return step(centres, lambda p, cs, moving: _inertia(p, cs), least).select("camera_id", F.col("cs").alias("centres"))
 
 
-def camera_clusters(valid: DataFrame, starts: int = 10, max_iter: int = 100, seed: int = 0) -> DataFrame:
+def camera_clusters(valid: DataFrame, starts: int = 10, max_iter: int = 300, seed: int = 0) -> DataFrame:
     """(camera_id, cluster, x, y, vehicle_count, inertia, x0, y0, x1, y1) for
     each cluster with members, of cameras with more than five detections."""
     there = F.col("camera_id").isNotNull() & F.col("cx").isNotNull() & F.col("cy").isNotNull()
@@ -216,7 +216,7 @@ def camera_clusters(valid: DataFrame, starts: int = 10, max_iter: int = 100, see
             .select("camera_id", "cluster", F.col("c.x").alias("x"), F.col("c.y").alias("y"), "vehicle_count", "inertia", "x0", "y0", "x1", "y1"))
 
 
-def camera_hotspots(valid: DataFrame, starts: int = 10, max_iter: int = 100, seed: int = 0) -> DataFrame:
+def camera_hotspots(valid: DataFrame, starts: int = 10, max_iter: int = 300, seed: int = 0) -> DataFrame:
     """D34 per camera: clusters with more than two vehicles, density = members
     / area of their bounding box (1 if it has none)."""
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")

@@ -314,6 +314,20 @@ def test_camera_hotspots_in_groups_and_blocks(spark, monkeypatch):
     assert [r[:5] for r in sorted(map(tuple, HS.camera_clusters(df, starts=3).collect()))] == [r[:5] for r in one]
 
 
+def test_camera_hotspots_settle(spark):
+    """A camera that needs over a hundred steps: its centres are the means of their members."""
+    import numpy as np
+    from corridor.operators import detections as DT
+    from corridor.operators import hotspots as HS
+    from corridor.sources import fixtures as V
+    v = DT.valid_detections(V.detections(spark, "/root/testdata/sf0.1")).where("camera_id = 10").select("camera_id", "cx", "cy").toPandas()
+    p = v[["cx", "cy"]].to_numpy(dtype=float)
+    got = HS.camera_clusters(spark.createDataFrame(v)).collect()
+    between = sum(r.vehicle_count * ((r.x - p[:, 0].mean()) ** 2 + (r.y - p[:, 1].mean()) ** 2) for r in got)
+    total = ((p - p.mean(axis=0)) ** 2).sum()
+    assert np.isclose(sum(r.inertia for r in got) + between, total, rtol=1e-6) and sum(r.vehicle_count for r in got) == len(p)
+
+
 # --- radix selection ---------------------------------------------------------
 
 def test_quantiles_of_awkward_doubles(spark):
