@@ -247,3 +247,22 @@ def test_entry_hides_only_what_is_missing(tmp_path):
         r = subprocess.run([sys.executable, "-c", code], cwd=at, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(at)}, timeout=120)
         assert (r.returncode == 0) == (case != "broken"), (case, r.stderr[-500:])
         assert case != "broken" or "gone" in r.stderr
+
+
+def test_training_rows_are_stored_evenly(spark, sf_small, monkeypatch):
+    """A fit reads rows dealt over all cores, also where the input is one row group."""
+    from corridor.operators import features as FE
+    from corridor.operators import models as MO
+    from corridor.sources import fixtures as V
+    f = FE.train_test_split(FE.model_features(V.readings(spark, sf_small))).coalesce(1)
+
+    class Kept:
+        def fit(self, df):
+            return df
+
+    monkeypatch.setitem(MO.MODEL_BUILDERS, "kept", Kept)
+    train = MO.train_models(f, ["kept"])["kept"]
+    sizes = [n for n in train.rdd.glom().map(len).collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) <= len(sizes)
+    want = f.where("not is_test").select(*train.columns)
+    assert sorted(map(tuple, train.collect())) == sorted(map(tuple, want.collect())) and len(train.columns) == 9
